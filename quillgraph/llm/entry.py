@@ -6,8 +6,10 @@ import importlib
 
 #: name -> module of this subpackage
 _OPERATORS = {
+    "op1_bpe": "op1_bpe",
     "op2_records": "op2_records",
     "op5_warc": "op5_warc",
+    "op8_langid": "op8_langid",
     "op9_license_scan": "op9_licenses",
     "op10_chat_format": "op10_chat",
 }
