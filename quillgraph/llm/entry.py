@@ -8,12 +8,13 @@ import importlib
 _OPERATORS = {
     "op1_bpe": "op1_bpe",
     "op2_records": "op2_records",
+    "op3_embedding_dedup": "op3_embeddings",
     "op5_warc": "op5_warc",
     "op8_langid": "op8_langid",
     "op9_license_scan": "op9_licenses",
     "op10_chat_format": "op10_chat",
 }
-_SQL = {"op5_warc": ("op5_warc", "OP5_SQL"), "op10_chat_format": ("op10_chat", "OP10_SQL")}
+_SQL = {"op3_embedding_dedup": ("op3_embeddings", "OP3_SQL"), "op5_warc": ("op5_warc", "OP5_SQL"), "op10_chat_format": ("op10_chat", "OP10_SQL")}
 
 
 def _module(name: str):
