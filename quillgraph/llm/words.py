@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -26,10 +28,17 @@ def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == kind)
 
 
+def _byte_chars() -> dict[int, int]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, other bytes for the code points from 256 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
 class WordCodec:
     """Splits texts into words and turns words into ids; ids of seen words are kept, up to ``keep`` words."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -47,6 +56,10 @@ class WordCodec:
             letters, numbers = _class("L"), _class("N")
             space = r"\t\n\x0b\x0c\r \x85\xa0"
             self.fast = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
+        #: The byte-level alphabet, where the file's second step is just that.
+        self.byte_chars = None
+        if self.fast is not None and steps[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}] and sys.byteorder == "little":
+            self.byte_chars = _byte_chars()
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
@@ -72,6 +85,10 @@ class WordCodec:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as little-endian integers of ``dtype``."""
+        if self.byte_chars is not None:  # straight to the model, without the library's alignment of every character
+            tokenize, chars, kind, added = self.tok.model.tokenize, self.byte_chars, "H" if self.dtype.itemsize == 2 else "I", self.added
+            ids = ([self.tok.token_to_id(w)] if w in added else [t.id for t in tokenize(w.encode().decode("latin-1").translate(chars))] for w in words)
+            return [array(kind, x).tobytes() for x in ids]
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
