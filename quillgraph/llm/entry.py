@@ -9,7 +9,10 @@ _OPERATORS = {
     "op1_bpe": "op1_bpe",
     "op2_records": "op2_records",
     "op3_embedding_dedup": "op3_embeddings",
+    "op4_decontaminate": "op4_decontaminate",
     "op5_warc": "op5_warc",
+    "op6_pii": "op6_pii",
+    "op7_near_dedup": "op7_minhash",
     "op8_langid": "op8_langid",
     "op9_license_scan": "op9_licenses",
     "op10_chat_format": "op10_chat",
