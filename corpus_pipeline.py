@@ -1,8 +1,76 @@
-"""Corpus pipeline: language ID, near-dedup, decontamination, PII, BPE."""
+"""Corpus pipeline: language ID, MinHash near-dedup, benchmark decontamination, PII, BPE.
 
-STAGES = []
+Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that its predecessor kept; ``run`` writes each result as
+Parquet in the shared folder and reads it back for the next. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillgraph.llm import op1_bpe, op4_decontaminate, op6_pii, op7_minhash, op8_langid
+from quillgraph.shared import shared_path
+
+#: Documents go if no language fits: no letters, or a best score below this.
+LEAST_SCORE = 0.25
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go; a missing lang is filled in."""
+    model = op8_langid.train(docs.select("doc_id", "text", "lang"))
+    if model is None:  # nothing to learn from: nothing can be rejected
+        return docs
+    found = op8_langid.predict(docs, model).where((F.col("lang_pred") != op8_langid.UND) & (F.col("score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, the one with the least id; of rows with the same id, the one with the least text."""
+    gone = op7_minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    first = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]))
+    one = stay.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return stay.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = op4_decontaminate.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data, and the terms that still reveal it, are replaced by their kind; n_chars follows the text."""
+    out = op6_pii.sanitise(docs)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian u32) of each document that is left, with digests of the ids and of the decoded text."""
+    out = op1_bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("remove_pii", remove_pii),
+    ("bpe", bpe),
+]
+
+#: SQL cannot express the near-dedup, decontamination and tokenizer stages; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
