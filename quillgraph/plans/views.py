@@ -59,7 +59,7 @@ def needed(sql: str) -> list[str]:
     out: list[str] = []
 
     def add(text: str) -> None:
-        for name in re.findall(r"\{(\w+)\}", text):
+        for name in re.findall(r"\{([a-z]\w*)\}", text):
             if name in VIEWS and name not in out:
                 add(VIEWS[name])
                 out.append(name)
@@ -70,7 +70,7 @@ def needed(sql: str) -> list[str]:
 
 def oracle(sql: str) -> str:
     """The text as one statement over the plain tables."""
-    bind = lambda text: re.sub(r"\{(\w+)\}", r"\1", text).replace("AS STRING)", "AS VARCHAR)")
+    bind = lambda text: re.sub(r"\{([a-z]\w*)\}", r"\1", text).replace("AS STRING)", "AS VARCHAR)")
     own = sql.strip()
     recursive = own.upper().startswith("WITH RECURSIVE")
     head = "".join(f"{name} AS ({bind(VIEWS[name])}),\n" for name in needed(own))
@@ -98,4 +98,4 @@ class Store:
         return made[name]
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(text, **{name: getattr(self, name) for name in sorted(set(re.findall(r"\{(\w+)\}", text)))})
+        return self.spark.sql(text, **{name: getattr(self, name) for name in sorted(set(re.findall(r"\{([a-z]\w*)\}", text)))})
