@@ -137,12 +137,12 @@ def _(s):
 shared("fact_versions", "SELECT stem, id, lag(id) OVER (PARTITION BY stem ORDER BY created_at, id) AS prev, lead(id) OVER (PARTITION BY stem ORDER BY created_at, id) AS next FROM {facts}")
 
 
-@query("fact_refs", "SELECT d.id, 'value=' || CAST(CAST(f.value AS BIGINT) AS VARCHAR) AS resolved FROM (SELECT id, id % 1500 + 1 AS stem FROM {src}) d JOIN (SELECT stem, arg_max(value, (created_at, id)) AS value FROM {facts} GROUP BY stem) f ON f.stem = d.stem")
+@query("fact_refs", "SELECT d.id, 'value=' || CAST(CAST(floor(f.value) AS BIGINT) AS VARCHAR) AS resolved FROM (SELECT id, id % 1500 + 1 AS stem FROM {src}) d JOIN (SELECT stem, arg_max(value, (created_at, id)) AS value FROM {facts} GROUP BY stem) f ON f.stem = d.stem")
 def _(s):
     latest = s.facts.groupBy("stem").agg(F.max_by("value", F.struct("created_at", "id")).alias("value"))
     refs = s.src.select("id", F.concat(F.lit("value={{fact:"), (F.col("id") % 1500 + 1).cast("string"), F.lit("}}")).alias("t"))
     refs = refs.withColumn("stem", F.regexp_extract("t", r"\{\{fact:(\d+)\}\}", 1).cast("long")).join(latest, "stem")
-    return refs.select("id", F.expr("replace(t, concat('{{fact:', stem, '}}'), cast(cast(value as bigint) as string))").alias("resolved"))
+    return refs.select("id", F.expr("replace(t, concat('{{fact:', stem, '}}'), cast(cast(floor(value) as bigint) as string))").alias("resolved"))
 
 
 @query("latest_per_key", "SELECT stem, arg_max(id, (created_at, id)) AS id FROM {facts} GROUP BY stem")
