@@ -3,7 +3,7 @@
 Similarity of an item of L words and a window of L words of a text is ``1 - edit distance / L`` over words.
 
 1. Sound filter: a window within distance d of an item shares at least ``L - 1 - 2 d`` of its word bigrams with it (each edit
-   touches two). Positions whose bigram occurs in no item are counted out by running sums, over all positions of all texts.
+   touches two). Only windows with that many bigrams of items of their size go on; all positions of all texts are counted.
 2. Each window left, and each item, goes through CGK random-walk embeddings: an output of 3 L symbols that repeats a word or
    moves on as a random bit of (step, word) says; edit distance k becomes a Hamming distance of O(k^2), mostly O(k).
 3. Bit-sampling LSH: ``TABLES`` tables of ``SAMPLED`` positions of the embeddings. For windows at the threshold the tables miss
@@ -19,6 +19,7 @@ reported; rows with equal ids are each reported; other columns are ignored; an e
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -31,52 +32,82 @@ from . import textvec
 from .words import text_slices
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
-WALKS, TABLES, SAMPLED = 8, 64, 4
+WALKS, TABLES, SAMPLED = 4, 64, 5
 CHUNK_CHARS = 16_000_000
 OUT = "doc_id long, item_id long, start_word long, start_char long, end_char long, distance long, similarity double"
-_SLICE = 1_500_000
+_SLICE, _AT_ONCE = 1_500_000, 4_000
 _PAD = np.uint64(0x2545F4914F6CDD1D)
 
 
-def cgk(rows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embedding of rows of word hashes: rows x 3 L symbols."""
-    n, length = rows.shape
-    padded = np.c_[rows, np.full(n, _PAD, dtype=np.uint64)]
-    at, every, out = np.zeros(n, dtype=np.int64), np.arange(n), np.empty((n, 3 * length), dtype=np.uint64)
-    for step in range(3 * length):
-        symbol = padded[every, at]
+def cgk(rows: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
+    """CGK embedding of rows of word hashes, each with its own length (padding beyond it). A walk over L words ends at about
+    2 L of its 3 L symbols, and only those are ever sampled, so the first 2 L are made."""
+    n, longest = len(rows), rows.shape[1] - 1
+    at, every, out = np.zeros(n, dtype=np.int64), np.arange(n), np.empty((n, 2 * longest), dtype=np.uint64)
+    salt = textvec.mix(np.arange(2 * longest, dtype=np.uint64) + np.uint64(walk * 1_000_003 + 1))
+    for step in range(2 * longest):
+        symbol = rows[every, at]
         out[:, step] = symbol
-        bit = textvec.mix(symbol ^ textvec.mix(np.array([walk * 1_000_003 + step + 1], dtype=np.uint64))) & np.uint64(1)
-        at = np.minimum(at + bit.astype(np.int64), length)
+        bit = textvec.mix(symbol ^ salt[step]) & np.uint64(1)
+        at = np.minimum(at + bit.astype(np.int64), lengths)
     return out
 
 
-def keys(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """For each table, the LSH key of each row."""
-    length = rows.shape[1]
+def padded(parts: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of several lengths as one matrix, and the lengths."""
+    out = np.full((sum(map(len, parts)), longest + 1), _PAD, dtype=np.uint64)
+    at = 0
+    for x in parts:
+        out[at : at + len(x), : x.shape[1]] = x
+        at += len(x)
+    return out, np.repeat([x.shape[1] for x in parts], [len(x) for x in parts])
+
+
+@functools.cache
+def sampled(table: int, length: int) -> tuple[int, ...]:
+    """The positions that a table samples from embeddings of rows of a length."""
+    rng = np.random.default_rng(table * 7919 + length)
+    return tuple(rng.choice(2 * length, size=min(SAMPLED, 2 * length), replace=False).tolist())
+
+
+def keys(parts: list[np.ndarray], longest: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For each table, the LSH keys of the rows of each part; the parts have rows of one length each."""
+    rows, lengths = padded(parts, longest)
+    cuts = np.r_[0, np.cumsum([len(x) for x in parts])]
     for walk in range(WALKS):
-        embedded = cgk(rows, walk)
-        rng = np.random.default_rng(walk * 7919 + length)
-        for table in range(TABLES // WALKS):
-            key = np.full(len(rows), walk * 64 + table + 1, dtype=np.uint64)
-            for p in rng.choice(3 * length, size=min(SAMPLED, 3 * length), replace=False):
-                key = textvec.mix(key ^ embedded[:, p])
-            yield key
-
-
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distance of each row of a and the same row of b, over word hashes."""
-    n, length = a.shape
-    before = np.tile(np.arange(b.shape[1] + 1), (n, 1))
-    for i in range(length):
-        now = np.empty_like(before)
-        now[:, 0] = i + 1
-        swap = before[:, :-1] + (a[:, i : i + 1] != b)
-        np.minimum(swap, before[:, 1:] + 1, out=swap)
-        for j in range(b.shape[1]):
-            now[:, j + 1] = np.minimum(swap[:, j], now[:, j] + 1)
-        before = now
-    return before[:, -1]
+        embedded = cgk(rows, lengths, walk)
+        for table in range(walk, TABLES, WALKS):
+            out = []
+            for x, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True):
+                length = x.shape[1]
+                key = np.full(b - a, table + 1, dtype=np.uint64)
+                for p in sampled(table, length):
+                    key = textvec.mix(key ^ embedded[a:b, p])
+                out.append(key)
+            yield table, out
+
+
+def places(words: np.ndarray) -> dict[int, int]:
+    """Bits of the positions of each word."""
+    out: dict[int, int] = {}
+    for k, w in enumerate(words.tolist()):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def edit_distance(at: dict[int, int], length: int, other: list[int]) -> int:
+    """Edit distance of a word sequence, given by ``places``, and another one, by bit-parallel dynamic programming."""
+    full, last = (1 << length) - 1, 1 << length - 1
+    up, down, score = full, 0, length
+    for w in other:
+        equal = at.get(w, 0)
+        diagonal = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        rise, fall = down | ~(across | up) & full, up & across
+        score += bool(rise & last) - bool(fall & last)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = fall | ~(diagonal | rise) & full, rise & diagonal
+    return score
 
 
 class Items:
@@ -92,76 +123,101 @@ class Items:
         for n, own in sorted(by_length.items()):
             words = np.stack([w.hash[w.first[k] : w.first[k] + n] for k in own])
             most = math.floor((1 - similarity) * n + 1e-9)
-            self.groups.append((n, most, max(1, n - 1 - 2 * most), np.array([rows[k][0] for k in own]), words, [self._sorted(x) for x in keys(words)]))
-            grams.append(self.bigrams(words).ravel())
+            own_grams = np.unique(self.bigrams(words))
+            self.groups.append((n, most, max(1, n - 1 - 2 * most), [rows[k][0] for k in own], words, own_grams))
+            grams.append(own_grams)
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, dtype=np.uint64)
         self.bitmap = np.zeros(1 << 22, dtype=bool)
         self.bitmap[self.grams >> np.uint64(42)] = True
-        self.least = self.groups[0][0] if self.groups else 0
+        self.least, self.longest = (self.groups[0][0], self.groups[-1][0]) if self.groups else (0, 0)
         # some stretch of the shortest size inside a matching window holds this many shared bigrams
         self.dense = min((math.ceil(need / math.ceil((n - 1) / (self.least - 1))) for n, _, need, *_ in self.groups), default=0)
-
-    @staticmethod
-    def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(x, kind="stable")
-        return x[order], order
+        self.places = [[places(x) for x in g[4]] for g in self.groups]
+        self.tables = {t: [(np.sort(k), np.argsort(k, kind="stable")) for k in own] for t, own in keys([g[4] for g in self.groups], self.longest)} if self.groups else {}
 
     @staticmethod
     def bigrams(words: np.ndarray) -> np.ndarray:
         return textvec.mix(words[..., :-1] * np.uint64(0x9FB21C651E98DF25) + words[..., 1:])
 
-    def hits(self, code: np.ndarray) -> np.ndarray:
-        found = self.bitmap[code >> np.uint64(42)]
-        at = np.flatnonzero(found)
-        place = np.searchsorted(self.grams, code[at])
-        found[at] = self.grams[np.minimum(place, len(self.grams) - 1)] == code[at]
-        return found
+    @staticmethod
+    def _among(code: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
 
-    def search(self, texts: list) -> list[tuple]:
-        """(text number, item id, first word, start, end, distance, similarity): the best window of each text and item."""
+    def windows(self, texts: list) -> list[tuple[np.ndarray, ...]]:
+        """For each item size, the windows that share enough bigrams with items of that size: (text, first word, start, end,
+        words)."""
         w = textvec.words(texts)
+        none = [tuple(np.zeros((0, n) if k == 4 else 0, dtype=np.uint64 if k == 4 else np.int64) for k in range(5)) for n, *_ in self.groups]
         if not self.groups or len(w.hash) < self.least:
-            return []
-        hit = self.hits(self.bigrams(w.hash)) & (w.doc[1:] == w.doc[:-1])
+            return none
+        code = self.bigrams(w.hash)
+        hit = self.bitmap[code >> np.uint64(42)] & (w.doc[1:] == w.doc[:-1])
+        at = np.flatnonzero(hit)
+        at = at[self._among(code[at], self.grams)]
+        hit = np.zeros(len(w.hash), dtype=np.int32)
+        hit[at] = 1
         run = np.r_[0, np.cumsum(hit)]
         span = self.least - 1
         crowded = np.flatnonzero(run[span:] - run[:-span] >= self.dense)
-        texts_left = np.unique(w.doc[crowded])
-        if not len(texts_left):
-            return []
         use = np.zeros(len(texts) + 1, dtype=bool)
-        use[texts_left] = True
-        at = np.flatnonzero(use[w.doc])  # words of the texts that can hold anything
-        best: dict[tuple[int, int], tuple] = {}
-        for n, most, need, ids, words, tables in self.groups:
-            first = at[at + n <= len(w.hash)]
-            first = first[(run[first + n - 1] - run[first] >= need) & (w.doc[first] == w.doc[first + n - 1])]
-            if not len(first):
+        use[w.doc[np.minimum(crowded, len(w.doc) - 1)]] = True
+        at = at[use[w.doc[at]]]
+        out = []
+        for (n, _, need, _, _, own), empty in zip(self.groups, none, strict=True):
+            mine = at[self._among(code[at], own)]
+            # a window holds bigrams a .. a + need - 1 of mine: first word between mine[k + need - 1] - n + 2 and mine[k]
+            if len(mine) < need:
+                out.append(empty)
                 continue
-            for a in range(0, len(first), 50_000):
-                part = first[a : a + 50_000]
-                windows = w.hash[part[:, None] + np.arange(n)]
-                pairs = []
-                for key, (known, order) in zip(keys(windows), tables, strict=True):
-                    lo, hi = np.searchsorted(known, key, side="left"), np.searchsorted(known, key, side="right")
+            lo, hi = mine[need - 1 :] - n + 2, mine[: len(mine) - need + 1]
+            ok = (hi >= lo) & (w.doc[mine[need - 1 :]] == w.doc[hi])
+            lo, hi = np.maximum(lo[ok], w.first[w.doc[hi[ok]]]), hi[ok]
+            size = np.maximum(hi - lo + 1, 0)
+            first = np.unique(np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))) if len(size) else lo
+            first = first[first + n <= w.first[w.doc[first] + 1]] if len(first) else first
+            out.append((w.doc[first], first - w.first[w.doc[first]], w.start[first], w.end[first + n - 1], w.hash[first[:, None] + np.arange(n)]))
+        return out
+
+    def search(self, texts: list) -> list[tuple]:
+        """(text number, item id, first word, start, end, distance, similarity): the best window of each text and item."""
+        parts: list[list] = [[] for _ in self.groups]
+        for a, b in text_slices(texts, _SLICE):
+            for own, (doc, word, start, end, hashes) in zip(parts, self.windows(texts[a:b]), strict=True):
+                if len(doc):
+                    own.append((doc + a, word, start, end, hashes))
+        groups = [k for k, own in enumerate(parts) if own]
+        merged = [tuple(np.concatenate(c) for c in zip(*parts[k], strict=True)) for k in groups]
+        best: dict[tuple[int, int], tuple] = {}
+        while merged:
+            # a bounded number of windows at once
+            now, merged = [tuple(c[:_AT_ONCE] for c in x) for x in merged], [tuple(c[_AT_ONCE:] for c in x) for x in merged]
+            found: list[list] = [[] for _ in groups]
+            for table, key in keys([x[4] for x in now], self.longest):
+                for n, (g, k) in enumerate(zip(groups, key, strict=True)):
+                    known, order = self.tables[table][g]
+                    lo, hi = np.searchsorted(known, k, side="left"), np.searchsorted(known, k, side="right")
                     some = np.flatnonzero(hi > lo)
-                    n_each = (hi - lo)[some]
-                    where = np.repeat(lo[some] - np.r_[0, np.cumsum(n_each)[:-1]], n_each) + np.arange(int(n_each.sum()))
-                    pairs.append(np.repeat(some, n_each) * len(ids) + order[where])
-                found = np.unique(np.concatenate(pairs))
-                for b in range(0, len(found), 20_000):
-                    window, item = np.divmod(found[b : b + 20_000], len(ids))
-                    distance = edit_distances(windows[window], words[item])
-                    for k in np.flatnonzero(distance <= most):
-                        p = int(part[window[k]])
-                        name, value = (int(w.doc[p]), int(item[k]), n), (int(distance[k]), p)
+                    each = (hi - lo)[some]
+                    where = np.repeat(lo[some] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(int(each.sum())) if len(some) else lo[:0]
+                    found[n].append(np.repeat(some, each) * len(known) + order[where])
+            for (doc, word, start, end, hashes), g, pairs in zip(now, groups, found, strict=True):
+                n, most, _, ids, words, _ = self.groups[g]
+                window, item = np.divmod(np.unique(np.concatenate(pairs)), len(words))
+                same = (hashes[window] == words[item]).all(1)
+                # nothing is nearer than an equal window: its text and item need no other candidate
+                order = np.argsort(~same, kind="stable")
+                for k, it, equal in zip(window[order].tolist(), item[order].tolist(), same[order].tolist(), strict=True):
+                    name = (int(doc[k]), ids[it], n)
+                    if not equal and name in best and best[name][0] == 0:
+                        continue
+                    distance = 0 if equal else edit_distance(self.places[g][it], n, hashes[k].tolist())
+                    if distance <= most:
+                        value = (distance, int(word[k]), int(start[k]), int(end[k]))
                         if name not in best or value < best[name]:
                             best[name] = value
-        out = []
-        group_ids = {n: ids for n, _, _, ids, *_ in self.groups}
-        for (doc, item, n), (distance, p) in sorted(best.items()):
-            out.append((doc, int(group_ids[n][item]), p - int(w.first[doc]), int(w.start[p]), int(w.end[p + n - 1]), distance, 1 - distance / n))
-        return out
+            groups = [g for g, x in zip(groups, merged, strict=True) if len(x[0])]
+            merged = [x for x in merged if len(x[0])]
+        return [(doc, item, word, start, end, distance, 1 - distance / n) for (doc, item, n), (distance, word, start, end) in sorted(best.items())]
 
 
 def _search(shared, similarity: float):
@@ -170,12 +226,11 @@ def _search(shared, similarity: float):
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("distance", pa.int64()), ("similarity", pa.float64())])
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in text_slices(texts, _SLICE):
-                found = items.search(texts[a:b])
-                if found:
-                    columns = list(zip(*found, strict=True))
-                    columns[0] = [ids[a + d] for d in columns[0]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+            found = items.search(texts)
+            if found:
+                columns = list(zip(*found, strict=True))
+                columns[0] = [ids[d] for d in columns[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
