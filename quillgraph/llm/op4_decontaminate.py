@@ -32,7 +32,7 @@ from . import textvec
 from .words import text_slices
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
-WALKS, TABLES, SAMPLED = 4, 64, 5
+WALKS, TABLES, SAMPLED = 6, 72, 3
 CHUNK_CHARS = 16_000_000
 OUT = "doc_id long, item_id long, start_word long, start_char long, end_char long, distance long, similarity double"
 _SLICE, _AT_ONCE = 1_500_000, 4_000
