@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import codec, text_slices
+from .words import codec, column_slices
 
 OUT = "doc_id long, n_tokens long, ids binary, decoded string"
-#: Characters of text in a block.
-BLOCK_CHARS = 8_000_000
+#: Bytes of text in a block.
+BLOCK_CHARS = 4_000_000
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -49,6 +50,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return low.astype(np.int64) | high.astype(np.int64) << 16
 
 
+class _Codes(dict):
+    """Numbers words in the order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _blocks(tokenizer: str, n_buckets: int, block_chars: int, codes: bool):
     """mapInArrow over (doc_id, text): the blocks' words by bucket, or their documents as codes."""
 
@@ -57,12 +66,10 @@ def _blocks(tokenizer: str, n_buckets: int, block_chars: int, codes: bool):
 
         coder, part, number = codec(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in text_slices(texts, block_chars):
-                split = [coder.split(t) for t in texts[a:b]]
-                index: dict[str, int] = {}
-                for words in split:
-                    index.update(dict.fromkeys(words))
+            ids = batch.column("doc_id")
+            for a, b, texts in column_slices(batch.column("text"), block_chars):
+                index = _Codes()
+                coded = [array("I", map(index.__getitem__, coder.split(t))) for t in texts]
                 words = list(index)
                 bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % n_buckets for w in words), dtype=np.int64, count=len(words))
                 order = np.argsort(bucket, kind="stable")
@@ -72,9 +79,10 @@ def _blocks(tokenizer: str, n_buckets: int, block_chars: int, codes: bool):
                 digest.update("\n".join(words).encode("utf-8", "surrogatepass"))
                 block, number = int.from_bytes(digest.digest(), "little", signed=True), number + 1
                 if codes:
-                    index = dict(zip(words, range(len(words)), strict=True))
-                    get, counts = index.__getitem__, np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-                    flat = np.fromiter((get(w) for ws in split for w in ws), dtype=np.uint32, count=int(counts.sum()))
+                    place = np.empty(len(order), dtype=np.uint32)
+                    place[order] = np.arange(len(order), dtype=np.uint32)
+                    counts = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+                    flat = place[np.frombuffer(b"".join(c.tobytes() for c in coded), dtype=np.uint32)]
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([own.to_pylist()], pa.list_(pa.int64())), pa.array([_pack(counts)], pa.binary()), pa.array([_pack(flat)], pa.binary())], ["block", "doc_ids", "counts", "codes"])
                 elif words:
                     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])

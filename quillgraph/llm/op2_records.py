@@ -30,7 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..shared import shared_path
 from .files import Folder
-from .words import codec, text_slices
+from .words import codec, column_slices
 
 NAME = "framed_records"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
@@ -80,9 +80,9 @@ class RecordWriter(DataSourceArrowWriter):
         name, out, index, at, n_ids = f"part-{task.partitionId():06d}-{task.taskAttemptId()}", None, [], 0, 0
         end = np.array([self.end], dtype=coder.dtype).tobytes()
         for batch in iterator:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for a, b in text_slices(texts := texts.to_pylist()):
-                for doc_id, coded in zip(ids[a:b], coder.encode(texts[a:b]), strict=True):
+            ids = batch.column("doc_id").to_pylist()
+            for a, b, texts in column_slices(batch.column("text"), 4_000_000):
+                for doc_id, coded in zip(ids[a:b], coder.encode(texts), strict=True):
                     out = out or folder.write(f"{name}.rec")
                     record = frame(doc_id, coded + end, coder.dtype.itemsize)
                     n = len(coded) // coder.dtype.itemsize + 1

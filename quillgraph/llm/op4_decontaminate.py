@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .words import text_slices
+from .words import column_slices, text_slices
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
 WALKS, TABLES, SAMPLED = 6, 72, 3
@@ -178,11 +178,12 @@ class Items:
             out.append((w.doc[first], first - w.first[w.doc[first]], w.start[first], w.end[first + n - 1], w.hash[first[:, None] + np.arange(n)]))
         return out
 
-    def search(self, texts: list) -> list[tuple]:
+    def search(self, texts) -> list[tuple]:
         """(text number, item id, first word, start, end, distance, similarity): the best window of each text and item."""
         parts: list[list] = [[] for _ in self.groups]
-        for a, b in text_slices(texts, _SLICE):
-            for own, (doc, word, start, end, hashes) in zip(parts, self.windows(texts[a:b]), strict=True):
+        slices = ((a, b, texts[a:b]) for a, b in text_slices(texts, _SLICE)) if isinstance(texts, list) else column_slices(texts, _SLICE)
+        for a, _, part in slices:
+            for own, (doc, word, start, end, hashes) in zip(parts, self.windows(part), strict=True):
                 if len(doc):
                     own.append((doc + a, word, start, end, hashes))
         groups = [k for k, own in enumerate(parts) if own]
@@ -225,7 +226,7 @@ def _search(shared, similarity: float):
         items = Items(shared.value, similarity)
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("distance", pa.int64()), ("similarity", pa.float64())])
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             found = items.search(texts)
             if found:
                 columns = list(zip(*found, strict=True))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..shared import materialise
 from . import textvec
-from .words import text_slices
+from .words import column_slices
 
 REACH, SUPPORT, DISCLOSURE = 5, 3, 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -87,10 +87,6 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def text_key(text: str | None) -> bytes:
-    return hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
 def _hash64(data: str) -> int:
     return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -99,13 +95,12 @@ def _find(reach: int):
     """For each row its base spans, and for each of them the words around: (entity, context, term, start, end)."""
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     near = pa.struct([("e", pa.int64()), ("c", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("base", pa.list_(span)), ("near", pa.list_(near))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.string()), ("base", pa.list_(span)), ("near", pa.list_(near))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in text_slices(texts, _SLICE):
-                part = texts[a:b]
+            ids, hashes = batch.column("doc_id"), batch.column("h")
+            for a, b, part in column_slices(batch.column("text"), _SLICE):
                 base = [base_spans(t) for t in part]
                 some = [k for k, x in enumerate(base) if x]
                 w = textvec.words([part[k] for k in some])
@@ -123,7 +118,7 @@ def _find(reach: int):
                         entity, context = _hash64(f"{kind}:{part[k][s:e].lower()}"), _hash64(own[chosen].tobytes().hex())
                         around[k] += [{"e": entity, "c": context, "t": int(own[x]), "start": int(start[x]), "end": int(end[x])} for x in chosen]
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(a, b - a), pa.array([text_key(t) if x else b"" for t, x in zip(part, base, strict=True)], pa.binary()),
+                    ids.slice(a, b - a), hashes.slice(a, b - a),
                     pa.array([[{"start": s, "kind": kind, "end": e} for s, kind, e in x] for x in base], pa.list_(span)), pa.array(around, pa.list_(near)),
                 ], schema=schema)
 
@@ -133,8 +128,7 @@ def _find(reach: int):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of each word of a batch, by hash."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        found = [np.unique(textvec.words(texts[a:b]).hash.view(np.int64), return_counts=True) for a, b in text_slices(texts, _SLICE)]
+        found = [np.unique(textvec.words(texts).hash.view(np.int64), return_counts=True) for _, _, texts in column_slices(batch.column("text"), _SLICE)]
         if found:
             term = np.concatenate([x for x, _ in found])
             order = np.argsort(term, kind="stable")
@@ -144,9 +138,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(doc_id, h, base, terms) for every row: spans as (start, kind, end); h is the text's key where it has base spans."""
+    """(doc_id, h, base, terms) for every row: spans as (start, kind, end); h is the text's MD5."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialise(rows.mapInArrow(_find(reach), f"doc_id long, h binary, base array<{SPAN}>, near array<struct<e:long,c:long,t:long,start:int,end:int>>"), "op6-spans")
+    keyed = rows.withColumn("h", F.md5(F.coalesce("text", F.lit(""))))
+    found = materialise(keyed.mapInArrow(_find(reach), f"doc_id long, h string, base array<{SPAN}>, near array<struct<e:long,c:long,t:long,start:int,end:int>>"), "op6-spans")
     near = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("n")).select("doc_id", "h", "n.*")
     context = near.select("e", "c", "t").distinct()
     of_entity = near.select("e", "c").distinct().groupBy("e").agg(F.count("*").alias("ce"))
@@ -171,10 +166,6 @@ def spans_text(spans) -> F.Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def _keys(texts: pd.Series) -> pd.Series:
-    return pd.Series([text_key(t) for t in texts], dtype=object)
-
-
 def _mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
     for text, own in zip(texts, spans, strict=True):
@@ -187,14 +178,13 @@ def _mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-for _f in (_keys, _mask):
-    _f.__annotations__ = dict.fromkeys((*_f.__code__.co_varnames[: _f.__code__.co_argcount], "return"), pd.Series)
+_mask.__annotations__ = {"texts": pd.Series, "spans": pd.Series, "return": pd.Series}
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with their spans replaced by the kind in brackets; all other columns and rows are kept."""
     found = find(docs, **options).where(F.size("base") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h2"), F.concat("base", "terms").alias("_spans")).dropDuplicates(["_id", "_h2"])
-    marked = docs.withColumn("_h", F.pandas_udf(_keys, "binary")(F.col("text").cast("string")))
+    marked = docs.withColumn("_h", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = marked.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
     return joined.withColumn("text", F.pandas_udf(_mask, "string")(F.col("text").cast("string"), "_spans")).select(*docs.columns)
 

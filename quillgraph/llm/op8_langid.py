@@ -86,11 +86,12 @@ def fit(texts: list[str], langs: list[str], landmarks_per_lang: int = LANDMARKS_
 
 def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     pred, best = [UND] * len(texts), np.zeros(len(texts))
-    clean = [normal(t) if t else "" for t in texts]
-    use = [k for k, t in enumerate(clean) if t]
-    for a in range(0, len(use), _CHUNK):
-        own = use[a : a + _CHUNK]
-        p = presence([clean[k] for k in own])
+    for a in range(0, len(texts), _CHUNK):
+        clean = [normal(t) if t else "" for t in texts[a : a + _CHUNK]]
+        own = [a + k for k, t in enumerate(clean) if t]
+        if not own:
+            continue
+        p = presence([t for t in clean if t])
         raw = p.astype(np.float32) @ model.weights[:-1] / np.sqrt(p.sum(1))[:, None] + model.weights[-1]
         for k, c, s in zip(own, raw.argmax(1), raw.max(1), strict=True):
             pred[k], best[k] = model.langs[c], float(np.clip((s + 1) / 2, 0, 1))

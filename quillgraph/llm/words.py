@@ -132,3 +132,16 @@ def text_slices(texts: list, most_chars: int = 4_000_000):
         chars += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def column_slices(column, most_bytes: int):
+    """(start, stop, texts) over an Arrow string column: Python strings of one slice at a time."""
+    import pyarrow.compute as pc
+
+    size = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))]
+    start, n = 0, len(column)
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(size, size[start] + most_bytes, side="right")) - 1)
+        stop = min(stop, n)
+        yield start, stop, column.slice(start, stop - start).to_pylist()
+        start = stop
