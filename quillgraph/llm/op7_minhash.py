@@ -5,12 +5,14 @@ dealt to K registers; a register keeps the shingle that arrived first, and a pro
 than all of its text's registers. Two texts agree in a register with the probability Jaccard similarity J_P of their weights.
 
 1. One pass makes the signatures; texts equal in every character become one class (hash of the text, pre-aggregated).
-2. ``BANDS`` bands of ``ROWS`` registers give buckets. In each bucket the members are compared with two of them, its most
-   central member (the one whose buckets are largest) and its least one: as many pairs as members, whatever the size.
-3. Pairs are verified with the exact J_P of the whole shingle sets. Links give components.
-4. Exact remainder: where members of one bucket are in different components, all pairs across components are compared
-   by a sketch of one bit for each register in the join itself; pairs whose estimate is within four standard deviations of
-   the threshold are verified, too. No link that the buckets can see is lost, and there is no cap.
+2. ``BANDS`` bands of ``ROWS`` registers give buckets. A bucket's members are tied to its least member, one row each, and the
+   components of these ties are the candidate groups: any two texts that share a bucket are in one group.
+3. Groups are compared with the exact J_P of whole shingle sets. The sets of a group travel once if it fits a tile of
+   ``TILE`` texts and ``TILE_BYTES``; larger groups are cut into blocks, and each pair of blocks is a tile of its own, so a hot
+   group is spread over many tasks and none holds it whole. Small groups share tiles.
+4. A tile counts shared shingles by a matrix product and returns a spanning forest of its links, never its pairs. No
+   candidate is dropped and there is no cap; the work in a group of m texts that differ is m**2 / TILE rows and m**2 / 2
+   products. Links give the classes.
 
 Defined results: a text of fewer than five words is one shingle; null texts and texts without words are in a class of
 their own each; rows with the same id are one document if their texts are equal, otherwise they share the smaller class;
@@ -23,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..shared import materialise
 from . import textvec
-from .words import text_slices
+from .words import column_slices
 
 #: 24 bands of 7 registers: two texts of similarity 0.8 share a bucket with probability 0.9965, of 0.85 with 0.9999.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 7
-_SLICE = 1_500_000
+#: Texts, and bytes of shingles, that one side of a tile holds.
+TILE, TILE_BYTES = 768, 12_000_000
+_SLICE, _COLUMNS = 1_500_000, 4096
 
 
 def weighted(texts: list, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,45 +73,48 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
 
 
 def _sign(shingle: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("bands", pa.list_(pa.int64())), ("s", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = bands * rows
         salt = textvec.mix(np.arange(bands, dtype=np.uint64) + np.uint64(1))
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in text_slices(texts, _SLICE):
-                part = texts[a:b]
+            ids = batch.column("doc_id")
+            for a, b, part in column_slices(batch.column("text"), _SLICE):
                 doc, code, count = weighted(part, shingle)
                 sig = prob_minhash(doc, code, count, len(part), k)
                 key = np.zeros((len(part), bands), dtype=np.uint64) + salt
                 for r in range(rows):
                     key = textvec.mix(key + sig.reshape(len(part), bands, rows)[:, :, r])
-                one = np.zeros((len(part), -(-k // 64) * 64), dtype=np.uint8)
-                one[:, :k] = textvec.mix(sig) & np.uint64(1)
-                bits = np.packbits(one, axis=1).view("<i8")
                 has = np.flatnonzero(np.bincount(doc, minlength=len(part)))
                 if not len(has):
                     continue
-                text_hash = [hashlib.blake2b(part[d].encode("utf-8", "surrogatepass"), digest_size=16).digest() for d in has]
+                text_hash = [_key(part[d]) for d in has]
                 lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(has)), pa.array(text_hash, pa.binary()), lists(key[has]), lists(bits[has])], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(has)), pa.array(text_hash, pa.binary()), lists(key[has])], schema=schema)
 
     return run
 
 
+def _key(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _sets(shingle: int):
-    schema = pa.schema([("id", pa.int64()), ("x", pa.binary()), ("w", pa.binary())])
+    """(id, g, shingles, weights) of the rows whose text is that of the class; no weights where all are one."""
+    schema = pa.schema([("id", pa.int64()), ("g", pa.int64()), ("x", pa.binary()), ("w", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("text").to_pylist()
-            for a, b in text_slices(texts, _SLICE):
-                doc, code, count = weighted(texts[a:b], shingle)
-                cut = np.searchsorted(doc, np.arange(b - a + 1))
+            for a, _, texts in column_slices(batch.column("text"), _SLICE):
+                wanted = batch.column("h").slice(a, len(texts)).to_pylist()
+                use = [k for k, (t, h) in enumerate(zip(texts, wanted, strict=True)) if t is not None and _key(t).hex().upper() == h]
+                doc, code, count = weighted([texts[k] for k in use], shingle)
+                cut = np.searchsorted(doc, np.arange(len(use) + 1))
                 x = [code[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 w = [b"" if (own := count[i:j]).max(initial=1) == 1 else own.astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(x, pa.binary()), pa.array(w, pa.binary())], schema=schema)
+                rows = pa.array([a + k for k in use], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("g").take(rows), pa.array(x, pa.binary()), pa.array(w, pa.binary())], schema=schema)
 
     return run
 
@@ -132,70 +138,95 @@ def probability_jaccard(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.nda
     return float((1.0 / (upto[at] / a[shared] + after[at] / b[shared])).sum())
 
 
-def _similar(ax: pd.Series, aw: pd.Series, bx: pd.Series, bw: pd.Series) -> pd.Series:
-    out = []
-    for x, xw, y, yw in zip(ax, aw, bx, bw, strict=True):
-        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-        out.append(probability_jaccard(x, np.frombuffer(xw, "<u4") if xw else np.ones(len(x)), y, np.frombuffer(yw, "<u4") if yw else np.ones(len(y))))
-    return pd.Series(out, dtype="float64")
-
+def _linked(sets: list, threshold: float) -> list[tuple[int, int]]:
+    """Spanning forest of the links among (shingles, weights or None) of one group, by position."""
+    n, sizes = len(sets), np.array([len(x) for x, _ in sets], dtype=np.float64)
+    code, owner = np.concatenate([x for x, _ in sets]), np.repeat(np.arange(n), sizes.astype(np.int64))
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    new = np.r_[True, code[1:] != code[:-1]]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column) > 1  # only shared shingles count
+    keep = often[column]
+    place = np.cumsum(often) - 1
+    owner, column, width = owner[keep], place[column[keep]], int(often.sum())
+    shared = np.zeros((n, n), dtype=np.float32)
+    for a in range(0, width, _COLUMNS):  # columns are in order
+        lo, hi = np.searchsorted(column, (a, a + _COLUMNS))
+        m = np.zeros((n, min(_COLUMNS, width - a)), dtype=np.float32)
+        m[owner[lo:hi], column[lo:hi] - a] = 1
+        shared += m @ m.T
+    flat = np.array([w is None for _, w in sets])
+    both = flat[:, None] & flat[None, :]
+    least = np.where(both, threshold * (sizes[:, None] + sizes[None, :]) / (1 + threshold), 1) - 1e-3
+    r, c = np.nonzero(np.triu(shared >= least, 1))
+    sure = both[r, c]
+    root, out = np.arange(n), []
+    for pick in (np.flatnonzero(sure), np.flatnonzero(~sure)):
+        for x, y in zip(r[pick].tolist(), c[pick].tolist(), strict=True):
+            a, b = x, y
+            while root[a] != a:
+                root[a] = root[root[a]]
+                a = root[a]
+            while root[b] != b:
+                root[b] = root[root[b]]
+                b = root[b]
+            if a == b:
+                continue
+            (xs, xw), (ys, yw) = sets[x], sets[y]
+            if not (flat[x] and flat[y]) and probability_jaccard(xs, np.ones(len(xs)) if xw is None else xw, ys, np.ones(len(ys)) if yw is None else yw) < threshold:
+                continue
+            root[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def _tile(threshold: float):
+    """applyInArrow over one tile: the links between its groups' members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("g", "ascending"), ("id", "ascending")])
+        g, ids = table.column("g").to_numpy(), table.column("id").to_numpy()
+        x, w = table.column("x"), table.column("w")
+        cuts, edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]), []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            sets = [(np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u4").astype(np.float64) if len(q.as_py()) else None) for p, q in zip(x.slice(a, b - a), w.slice(a, b - a), strict=True)]
+            edges += [(int(ids[a + p]), int(ids[a + q])) for p, q in _linked(sets, threshold)]
+        return pa.table([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-_similar.__annotations__ = {"ax": pd.Series, "aw": pd.Series, "bx": pd.Series, "bw": pd.Series, "return": pd.Series}
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """Pairs (a, b) of class ids at the threshold, by their whole shingle sets."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    # a class is read through its least document; the text's hash makes sure that it is that text
-    texts = docs.join(needed, docs["doc_id"] == needed["id"]).select("id", "text")
-    sets = materialise(texts.mapInArrow(_sets(shingle), "id long, x binary, w binary"), "op7-sets")
-    left = sets.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("w").alias("aw"))
-    right = sets.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("w").alias("bw"))
-    # an upper bound from the sizes alone comes first where all weights are one
-    near = (F.greatest(F.length("ax"), F.length("bx")) * threshold <= F.least(F.length("ax"), F.length("bx"))) | (F.length("aw") > 0) | (F.length("bw") > 0)
-    both = pairs.join(left, "a").join(right, "b").where(near)
-    return both.withColumn("j", F.pandas_udf(_similar, "double")("ax", "aw", "bx", "bw")).where(F.col("j") >= threshold).select("a", "b")
+    return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(doc_id, class_id, kept): class_id is the least document id of the class; kept marks that document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_sign(shingle, bands, rows), "doc_id long, h binary, bands array<long>, s array<long>")
+    signed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_sign(shingle, bands, rows), "doc_id long, h binary, bands array<long>")
     signed = materialise(signed, "op7-signatures")
-    classes = materialise(signed.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("s").alias("s")), "op7-classes")
+    classes = signed.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    classes = materialise(classes, "op7-classes")
     keys = classes.select("id", F.explode("bands").alias("key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(keys.join(crowded, "key"), "op7-members")
-    central = members.groupBy("id").agg(F.sum("n").alias("c"))
-    ranked = members.select("key", "id").join(central, "id")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("c", (-F.col("id")).alias("m")))["m"].alias("m"), F.min("id").alias("least"))
-    star = members.select("key", "id").join(leaders, "key").select("id", F.explode(F.array_distinct(F.array(-F.col("m"), F.col("least")))).alias("to"))
-    pairs = materialise(star.where("id <> to").select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), "op7-pairs")
-    links = materialise(_verified(pairs, docs, classes, threshold, shingle), "op7-links")
-    parts = materialise(connected_components(links), "op7-parts")
-
-    # what is left: members of one bucket in different components
-    placed = members.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    registers = bands * rows
-    longs = range(-(-registers // 64))
-    sketch = classes.select("id", *(F.col("s")[k].alias(f"s{k}") for k in longs))
-    open_ = materialise(placed.join(mixed, "key", "left_semi").join(sketch, "id"), "op7-open")
-    # bits agree with probability (1 + J) / 2; four standard deviations below the threshold
-    agree = (1 + threshold) / 2
-    most = int(registers * (1 - agree) + 4 * (registers * agree * (1 - agree)) ** 0.5)
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = F.lit(0)
-    for k in longs:
-        apart = apart + F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}")))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (apart <= most))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = materialise(rest, "op7-rest")
-    links = links.union(_verified(rest, docs, classes, threshold, shingle))
-    parts = connected_components(links)
-
-    named = classes.select("h", "id").join(parts, "id", "left").select("h", F.coalesce("component", "id").alias("class_id"))
-    placed = signed.select("doc_id", "h").join(named, "h").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    # texts without a partner in any bucket end here
+    crowded = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").select("key", "least")
+    ties = materialise(keys.join(crowded, "key").where("id <> least").select("id", "least").distinct(), "op7-ties")
+    groups = materialise(connected_components(ties, "id", "least").select("id", F.col("component").alias("g")), "op7-groups")
+
+    # a class is read through its least document; of rows with that id the hash picks the text
+    named = classes.join(groups, "id").select("id", "g", F.hex("h").alias("h"))
+    texts = docs.join(named, docs["doc_id"] == named["id"]).select("id", "g", "h", "text")
+    sets = materialise(texts.mapInArrow(_sets(shingle), "id long, g long, x binary, w binary"), "op7-sets")
+    size = sets.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.length("x") + F.length("w")).alias("bytes"))
+    size = size.where("n > 1").select("g", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("bytes") / tile_bytes)).cast("int").alias("blocks"), "n")
+    total = size.where("blocks = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    packs = max(1, 4 * int(total) // tile)
+    placed = sets.join(size, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    small = placed.where("blocks = 1").select("g", "id", "x", "w", F.lit(-1).cast("long").alias("t"), F.pmod(F.xxhash64("g"), F.lit(packs)).cast("int").alias("i"), F.lit(0).alias("j"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    large = placed.where("blocks > 1").select("g", "id", "x", "w", "block", other.alias("o")).select("g", "id", "x", "w", F.col("g").alias("t"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    links = small.unionByName(large).groupBy("t", "i", "j").applyInArrow(_tile(threshold), "a long, b long")
+    parts = connected_components(materialise(links, "op7-links"))
+
+    found = classes.select("h", "id").join(parts, "id", "left").select("h", F.coalesce("component", "id").alias("class_id"))
+    placed = signed.select("doc_id", "h").join(found, "h").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = docs.select("doc_id").join(placed, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
