@@ -34,8 +34,8 @@ from ..shared import materialise
 from . import textvec
 from .words import column_slices
 
-#: 24 bands of 7 registers: two texts of similarity 0.8 share a bucket with probability 0.9965, of 0.85 with 0.9999.
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 7
+#: 28 bands of 6 registers: two texts of similarity 0.8 share a bucket with probability 0.9998.
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 28, 6
 #: Texts, and bytes of shingles, that one side of a tile holds.
 TILE, TILE_BYTES = 768, 12_000_000
 _SLICE, _COLUMNS = 1_500_000, 4096
