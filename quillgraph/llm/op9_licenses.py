@@ -114,3 +114,23 @@ def op9_license_scan(spark, sf_dir):
         F.array_join(F.array_sort(F.transform("licenses", lambda s: s["license"])), ",").alias("license_ids"),
         F.round(F.coalesce(F.array_max(F.transform("licenses", lambda s: s["dice"])), F.lit(0.0)), 6).alias("best_dice"),
     )
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """The query in SQL: every unit against every template, without the tests that save work."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, bigrams_of(words_of(t))))}])" for k, t in TEMPLATES)
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {rows}) v(license, g)),
+d AS (SELECT doc_id, coalesce(text, '') AS x, row_number() OVER () AS rid FROM documents),
+u AS (SELECT rid, unnest(list_distinct(list_concat(string_split(x, chr(10)), list_concat(regexp_split_to_array(x, '\\n\\s*\\n'), list_concat([x],
+  flatten(list_transform(string_split(x, chr(10)), lambda y: string_split(regexp_replace(y, '([.!?:;])\\s+', '\\1' || chr(1), 'g'), chr(1))))))))) AS u FROM d),
+w AS (SELECT rid, regexp_extract_all(lower(u), '[a-z0-9]+') AS w FROM u),
+b AS (SELECT rid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 200),
+m AS (SELECT b.rid, t.license, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice FROM b JOIN t ON len(t.g) * {threshold} <= len(b.g) * {2 - threshold} AND len(b.g) * {threshold} <= len(t.g) * {2 - threshold})
+SELECT d.doc_id, count(DISTINCT m.license) AS n_licenses, coalesce(string_agg(DISTINCT m.license, ',' ORDER BY m.license), '') AS license_ids, round(coalesce(max(m.dice), 0), 6) AS best_dice
+FROM d LEFT JOIN m ON m.rid = d.rid AND m.dice >= {threshold} GROUP BY d.rid, d.doc_id
+"""
+
+
+OP9_SQL = oracle()
