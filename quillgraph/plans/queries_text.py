@@ -126,7 +126,7 @@ def _(s):
     return s.src.select("id", F.posexplode(udfs.chunks(F.col("content"))).alias("n", "chunk")).select("id", "n", F.length("chunk").alias("length"), T.content_hash(F.col("chunk")).alias("h"))
 
 
-@query("wikilinks")
+@query("wikilinks", "SELECT id, source_ref AS target FROM {src}")
 def _(s):
     linked = F.concat(F.lit("[["), F.col("source_ref"), F.lit("|alias]] and `[[code]]` "), F.col("content"))
     return s.src.select("id", F.explode(T.wikilinks(linked)).alias("target"))
@@ -139,7 +139,7 @@ def _(s):
     return s.src.select("id", fm["source"].alias("source"), fm["rank"].cast("int").alias("rank"))
 
 
-@query("code_chunks")
+@query("code_chunks", "SELECT id, (pos - 1) // 60 AS chunk, count(*) AS n_lines, sum(length(line))::BIGINT AS chars FROM (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM {src}) x GROUP BY 1, 2")
 def _(s):
     """Windows of 60 lines."""
     lines = F.split("content", "\n")
