@@ -142,24 +142,30 @@ def _linked(sets: list, threshold: float) -> list[tuple[int, int]]:
     """Spanning forest of the links among (shingles, weights or None) of one group, by position."""
     n, sizes = len(sets), np.array([len(x) for x, _ in sets], dtype=np.float64)
     code, owner = np.concatenate([x for x, _ in sets]), np.repeat(np.arange(n), sizes.astype(np.int64))
+    part = np.concatenate([np.full(len(x), 1 / max(1, len(x))) if w is None else w / w.sum() for x, w in sets]).astype(np.float32)
+    flat = np.array([w is None for _, w in sets])
     order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
+    code, owner, part = code[order], owner[order], part[order]
     new = np.r_[True, code[1:] != code[:-1]]
     column = np.cumsum(new) - 1
     often = np.bincount(column) > 1  # only shared shingles count
     keep = often[column]
     place = np.cumsum(often) - 1
-    owner, column, width = owner[keep], place[column[keep]], int(often.sum())
-    shared = np.zeros((n, n), dtype=np.float32)
+    owner, column, part, width = owner[keep], place[column[keep]], part[keep], int(often.sum())
+    shared, share = np.zeros((n, n), dtype=np.float32), np.zeros((n, n), dtype=np.float32)
     for a in range(0, width, _COLUMNS):  # columns are in order
         lo, hi = np.searchsorted(column, (a, a + _COLUMNS))
         m = np.zeros((n, min(_COLUMNS, width - a)), dtype=np.float32)
         m[owner[lo:hi], column[lo:hi] - a] = 1
         shared += m @ m.T
-    flat = np.array([w is None for _, w in sets])
+        if not flat.all():  # of each text's weight, the share on shingles of the other
+            weighted_m = np.zeros_like(m)
+            weighted_m[owner[lo:hi], column[lo:hi] - a] = part[lo:hi]
+            share += weighted_m @ m.T
     both = flat[:, None] & flat[None, :]
-    least = np.where(both, threshold * (sizes[:, None] + sizes[None, :]) / (1 + threshold), 1) - 1e-3
-    r, c = np.nonzero(np.triu(shared >= least, 1))
+    # sets: the exact test; weights: J_P is at most the smaller share
+    near = shared >= threshold * (sizes[:, None] + sizes[None, :]) / (1 + threshold) - 1e-3
+    r, c = np.nonzero(np.triu(np.where(both, near, np.minimum(share, share.T) >= threshold - 1e-4), 1))
     sure = both[r, c]
     root, out = np.arange(n), []
     for pick in (np.flatnonzero(sure), np.flatnonzero(~sure)):
