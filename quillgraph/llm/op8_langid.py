@@ -128,7 +128,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": pred, "score": best})
 
     apply.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    apply = F.pandas_udf(apply, "struct<lang_pred:string,score:double>")
+    # not to be evaluated again by a filter on its result
+    apply = F.pandas_udf(apply, "struct<lang_pred:string,score:double>").asNondeterministic()
     return docs.withColumn("_p", apply(F.col("text").cast("string"))).select(*docs.columns, "_p.lang_pred", "_p.score")
 
 
