@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import codec, column_slices
+from .words import codec, column_slices, releasing
 
 OUT = "doc_id long, n_tokens long, ids binary, decoded string"
 #: Bytes of text in a block.
@@ -90,7 +90,7 @@ def _blocks(tokenizer: str, n_buckets: int, block_chars: int, codes: bool):
                     joined = ["\n".join(words[x:y]) for x, y in zip(starts, stops, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(starts), pa.int64()), pa.array(bucket[starts], pa.int32()), pa.array(starts, pa.int32()), pa.array(joined, pa.string())], ["block", "bucket", "start", "words"])
 
-    return run
+    return releasing(run)
 
 
 def _encode(tokenizer: str):
@@ -109,7 +109,7 @@ def _encode(tokenizer: str):
                 counts = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // coder.dtype.itemsize
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([start], pa.int32()), pa.array([_pack(counts)], pa.binary()), pa.array([b"".join(coded)], pa.binary())], ["block", "start", "counts", "ids"])
 
-    return run
+    return releasing(run)
 
 
 def _assemble(tokenizer: str):

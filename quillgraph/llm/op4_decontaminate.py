@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .words import column_slices, text_slices
+from .words import column_slices, releasing, text_slices
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
 WALKS, TABLES, SAMPLED = 6, 72, 3
@@ -233,7 +233,7 @@ def _search(shared, similarity: float):
                 columns[0] = [ids[d] for d in columns[0]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
-    return run
+    return releasing(run)
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..shared import materialise
 from . import textvec
-from .words import column_slices
+from .words import column_slices, releasing
 
 REACH, SUPPORT, DISCLOSURE = 5, 3, 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -122,9 +122,10 @@ def _find(reach: int):
                     pa.array([[{"start": s, "kind": kind, "end": e} for s, kind, e in x] for x in base], pa.list_(span)), pa.array(around, pa.list_(near)),
                 ], schema=schema)
 
-    return run
+    return releasing(run)
 
 
+@releasing
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of each word of a batch, by hash."""
     for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..shared import materialise
 from . import textvec
-from .words import column_slices
+from .words import column_slices, releasing
 
 #: 28 bands of 6 registers: two texts of similarity 0.8 share a bucket with probability 0.9998.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 28, 6
@@ -93,7 +93,7 @@ def _sign(shingle: int, bands: int, rows: int):
                 lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(has)), pa.array(text_hash, pa.binary()), lists(key[has])], schema=schema)
 
-    return run
+    return releasing(run)
 
 
 def _key(text: str) -> bytes:
@@ -116,7 +116,7 @@ def _sets(shingle: int):
                 rows = pa.array([a + k for k in use], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("g").take(rows), pa.array(x, pa.binary()), pa.array(w, pa.binary())], schema=schema)
 
-    return run
+    return releasing(run)
 
 
 def probability_jaccard(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.ndarray) -> float:

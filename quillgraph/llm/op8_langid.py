@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .words import release
+
 BITS = 16
 BINS = 1 << BITS
 LENGTHS = (1, 2, 3)
@@ -126,6 +128,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for texts in batches:
             pred, best = score(shared.value, texts.tolist())
             yield pd.DataFrame({"lang_pred": pred, "score": best})
+        release()
 
     apply.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     # not to be evaluated again by a filter on its result

@@ -8,6 +8,7 @@ tokens are cut out of the raw text first, as the library does.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -111,6 +112,33 @@ class WordCodec:
         return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker waits for its next task with what it still uses, not with its peak."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run):
+    """A function over batches that releases memory at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 _codecs: dict[str, WordCodec] = {}
 
 
