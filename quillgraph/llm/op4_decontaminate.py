@@ -4,11 +4,11 @@ Similarity of an item of L words and a window of L words of a text is ``1 - edit
 
 1. Sound filter: a window within distance d of an item shares at least ``L - 1 - 2 d`` of its word bigrams with it (each edit
    touches two). Only windows with that many bigrams of items of their size go on; all positions of all texts are counted.
-2. Each window left, and each item, goes through CGK random-walk embeddings: an output of 3 L symbols that repeats a word or
-   moves on as a random bit of (step, word) says; edit distance k becomes a Hamming distance of O(k^2), mostly O(k).
-3. Bit-sampling LSH: ``TABLES`` tables of ``SAMPLED`` positions of the embeddings. For windows at the threshold the tables miss
-   together with a probability below about one in a hundred for each window; a passage has several windows.
-4. Candidates are verified by their exact edit distance.
+2. The same count for each single item: in the stretches left, the positions of every item's own bigrams are listed, and a
+   window is a candidate for an item if it holds ``L - 1 - 2 d`` of that item's. Nothing at the threshold is lost.
+3. Candidates are verified by their exact edit distance, those that share most first; one that shares s bigrams is at distance
+   ``(L - 1 - s) / 2`` at least, so those that cannot be the best window of their text and item are left out. Windows of the
+   same words are verified once for each text.
 
 The items are a constant of proven size: they are read in chunks of at most ``CHUNK_CHARS`` characters, each with a pass over
 the texts of its own, so any number of items works. Nothing is shuffled.
@@ -19,7 +19,6 @@ reported; rows with equal ids are each reported; other columns are ignored; an e
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -32,59 +31,9 @@ from . import textvec
 from .words import column_slices, releasing, text_slices
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
-WALKS, TABLES, SAMPLED = 6, 72, 3
 CHUNK_CHARS = 16_000_000
 OUT = "doc_id long, item_id long, start_word long, start_char long, end_char long, distance long, similarity double"
-_SLICE, _AT_ONCE = 1_500_000, 4_000
-_PAD = np.uint64(0x2545F4914F6CDD1D)
-
-
-def cgk(rows: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embedding of rows of word hashes, each with its own length (padding beyond it). A walk over L words ends at about
-    2 L of its 3 L symbols, and only those are ever sampled, so the first 2 L are made."""
-    n, longest = len(rows), rows.shape[1] - 1
-    at, every, out = np.zeros(n, dtype=np.int64), np.arange(n), np.empty((n, 2 * longest), dtype=np.uint64)
-    salt = textvec.mix(np.arange(2 * longest, dtype=np.uint64) + np.uint64(walk * 1_000_003 + 1))
-    for step in range(2 * longest):
-        symbol = rows[every, at]
-        out[:, step] = symbol
-        bit = textvec.mix(symbol ^ salt[step]) & np.uint64(1)
-        at = np.minimum(at + bit.astype(np.int64), lengths)
-    return out
-
-
-def padded(parts: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of several lengths as one matrix, and the lengths."""
-    out = np.full((sum(map(len, parts)), longest + 1), _PAD, dtype=np.uint64)
-    at = 0
-    for x in parts:
-        out[at : at + len(x), : x.shape[1]] = x
-        at += len(x)
-    return out, np.repeat([x.shape[1] for x in parts], [len(x) for x in parts])
-
-
-@functools.cache
-def sampled(table: int, length: int) -> tuple[int, ...]:
-    """The positions that a table samples from embeddings of rows of a length."""
-    rng = np.random.default_rng(table * 7919 + length)
-    return tuple(rng.choice(2 * length, size=min(SAMPLED, 2 * length), replace=False).tolist())
-
-
-def keys(parts: list[np.ndarray], longest: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """For each table, the LSH keys of the rows of each part; the parts have rows of one length each."""
-    rows, lengths = padded(parts, longest)
-    cuts = np.r_[0, np.cumsum([len(x) for x in parts])]
-    for walk in range(WALKS):
-        embedded = cgk(rows, lengths, walk)
-        for table in range(walk, TABLES, WALKS):
-            out = []
-            for x, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True):
-                length = x.shape[1]
-                key = np.full(b - a, table + 1, dtype=np.uint64)
-                for p in sampled(table, length):
-                    key = textvec.mix(key ^ embedded[a:b, p])
-                out.append(key)
-            yield table, out
+_SLICE, _AT_ONCE = 1_500_000, 2_000_000
 
 
 def places(words: np.ndarray) -> dict[int, int]:
@@ -119,21 +68,21 @@ class Items:
         for k, n in enumerate(np.diff(w.first).tolist()):
             if n >= LEAST_WORDS:
                 by_length.setdefault(n, []).append(k)
-        self.groups, grams = [], []
+        self.groups, self.owners, grams = [], [], []
         for n, own in sorted(by_length.items()):
             words = np.stack([w.hash[w.first[k] : w.first[k] + n] for k in own])
             most = math.floor((1 - similarity) * n + 1e-9)
-            own_grams = np.unique(self.bigrams(words))
+            own_grams, gram = np.unique(self.bigrams(words), return_inverse=True)
             self.groups.append((n, most, max(1, n - 1 - 2 * most), [rows[k][0] for k in own], words, own_grams))
+            self.owners.append(np.unique(gram.reshape(len(own), n - 1) * len(own) + np.arange(len(own))[:, None]))  # bigram, item
             grams.append(own_grams)
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, dtype=np.uint64)
         self.bitmap = np.zeros(1 << 22, dtype=bool)
         self.bitmap[self.grams >> np.uint64(42)] = True
-        self.least, self.longest = (self.groups[0][0], self.groups[-1][0]) if self.groups else (0, 0)
+        self.least = self.groups[0][0] if self.groups else 0
         # some stretch of the shortest size inside a matching window holds this many shared bigrams
         self.dense = min((math.ceil(need / math.ceil((n - 1) / (self.least - 1))) for n, _, need, *_ in self.groups), default=0)
         self.places = [[places(x) for x in g[4]] for g in self.groups]
-        self.tables = {t: [(np.sort(k), np.argsort(k, kind="stable")) for k in own] for t, own in keys([g[4] for g in self.groups], self.longest)} if self.groups else {}
 
     @staticmethod
     def bigrams(words: np.ndarray) -> np.ndarray:
@@ -143,13 +92,15 @@ class Items:
     def _among(code: np.ndarray, known: np.ndarray) -> np.ndarray:
         return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
 
-    def windows(self, texts: list) -> list[tuple[np.ndarray, ...]]:
-        """For each item size, the windows that share enough bigrams with items of that size: (text, first word, start, end,
-        words)."""
-        w = textvec.words(texts)
-        none = [tuple(np.zeros((0, n) if k == 4 else 0, dtype=np.uint64 if k == 4 else np.int64) for k in range(5)) for n, *_ in self.groups]
+    @staticmethod
+    def _spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """lo, lo + 1, ... of each size, one after the other."""
+        return np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum())) if len(size) else lo
+
+    def candidates(self, w: textvec.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(group, item, first word, shared bigrams) of the windows that share enough bigrams with an item of their size."""
         if not self.groups or len(w.hash) < self.least:
-            return none
+            return
         code = self.bigrams(w.hash)
         hit = self.bitmap[code >> np.uint64(42)] & (w.doc[1:] == w.doc[:-1])
         at = np.flatnonzero(hit)
@@ -159,65 +110,68 @@ class Items:
         run = np.r_[0, np.cumsum(hit)]
         span = self.least - 1
         crowded = np.flatnonzero(run[span:] - run[:-span] >= self.dense)
-        use = np.zeros(len(texts) + 1, dtype=bool)
+        use = np.zeros(len(w.first), dtype=bool)
         use[w.doc[np.minimum(crowded, len(w.doc) - 1)]] = True
         at = at[use[w.doc[at]]]
-        out = []
-        for (n, _, need, _, _, own), empty in zip(self.groups, none, strict=True):
+        wide = len(w.hash) + 1
+        for g, ((n, _, need, _, words, own), owners) in enumerate(zip(self.groups, self.owners, strict=True)):
             mine = at[self._among(code[at], own)]
-            # a window holds bigrams a .. a + need - 1 of mine: first word between mine[k + need - 1] - n + 2 and mine[k]
             if len(mine) < need:
-                out.append(empty)
                 continue
-            lo, hi = mine[need - 1 :] - n + 2, mine[: len(mine) - need + 1]
-            ok = (hi >= lo) & (w.doc[mine[need - 1 :]] == w.doc[hi])
-            lo, hi = np.maximum(lo[ok], w.first[w.doc[hi[ok]]]), hi[ok]
-            size = np.maximum(hi - lo + 1, 0)
-            first = np.unique(np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))) if len(size) else lo
-            first = first[first + n <= w.first[w.doc[first] + 1]] if len(first) else first
-            out.append((w.doc[first], first - w.first[w.doc[first]], w.start[first], w.end[first + n - 1], w.hash[first[:, None] + np.arange(n)]))
-        return out
+            # only stretches with enough bigrams of any item of the size
+            ok = np.flatnonzero((mine[need - 1 :] - mine[: len(mine) - need + 1] <= n - 2) & (w.doc[mine[need - 1 :]] == w.doc[mine[: len(mine) - need + 1]]))
+            edge = np.bincount(np.searchsorted(mine, mine[ok + need - 1] - n + 2), minlength=len(mine) + 1)
+            edge -= np.bincount(np.searchsorted(mine, mine[ok] + n - 1), minlength=len(mine) + 1)
+            mine = mine[np.cumsum(edge[:-1]) > 0]
+            if not len(mine):
+                continue
+            base, m = np.searchsorted(own, code[mine]) * len(words), len(words)
+            total = int((np.searchsorted(owners, base + m) - np.searchsorted(owners, base)).sum())
+            step = max(1, m // math.ceil(total / _AT_ONCE))  # a bounded number of positions at once
+            for a in range(0, m, step):
+                lo = np.searchsorted(owners, base + a)
+                size = np.searchsorted(owners, base + min(m, a + step)) - lo
+                held = np.sort(owners[self._spread(lo, size)] % m * wide + np.repeat(mine, size))  # item, position
+                if len(held) < need:
+                    continue
+                head, tail = held[: len(held) - need + 1], held[need - 1 :]
+                # a window holds positions head .. tail: its first word is between tail - n + 2 and head
+                near = tail - head <= n - 2
+                head, tail = head[near], tail[near]
+                near = (head // wide == tail // wide) & (w.doc[head % wide] == w.doc[tail % wide])
+                head, tail = head[near], tail[near]
+                doc, item = w.doc[head % wide], head // wide
+                lo = np.maximum(tail % wide - n + 2, w.first[doc])
+                hi = np.minimum(head % wide, w.first[doc + 1] - n)
+                window = np.unique(self._spread(item * wide + lo, np.maximum(hi - lo + 1, 0)))
+                if len(window):
+                    yield g, window // wide, window % wide, np.searchsorted(held, window + n - 1) - np.searchsorted(held, window)
 
     def search(self, texts) -> list[tuple]:
         """(text number, item id, first word, start, end, distance, similarity): the best window of each text and item."""
-        parts: list[list] = [[] for _ in self.groups]
         slices = ((a, b, texts[a:b]) for a, b in text_slices(texts, _SLICE)) if isinstance(texts, list) else column_slices(texts, _SLICE)
+        best: dict[tuple[int, int, int], tuple] = {}
         for a, _, part in slices:
-            for own, (doc, word, start, end, hashes) in zip(parts, self.windows(part), strict=True):
-                if len(doc):
-                    own.append((doc + a, word, start, end, hashes))
-        groups = [k for k, own in enumerate(parts) if own]
-        merged = [tuple(np.concatenate(c) for c in zip(*parts[k], strict=True)) for k in groups]
-        best: dict[tuple[int, int], tuple] = {}
-        while merged:
-            # a bounded number of windows at once
-            now, merged = [tuple(c[:_AT_ONCE] for c in x) for x in merged], [tuple(c[_AT_ONCE:] for c in x) for x in merged]
-            found: list[list] = [[] for _ in groups]
-            for table, key in keys([x[4] for x in now], self.longest):
-                for n, (g, k) in enumerate(zip(groups, key, strict=True)):
-                    known, order = self.tables[table][g]
-                    lo, hi = np.searchsorted(known, k, side="left"), np.searchsorted(known, k, side="right")
-                    some = np.flatnonzero(hi > lo)
-                    each = (hi - lo)[some]
-                    where = np.repeat(lo[some] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(int(each.sum())) if len(some) else lo[:0]
-                    found[n].append(np.repeat(some, each) * len(known) + order[where])
-            for (doc, word, start, end, hashes), g, pairs in zip(now, groups, found, strict=True):
-                n, most, _, ids, words, _ = self.groups[g]
-                window, item = np.divmod(np.unique(np.concatenate(pairs)), len(words))
-                same = (hashes[window] == words[item]).all(1)
-                # nothing is nearer than an equal window: its text and item need no other candidate
-                order = np.argsort(~same, kind="stable")
-                for k, it, equal in zip(window[order].tolist(), item[order].tolist(), same[order].tolist(), strict=True):
-                    name = (int(doc[k]), ids[it], n)
-                    if not equal and name in best and best[name][0] == 0:
+            w = textvec.words(part)
+            p, inverse = textvec._powers(len(w.hash) + 1)
+            total = np.r_[np.uint64(0), np.cumsum(w.hash * p[: len(w.hash)], dtype=np.uint64)]
+            for g, item, first, shared in self.candidates(w):
+                n, most, _, ids, _, _ = self.groups[g]
+                content = textvec.mix((total[first + n] - total[first]) * inverse[first])
+                code = textvec.mix(content + textvec.mix(w.doc[first].astype(np.uint64) * np.uint64(len(ids)) + item.astype(np.uint64)))
+                one = np.unique(code, return_index=True)[1]  # the first of equal windows
+                item, first, least = item[one], first[one], np.maximum(0, n - shared[one]) // 2
+                order = np.lexsort((first, least))
+                for it, f, bound in zip(item[order].tolist(), first[order].tolist(), least[order].tolist(), strict=True):
+                    d = int(w.doc[f])
+                    name, word = (a + d, ids[it], n), f - int(w.first[d])
+                    if name in best and (bound, word) >= best[name][:2]:
                         continue
-                    distance = 0 if equal else edit_distance(self.places[g][it], n, hashes[k].tolist())
+                    distance = edit_distance(self.places[g][it], n, w.hash[f : f + n].tolist())
                     if distance <= most:
-                        value = (distance, int(word[k]), int(start[k]), int(end[k]))
+                        value = (distance, word, int(w.start[f]), int(w.end[f + n - 1]))
                         if name not in best or value < best[name]:
                             best[name] = value
-            groups = [g for g, x in zip(groups, merged, strict=True) if len(x[0])]
-            merged = [x for x in merged if len(x[0])]
         return [(doc, item, word, start, end, distance, 1 - distance / n) for (doc, item, n), (distance, word, start, end) in sorted(best.items())]
 
 

@@ -130,6 +130,25 @@ def test_decontamination_finds_edited_passages_and_nothing_else(spark):
     assert op4_decontaminate.find_items(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_misses_no_window_at_the_threshold():
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(3000)]
+    items = [(k, " ".join(rnd.choices(vocab, k=n))) for k, n in enumerate([20, 50, 100, 200, 300, 400] * 4)]
+    docs = []
+    for k, text in items:
+        for share in (0.2, 0.15):
+            w = text.split()
+            for at in rnd.sample(range(len(w)), int(share * len(w))):
+                w[at] = "new" + rnd.choice(vocab)
+            docs.append(" ".join([*rnd.choices(vocab, k=30), *w, *rnd.choices(vocab, k=30)]))
+    found = {(r[0], r[1]): (r[5], r[2]) for r in op4_decontaminate.Items(items, 0.8).search(docs)}
+    assert set(found) == {(d, d // 2) for d in range(len(docs))}
+    for (d, k), best in found.items():
+        item, w = items[k][1].split(), docs[d].split()
+        at = op4_decontaminate.places(np.array(item))
+        assert best == min((op4_decontaminate.edit_distance(at, len(item), w[f : f + len(item)]), f) for f in range(len(w) - len(item) + 1))
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
