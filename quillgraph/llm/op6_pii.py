@@ -10,9 +10,10 @@ occurs tf(t) times in the whole corpus and in c(e, t) contexts of e::
 
 which is 1 where the term tells all that the entity's value would. Terms with at least ``SUPPORT`` contexts and a disclosure of
 at least ``DISCLOSURE`` would still reveal the entity after it is masked, so they are removed, too, wherever they stand in a
-context of that entity. ``tf`` and N are counted over all texts.
+context of that entity. ``tf`` and N are counted over all different texts, so copies change neither side of the ratio.
 
-Only hashes and counts are shuffled: partial counts of each task, and the contexts of the few texts with base spans.
+Hashes and counts are shuffled: partial counts of each task, and the contexts of the few texts with base spans. Of texts with
+copies, one is counted; these texts are shuffled, too (all texts, where the copied ones are too many for a broadcast).
 
 Defined results: null and empty texts have no spans; rows with equal ids are told apart by their text; a base span of two
 kinds is kept for each kind; an empty table gives an empty result; other columns are ignored, and kept by ``sanitise``.
@@ -148,7 +149,9 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure
     of_entity = near.select("e", "c").distinct().groupBy("e").agg(F.count("*").alias("ce"))
     together = context.groupBy("e", "t").agg(F.count("*").alias("cet")).where(F.col("cet") >= support)
     together = materialise(together.join(of_entity, "e"), "op6-together")
-    counted = rows.mapInArrow(_count, "t long, n long")
+    copied = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "op6-copied")
+    once = keyed.join(copied, "h", "left_anti").unionByName(keyed.join(copied, "h", "left_semi").select("h", "doc_id", "text").dropDuplicates(["h"]))
+    counted = once.select("text").mapInArrow(_count, "t long, n long")
     tf = materialise(counted.groupBy("t").agg(F.sum("n").alias("tf")), "op6-counts")
     windows = float(tf.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]) / (2 * reach + 1)
     pmi = F.log(F.col("cet") * F.lit(windows) / (F.col("ce") * F.col("tf")))

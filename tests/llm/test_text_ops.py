@@ -200,6 +200,23 @@ def test_one_context_repeated_proves_nothing(spark):
     assert all(not r["terms"] for r in op6_pii.find(docs).collect())
 
 
+def test_copies_leave_the_terms_unchanged(spark):
+    rnd = random.Random(4)
+    plain = [" ".join("".join(rnd.choices("abcdefgh", k=3)) for _ in range(60)) for _ in range(200)]
+    texts = plain + [f"please write {a} to quagmire zx@corp.example.org about {b} things" for a, b in zip("abcdef", "uvwxyz", strict=True)]
+
+    def terms(times):
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * times)], "doc_id long, text string")
+        out = {(r.doc_id % len(texts), tuple(tuple(s) for s in r["terms"])) for r in op6_pii.find(docs).collect()}
+        return sorted(out)
+
+    one = terms(1)
+    assert sum(bool(t) for _, t in one) == 6 and terms(30) == one
+    told = [k for k, t in enumerate(texts) if "@" in t]
+    copies = spark.createDataFrame([(k, t) for k, t in enumerate(texts + [texts[k] for k in told] * 30)], "doc_id long, text string")
+    assert {r.doc_id for r in op6_pii.find(copies).where("size(terms) > 0").collect()} >= {*told, len(texts)}
+
+
 def test_language_id_held_out_and_und(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in op8_langid.op8_langid(spark, sf).collect()}
