@@ -8,12 +8,17 @@ occurs tf(t) times in the whole corpus and in c(e, t) contexts of e::
 
     disclosure(t -> e) = PMI(e; t) / I(e) = log(c(e, t) N / (c(e) tf(t))) / log(N / c(e))
 
-which is 1 where the term tells all that the entity's value would. Terms with at least ``SUPPORT`` contexts and a disclosure of
-at least ``DISCLOSURE`` would still reveal the entity after it is masked, so they are removed, too, wherever they stand in a
-context of that entity. ``tf`` and N are counted over all different texts, so copies change neither side of the ratio.
+which is 1 where the term tells all that the entity's value would. ``tf`` and N are counted over all different texts, so copies
+change neither side of the ratio. The same is estimated over whole texts, which are then the contexts: N different texts, of
+which c(e) hold e, tf(t) hold t and c(e, t) hold both. Terms with at least ``SUPPORT`` contexts and a disclosure of at least
+``DISCLOSURE`` in either count would still reveal the entity after it is masked, so they are removed, too, wherever they stand
+in a text that holds the entity.
+
+Whole texts are counted only for entities of ``SUPPORT`` different texts or more and for terms whose tf allows the disclosure at
+all: as c(e, t) <= c(e), that is ``SUPPORT <= tf(t) <= N (c(e) / N) ** DISCLOSURE``.
 
 Hashes and counts are shuffled: partial counts of each task, and the contexts of the few texts with base spans. Of texts with
-copies, one is counted; these texts are shuffled, too (all texts, where the copied ones are too many for a broadcast).
+copies, one is counted; these are shuffled, too (all texts, where more than ``COPIED`` different ones have copies).
 
 Defined results: null and empty texts have no spans; rows with equal ids are told apart by their text; a base span of two
 kinds is kept for each kind; an empty table gives an empty result; other columns are ignored, and kept by ``sanitise``.
@@ -38,7 +43,7 @@ from .words import column_slices, releasing
 REACH, SUPPORT, DISCLOSURE = 5, 3, 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
 SPAN = "struct<start:int,kind:int,end:int>"
-_SLICE = 1_500_000
+_SLICE, COPIED = 1_500_000, 500_000
 
 # leftmost matches are the same with possessive runs, which fail in linear time
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -93,10 +98,12 @@ def _hash64(data: str) -> int:
 
 
 def _find(reach: int):
-    """For each row its base spans, and for each of them the words around: (entity, context, term, start, end)."""
+    """For each row its base spans, their entities, (entity, context, term) for the words around them, and, where there are base
+    spans, all words beside these: (term, start, end)."""
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    near = pa.struct([("e", pa.int64()), ("c", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.string()), ("base", pa.list_(span)), ("near", pa.list_(near))])
+    near = pa.struct([("e", pa.int64()), ("c", pa.int64()), ("t", pa.int64())])
+    word = pa.struct([("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.string()), ("base", pa.list_(span)), ("ents", pa.list_(pa.int64())), ("near", pa.list_(near)), ("words", pa.list_(word))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,11 +112,11 @@ def _find(reach: int):
                 base = [base_spans(t) for t in part]
                 some = [k for k, x in enumerate(base) if x]
                 w = textvec.words([part[k] for k in some])
-                terms, around = w.hash.view(np.int64), [[] for _ in part]
+                terms, around, ents, kept = w.hash.view(np.int64), [[] for _ in part], [[] for _ in part], np.ones(len(w.hash), dtype=bool)
                 for n, k in enumerate(some):
                     lo, hi = int(w.first[n]), int(w.first[n + 1])
                     start, end, own = w.start[lo:hi], w.end[lo:hi], terms[lo:hi]
-                    clear = np.ones(hi - lo, dtype=bool)
+                    clear = kept[lo:hi]
                     for s, _, e in base[k]:
                         clear[np.searchsorted(end, s, side="right") : np.searchsorted(start, e, side="left")] = False
                     left_to = np.flatnonzero(clear)
@@ -117,10 +124,15 @@ def _find(reach: int):
                         i = int(np.searchsorted(end[left_to], s, side="right"))
                         chosen = left_to[max(0, i - reach) : i + reach]
                         entity, context = _hash64(f"{kind}:{part[k][s:e].lower()}"), _hash64(own[chosen].tobytes().hex())
-                        around[k] += [{"e": entity, "c": context, "t": int(own[x]), "start": int(start[x]), "end": int(end[x])} for x in chosen]
+                        around[k] += [{"e": entity, "c": context, "t": int(own[x])} for x in chosen]
+                        ents[k].append(entity)
+                size = np.zeros(len(part), dtype=np.int64)
+                size[some] = np.add.reduceat(np.r_[kept, False], w.first[:-1], dtype=np.int64)[: len(some)] * (np.diff(w.first) > 0) if some else 0
+                words = pa.StructArray.from_arrays([pa.array(terms[kept]), pa.array(w.start[kept].astype(np.int32)), pa.array(w.end[kept].astype(np.int32))], fields=list(word))
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(a, b - a), hashes.slice(a, b - a),
-                    pa.array([[{"start": s, "kind": kind, "end": e} for s, kind, e in x] for x in base], pa.list_(span)), pa.array(around, pa.list_(near)),
+                    pa.array([[{"start": s, "kind": kind, "end": e} for s, kind, e in x] for x in base], pa.list_(span)), pa.array([sorted(set(x)) for x in ents], pa.list_(pa.int64())),
+                    pa.array(around, pa.list_(near)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), words),
                 ], schema=schema)
 
     return releasing(run)
@@ -128,38 +140,61 @@ def _find(reach: int):
 
 @releasing
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each word of a batch, by hash."""
+    """Occurrences of each word of a slice of texts, by hash, and the texts that hold it."""
     for batch in batches:
-        found = [np.unique(textvec.words(texts).hash.view(np.int64), return_counts=True) for _, _, texts in column_slices(batch.column("text"), _SLICE)]
-        if found:
-            term = np.concatenate([x for x, _ in found])
-            order = np.argsort(term, kind="stable")
-            term, n = term[order], np.concatenate([n for _, n in found])[order]
-            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(term[first]), pa.array(np.add.reduceat(n, first).astype(np.int64) if len(first) else np.zeros(0, np.int64))], ["t", "n"])
+        for _, _, texts in column_slices(batch.column("text"), _SLICE):
+            w = textvec.words(texts)
+            if len(w.hash):
+                term = w.hash.view(np.int64)
+                order = np.argsort(term, kind="stable")
+                term, doc = term[order], w.doc[order]
+                new = np.r_[True, term[1:] != term[:-1]]
+                first = np.flatnonzero(new)
+                held = np.add.reduceat((new | np.r_[True, doc[1:] != doc[:-1]]).astype(np.int64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(term[first]), pa.array(np.diff(np.r_[first, len(term)]).astype(np.int64)), pa.array(held)], ["t", "n", "d"])
+
+
+def _gain(both: str, entity: str, term: str, windows: float) -> F.Column:
+    pmi = F.log(F.col(both) * F.lit(windows) / (F.col(entity) * F.col(term)))
+    return F.when(F.col(entity) < F.lit(windows), pmi / F.log(F.lit(windows) / F.col(entity)))
 
 
 def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, h, base, terms) for every row: spans as (start, kind, end); h is the text's MD5."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("h", F.md5(F.coalesce("text", F.lit(""))))
-    found = materialise(keyed.mapInArrow(_find(reach), f"doc_id long, h string, base array<{SPAN}>, near array<struct<e:long,c:long,t:long,start:int,end:int>>"), "op6-spans")
-    near = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("n")).select("doc_id", "h", "n.*")
-    context = near.select("e", "c", "t").distinct()
-    of_entity = near.select("e", "c").distinct().groupBy("e").agg(F.count("*").alias("ce"))
-    together = context.groupBy("e", "t").agg(F.count("*").alias("cet")).where(F.col("cet") >= support)
-    together = materialise(together.join(of_entity, "e"), "op6-together")
-    copied = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "op6-copied")
-    once = keyed.join(copied, "h", "left_anti").unionByName(keyed.join(copied, "h", "left_semi").select("h", "doc_id", "text").dropDuplicates(["h"]))
-    counted = once.select("text").mapInArrow(_count, "t long, n long")
-    tf = materialise(counted.groupBy("t").agg(F.sum("n").alias("tf")), "op6-counts")
+    columns = f"doc_id long, h string, base array<{SPAN}>, ents array<long>, near array<struct<e:long,c:long,t:long>>, words array<struct<t:long,start:int,end:int>>"
+    found = materialise(keyed.mapInArrow(_find(reach), columns), "op6-spans")
+    by_text = found.groupBy("h").agg(F.count("*").alias("n"))
+    texts = float(by_text.count())
+    copied = materialise(by_text.where("n > 1").select("h"), "op6-copied")
+    once = keyed.dropDuplicates(["h"])
+    if copied.count() <= COPIED:  # then only texts with copies are moved
+        once = keyed.join(F.broadcast(copied), "h", "left_anti").unionByName(keyed.join(F.broadcast(copied), "h", "left_semi").dropDuplicates(["h"]))
+    counted = once.select("text").mapInArrow(_count, "t long, n long, d long")
+    tf = materialise(counted.groupBy("t").agg(F.sum("n").alias("tf"), F.sum("d").alias("df")), "op6-counts")
     windows = float(tf.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]) / (2 * reach + 1)
-    pmi = F.log(F.col("cet") * F.lit(windows) / (F.col("ce") * F.col("tf")))
-    gain = F.when(F.col("ce") < F.lit(windows), pmi / F.log(F.lit(windows) / F.col("ce")))
-    told = together.join(tf, "t").where(gain >= disclosure).select("e", "t")
-    extra = near.join(told, ["e", "t"], "left_semi").select("doc_id", "h", F.struct("start", F.lit(4).alias("kind"), "end").alias("s"))
-    extra = extra.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("s")).alias("terms"))
-    out = found.select("doc_id", "h", "base").join(extra, ["doc_id", "h"], "left")
+    # the words around
+    near = found.where(F.size("near") > 0).select(F.explode("near").alias("n")).select("n.*")
+    of_entity = near.select("e", "c").distinct().groupBy("e").agg(F.count("*").alias("ce"))
+    together = near.distinct().groupBy("e", "t").agg(F.count("*").alias("cet")).where(F.col("cet") >= support)
+    told = together.join(of_entity, "e").join(tf, "t").where(_gain("cet", "ce", "tf", windows) >= disclosure).select("e", "t")
+    # whole texts: the entities of each, then the terms that can reach the disclosure
+    held = materialise(found.where(F.size("ents") > 0).select("h", F.explode("ents").alias("e")).distinct(), "op6-held")
+    often = held.groupBy("e").agg(F.count("*").alias("ce")).where((F.col("ce") >= support) & (F.col("ce") < texts))
+    most = F.lit(texts) * F.pow(F.col("ce") / F.lit(texts), F.lit(disclosure)) * 1.000001
+    live = held.join(often, "e").withColumn("most", most)
+    largest = often.agg(F.max(most)).first()[0] or 0.0
+    in_text = found.where(F.size("words") > 0).join(live.select("h").distinct(), "h", "left_semi").select("h", F.explode(F.array_distinct(F.transform("words", lambda x: x["t"]))).alias("t")).distinct()
+    in_text = in_text.join(tf.where((F.col("df") >= support) & (F.col("df") <= largest)).select("t", "df"), "t")
+    pairs = in_text.join(live, "h").where(F.col("df") <= F.col("most"))
+    pairs = pairs.groupBy("e", "t", "ce", "df").agg(F.count("*").alias("cet")).where(F.col("cet") >= support)
+    told = materialise(told.union(pairs.where(_gain("cet", "ce", "df", texts) >= disclosure).select("e", "t")).distinct(), "op6-told")
+    # each occurrence in each text that holds the entity
+    hidden = held.join(told, "e").select("h", "t").distinct()
+    listed = found.where(F.size("words") > 0).join(hidden.select("h").distinct(), "h", "left_semi").select("h", F.explode("words").alias("w")).select("h", "w.*").distinct()
+    extra = listed.join(hidden, ["h", "t"], "left_semi").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("terms"))
+    out = found.select("doc_id", "h", "base").join(extra, "h", "left").select("doc_id", "h", "base", "terms")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
 
 

@@ -217,6 +217,18 @@ def test_copies_leave_the_terms_unchanged(spark):
     assert {r.doc_id for r in op6_pii.find(copies).where("size(terms) > 0").collect()} >= {*told, len(texts)}
 
 
+def test_terms_anywhere_in_a_text_that_holds_the_entity_are_masked(spark):
+    rnd = random.Random(5)
+    prose = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=2)) for _ in range(n))
+    texts = [prose(60) for _ in range(300)]
+    texts += [f"quagmire {prose(40)} write to quagmire zx@corp.example.org {prose(30)} yours, Quagmire" for _ in range(4)]  # near and far
+    texts += [f"Wendigo {prose(40)} mail ab@corp.example.org" for _ in range(4)]  # far only
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in op6_pii.sanitise(docs).collect()}
+    assert all(clean[k] == texts[k] for k in range(300))
+    assert all("[EMAIL]" in clean[k] and "quagmire" not in clean[k].lower() and "wendigo" not in clean[k].lower() for k in range(300, 308))
+
+
 def test_language_id_held_out_and_und(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in op8_langid.op8_langid(spark, sf).collect()}
