@@ -1,6 +1,7 @@
 """License scan (native: DataFrame and SQL functions only).
 
-Texts are cut into units (sentences, lines, paragraphs, the whole text); a unit is normalised to lower-case words and
+Texts are cut into units (sentences of lines and of paragraphs, lines, paragraphs, the whole text). Sentences of paragraphs
+run on over line breaks and the comment marks after them, and lines without a word are blank there. A unit is normalised to lower-case words and
 compared with licence templates by the Dice coefficient over sets of word bigrams. Two sound tests come first:
 
 * size bounds: ``dice >= t`` needs ``t/(2-t) * n <= m <= (2-t)/t * n`` for bigram counts n, m;
@@ -81,7 +82,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = F.split(text, r"\R")
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?:;])\s+")))
     paragraphs = F.split(text, r"\R\s*\R")
-    units = F.array_distinct(F.filter(F.concat(sentences, lines, paragraphs, F.array(text)), lambda u: u.rlike(pattern)))
+    # wrapped: lines without a word part paragraphs, other line breaks are spaces with the marks that begin the next line
+    broken = F.regexp_replace(text, r"\R", "\n")
+    blocks = F.split(F.regexp_replace(broken, r"(?m)^[^\p{L}\p{N}\n]+$", ""), r"\n\s*\n")
+    joined = F.transform(blocks, lambda x: F.regexp_replace(x, r"\n[^\p{L}\p{N}\n]*", " "))
+    wrapped = F.flatten(F.transform(joined, lambda x: F.split(x, r"(?<=[.!?:;])\s+")))
+    units = F.array_distinct(F.filter(F.concat(sentences, lines, paragraphs, joined, wrapped, F.array(text)), lambda u: u.rlike(pattern)))
     units = F.when(text.rlike(pattern), units).otherwise(F.array().cast("array<string>"))
     templates = F.array(*(F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, bigrams_of(words_of(t)))).alias("g")) for k, t in TEMPLATES))
 

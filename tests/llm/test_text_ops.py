@@ -261,6 +261,21 @@ def test_licenses(spark):
     assert op9_licenses.scan_licenses(_empty(spark)).count() == 0
 
 
+def test_wrapped_and_commented_licenses(spark):
+    import textwrap
+
+    notice = {k: t for k, t in op9_licenses.TEMPLATES if k in ("MIT", "GPL-3.0-or-later", "ISC", "BSD-3-Clause", "GPL-3.0")}
+    texts, want = [], []
+    for k, t in notice.items():
+        lines = textwrap.wrap(t, 40)
+        for mark in (" * ", "# ", "// ", ""):
+            texts.append("\n".join(f"{mark}{x}" for x in ["tool.c - a tool of many parts that does things, and more.", "Copyright 2020 Some One.", *lines, "The rest of this comment is about something else altogether."]))
+            texts.append("\r\n".join(f"{mark}{x}".rstrip() for x in ["a tool of many parts that does things and more", "", *lines, "", "other words of this comment about something else altogether"]))
+            want += [k, k]
+    rows = {r.doc_id: [x["license"] for x in r.licenses] for r in op9_licenses.scan_licenses(_docs(spark, texts)).collect()}
+    assert [(k, w) for k, w in enumerate(want) if w not in rows[k]] == []
+
+
 def test_license_anchors_are_sound():
     rnd, found = random.Random(6), set(op9_licenses.anchors())
     for _, text in op9_licenses.TEMPLATES:
