@@ -3,8 +3,8 @@
 Kernel: presence of character n-grams of several lengths (blended spectrum), ``k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|)``
 over n-grams hashed to ``BINS`` bins. Texts are lower-cased, and every run of other characters than letters is one space.
 
-Fit, on a bounded sample (``PER_LANG`` labelled documents for each of at most ``MAX_LANGS`` languages, chosen by a hash
-of the id): Nystroem landmarks from each language, features ``k(x, L) K(L, L)^(-1/2)``, one-versus-rest ridge regression.
+Fit, on a sample (``PER_LANG`` labelled documents of each language, chosen by a hash of the id; with more than ``MAX_LANGS``
+languages fewer of each, and fewer landmarks, so that the sample keeps its size, but every language stays): Nystroem landmarks from each language, features ``k(x, L) K(L, L)^(-1/2)``, one-versus-rest ridge regression.
 
 Score, over all documents: with B the landmarks' presence matrix and A the fitted map, ``k(x, L) A`` equals
 ``P (B' diag(|l|^-1/2) A) / sqrt(|G(x)|)``, so a batch costs one product of its presence matrix P with a BINS x languages
@@ -107,15 +107,17 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model | None:
     """Fit on a bounded sample of docs(doc_id, text, lang) that are not held out."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    langs = known.agg(F.count_distinct("lang")).first()[0]
+    share = min(1.0, max_langs / max(langs, 1))  # every language stays
+    each = max(1, int(per_lang * share))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
-    ranked = chosen.groupBy("lang").agg(F.count("*").alias("c"), F.collect_list("doc_id").alias("ids")).orderBy(F.desc("c"), "lang").limit(max_langs)
-    ids = [i for r in ranked.collect() for i in r["ids"]]  # at most per_lang * max_langs ids
+    chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect() if r["doc_id"] is not None]  # at most each * langs ids
     if not ids:
         return None
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long")
-    sample = known.join(F.broadcast(wanted), "doc_id", "left_semi").select("text", "lang").limit(4 * per_lang * max_langs).collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "doc_id long")
+    sample = known.join(F.broadcast(wanted), "doc_id", "left_semi").select("text", "lang").limit(4 * max(per_lang * max_langs, langs)).collect()
+    return fit([r["text"] for r in sample], [r["lang"] for r in sample], max(1, int(LANDMARKS_PER_LANG * share)))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -244,6 +244,14 @@ def test_language_id_held_out_and_und(spark, sf):
     assert {r.lang_pred for r in op8_langid.predict(odd.drop("score"), None).collect()} == {"und"}
 
 
+def test_no_language_is_left_out(spark):
+    names = [f"l{k:02}" for k in range(9)] + ["zh"]
+    docs = spark.createDataFrame([(k, f"{chr(97 + k % 10) * 3} {chr(107 + k % 10) * 4} {'xyz'[k % 3]}", names[k % 10]) for k in range(400)], "doc_id long, text string, lang string")
+    model = op8_langid.train(docs, per_lang=10, max_langs=4)
+    assert model.langs == names
+    assert op8_langid.score(model, ["jjj tttt"])[0] == ["zh"]
+
+
 def test_kernel_shortcut_equals_the_kernel():
     texts = ["the quick brown fox", "der schnelle braune fuchs", "the lazy dog", "ein fauler hund"]
     p = op8_langid.presence([op8_langid.normal(t) for t in texts]).astype(float)
