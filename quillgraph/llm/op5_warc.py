@@ -4,14 +4,19 @@ Writing: one gzip member for each record, so any record can be read alone. The m
 (compressed and full length), which lets a reader step over a member without inflating it. Records with equal payloads of at
 least ``MIN_DEDUP`` bytes: the smallest page id is the ``response``, all others are ``revisit`` records without the payload.
 
-Reading: partitions are planned by file; equality and IN predicates on ``record_type`` and on header columns are pushed down.
-Of each member the reader inflates the first bytes, parses the headers, and inflates the payload only if the record passes
-and the requested schema has the ``payload`` column.
+Planning: digests are counted first, and the table of those with copies is written. Up to ``SMALL`` rows it is broadcast, and no
+payload moves before the writer; beyond that rows meet it by digest and one of ``SALTS`` salts, so the payloads of one very
+common page are dealt to many tasks. Payloads below ``MIN_DEDUP`` bytes take part in neither.
+
+Reading: partitions are planned by file and, in files of more than ``SPLIT`` bytes, by the record offsets that the manifest
+lists; equality and IN predicates on ``record_type`` and on header columns are pushed down. Of each member the reader inflates
+the first bytes, parses the headers, and inflates the payload only if the record passes and the requested schema has the
+``payload`` column. Both sides work one payload, or ``HELD`` bytes of them, at a time.
 
 Defined results: a null payload is empty; a null url has no header; control characters in urls are percent-encoded; a null
 page id has no header and reads back as null (it sorts after all others when a response is chosen); rows with the same page
-id are all written, and of equal payloads with the same smallest id exactly one is the response; an empty table gives an
-archive without records; other columns are ignored.
+id are all written, and of equal payloads with the same smallest id exactly one is the response, that of the least url; record
+ids are unique whatever the page ids; an empty table gives an archive without records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from ..shared import shared_path
+from ..shared import materialise, shared_path
 from .files import Folder
+from .words import release
 
 NAME = "quill_warc"
 MIN_DEDUP = 100
@@ -39,23 +45,29 @@ _DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FIRST = 4096
+#: Rows of the table of copied digests that are broadcast (under 100 bytes each), and salts of the join beyond that.
+SMALL, SALTS = 200_000, 32
+#: Bytes of payloads that a reader holds, and bytes of a file that one reader takes.
+HELD, SPLIT = 8 << 20, 64 << 20
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _urn(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def _safe(url: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """A whole WARC/1.1 record, uncompressed."""
-    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _urn(page_id)), ("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """A whole WARC/1.1 record, uncompressed. ``name`` tells it from all others; a response that has copies goes by its digest."""
+    own = name if revisit or size < MIN_DEDUP else f"payload:{digest}"
+    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _urn(own)), ("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size))]
     head += [("X-Page-Id", str(page_id))] if page_id is not None else []
     head += [("WARC-Target-URI", _safe(url))] if url is not None else []
-    head += [("WARC-Refers-To", _urn(refers_to)), ("X-Refers-To-Page", str(refers_to)), ("WARC-Profile", _PROFILE)] if revisit else []
-    block = _HTTP % len(payload) + (b"" if revisit else payload)
+    head += [("WARC-Refers-To", _urn(f"payload:{digest}")), ("WARC-Profile", _PROFILE)] if revisit else []
+    head += [("X-Refers-To-Page", str(refers_to))] if revisit and refers_to is not None else []
+    block = _HTTP % size + (b"" if revisit else payload)
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -75,10 +87,11 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Takes page_id, url, payload, digest, refers_to, revisit."""
+    """Takes page_id, url, payload, size, digest, refers_to, revisit."""
 
     def __init__(self, options: dict):
         self.uri, self.roll = options["path"], int(options.get("rollbytes", 1 << 30))
+        self.split = int(options.get("splitbytes", SPLIT))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -86,20 +99,25 @@ class WarcWriter(DataSourceArrowWriter):
         task, folder, done, out = TaskContext.get(), Folder(self.uri), [], None
         folder.create()
         for batch in iterator:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to", "revisit")]
+            columns = [batch.column(c) for c in ("page_id", "url", "payload", "size", "digest", "refers_to", "revisit")]
             for k in range(batch.num_rows):
-                page_id, url, payload, digest, refers_to, revisit = (c[k].as_py() for c in columns)
+                page_id, url, payload, size, digest, refers_to, revisit = (c[k].as_py() for c in columns)
                 if out is None:
-                    done.append({"part": task.partitionId(), "name": f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz", "bytes": 0})
+                    done.append({"part": task.partitionId(), "name": f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz", "bytes": 0, "records": 0, "cuts": [0]})
                     out = folder.write(done[-1]["name"])
-                packed = member(record(page_id, url, payload or b"", digest, refers_to, revisit))
+                now = done[-1]
+                if now["bytes"] - now["cuts"][-1] >= self.split:
+                    now["cuts"].append(now["bytes"])
+                packed = member(record(f"{self.uri}/{now['name']}:{now['records']}", page_id, url, payload or b"", size, digest, refers_to, revisit))
                 out.write(packed)
-                done[-1]["bytes"] += len(packed)
-                if done[-1]["bytes"] >= self.roll:
+                now["bytes"] += len(packed)
+                now["records"] += 1
+                if now["bytes"] >= self.roll:
                     out.close()
                     out = None
         if out is not None:
             out.close()
+        release()
         return Written(done)
 
     def commit(self, messages: list) -> None:
@@ -151,6 +169,8 @@ class Member:
 @dataclass
 class WarcFile(InputPartition):
     name: str
+    start: int = 0
+    stop: int = 0
 
 
 class WarcReader(DataSourceReader):
@@ -167,15 +187,18 @@ class WarcReader(DataSourceReader):
                 yield x
 
     def partitions(self) -> list:
-        return [WarcFile(e["name"]) for e in Folder(self.uri).entries()] or [WarcFile("")]
+        return [WarcFile(e["name"], a, b) for e in Folder(self.uri).entries() for a, b in zip(e["cuts"], [*e["cuts"][1:], e["bytes"]], strict=True)] or [WarcFile("")]
 
     def read(self, partition: WarcFile):
         schema = pa.schema([_ARROW.field(n) for n in self.fields])
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         rows, held = [], 0
         if partition.name:
             with Folder(self.uri).read(partition.name) as f:
-                m = Member(f, 0)
-                while not m.end:
+                at = partition.start
+                while at < partition.stop:
+                    m = Member(f, at)
+                    at = m.next
                     head = m.headers()
                     number = lambda k, head=head: int(head[k]) if k in head else None
                     row = {"page_id": number("X-Page-Id"), "record_type": head["WARC-Type"], "url": head.get("WARC-Target-URI"), "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha256:"), "payload_bytes": number("X-Payload-Length"), "refers_to": number("X-Refers-To-Page")}
@@ -186,12 +209,12 @@ class WarcReader(DataSourceReader):
                                 raise ValueError(f"damaged payload of page {row['page_id']}")
                             held += len(row["payload"] or b"")
                         rows.append([row[n] for n in self.fields])
-                    if len(rows) >= 10_000 or held > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    if len(rows) >= 10_000 or held > HELD:
+                        yield batch(rows)
                         rows, held = [], 0
-                    m = Member(f, m.next)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield batch(rows)
+        release()
 
 
 class Warc(DataSource):
@@ -209,31 +232,53 @@ class Warc(DataSource):
         return WarcWriter(dict(self.options))
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to, revisit) of pages(page_id, url, html).
-
-    Only digests travel to find the copies; the response of a digest is its least (page id, row number)."""
+def plan_records(pages: DataFrame, small: int = SMALL) -> DataFrame:
+    """(page_id, url, payload, size, digest, refers_to, revisit) of pages(page_id, url, html); revisits carry no payload."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
-    rows = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n"))
-    first = rows.where(F.col("n") >= MIN_DEDUP).groupBy("digest").agg(F.count("*").alias("c"), F.min("page_id").alias("first_id")).where("c > 1")
-    return rows.join(first.select("digest", "first_id"), "digest", "left").select("page_id", "url", "payload", "digest", "first_id")
-
-
-def write_warc(pages: DataFrame, path: str) -> None:
+    rows = rows.select("page_id", "url", "payload", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"))
+    each = rows.where(F.col("size") >= MIN_DEDUP).groupBy("digest", "page_id").agg(F.count("*").alias("m"))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("first_id"), F.col("m").alias("m")))
+    first = each.groupBy("digest").agg(F.sum("m").alias("c"), least.alias("f")).where("c > 1").select("digest", "f.first_id", F.col("f.m").alias("tied"))
+    first = materialise(first, "op5-copied")
+    n, tied = first.agg(F.count("*"), F.coalesce(F.max("tied"), F.lit(0))).first()
+    if n <= small:
+        joined = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = rows.where(F.col("size") >= MIN_DEDUP).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = large.join(salted, ["digest", "salt"], "left").drop("salt")
+        joined = joined.unionByName(rows.where(F.col("size") < MIN_DEDUP), allowMissingColumns=True)
+    is_first = F.col("page_id").eqNullSafe(F.col("first_id"))
+    copied = F.coalesce(F.col("tied") > 0, F.lit(False)) & (F.col("size") >= MIN_DEDUP)
+    revisit = copied & ~is_first
+    out = ["page_id", "url", "payload", "size", "digest", "refers_to", "revisit"]
+
+    def finished(df: DataFrame, revisit) -> DataFrame:
+        return df.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit")).select(out)
+
+    several = copied & is_first & (F.col("tied") > 1)
+    if tied <= 1:
+        return finished(joined, revisit)
+    # rows that equal the response in payload and id: counted by url, of the least url the first is the response
+    same = joined.where(several).groupBy("digest", "page_id", "first_id", "url", "size").agg(F.count("*").alias("m"), F.first("payload").alias("payload"))
+    urls = same.groupBy("digest").agg(F.min(F.struct(F.col("url").isNotNull().alias("has"), F.col("url").alias("url"))).alias("u")).select(F.col("digest").alias("_d"), F.col("u.url").alias("_u"))
+    same = same.join(urls, (F.col("digest") == F.col("_d")) & F.col("url").eqNullSafe(F.col("_u")), "left").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    return finished(joined.where(~several), revisit).unionByName(finished(same, ~((F.col("k") == 1) & F.col("_d").isNotNull())))
+
+
+def write_warc(pages: DataFrame, path: str, **options) -> None:
     """Write an archive of pages(page_id, url, html) below ``path``."""
-    spark = pages.sparkSession
-    spark.dataSource.register(Warc)
-    rows = plan_records(pages)
-    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = rows.select("page_id", "url", "payload", "digest", F.when(other, F.col("first_id")).alias("refers_to"), other.alias("revisit"))
-    rows.write.format(NAME).mode("append").save(path)
+    pages.sparkSession.dataSource.register(Warc)
+    plan_records(pages).write.format(NAME).options(**options).mode("append").save(path)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of an archive. Without ``payload`` the reader never inflates more than a record's head."""
+    """Records of an archive. Without ``payload`` the reader never inflates more than a record's head.
+
+    Pushdown into Python sources is a session setting; it is turned on and stays on, as plans are made later than this call."""
     spark.dataSource.register(Warc)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     schema = SCHEMA if payload else SCHEMA.replace(", payload binary", "")

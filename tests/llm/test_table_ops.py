@@ -74,7 +74,7 @@ def test_warc_round_trip_pushdown_and_skipping(spark):
 def test_warc_members_can_be_stepped_over():
     import io
 
-    data = [op5_warc.record(k, "u", bytes([65 + k]) * 50_000, "d", None, False) for k in range(3)]
+    data = [op5_warc.record(f"r{k}", k, "u", bytes([65 + k]) * 50_000, 50_000, "d", None, False) for k in range(3)]
     packed = [op5_warc.member(d) for d in data]
 
     class File(io.BytesIO):
@@ -92,6 +92,28 @@ def test_warc_members_can_be_stepped_over():
     assert op5_warc.Member(f, sum(map(len, packed))).end
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_warc_equal_ids_and_unique_record_ids(spark, small):
+    x, y = "x" * 150, "y" * 150
+    pages = [(1, "b", x), (1, "a", x), (1, "a", x), (2, "c", x), (None, "n", y), (None, None, y), (5, "s", "tiny"), (5, "s", "tiny"), (6, "z", "z" * 99), (7, "z", "z" * 99)]
+    plan = op5_warc.plan_records(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, tied int"), small).collect()
+    assert len(plan) == len(pages)
+    of = lambda i, size: sorted((r.revisit, r.url or "", r.refers_to, r.payload is None) for r in plan if r.page_id == i and r.size == size)
+    assert of(1, 150) == [(False, "a", None, False), (True, "a", 1, True), (True, "b", 1, True)] and of(2, 150) == [(True, "c", 1, True)]
+    assert of(None, 150) == [(False, "", None, False), (True, "n", None, True)]
+    assert all(not r.revisit for r in plan if r.size < 100)
+    names = {op5_warc.record(f"f:{k}", r.page_id, r.url, bytes(r.payload or b""), r.size, r.digest, r.refers_to, r.revisit).split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for k, r in enumerate(plan)}
+    assert len(names) == len(pages)
+
+
+def test_warc_files_are_split_and_rolled(spark):
+    path = shared_path(spark, "warc")
+    pages = spark.createDataFrame([(k, "u", f"{k} " * 300) for k in range(200)], "page_id long, url string, html string")
+    op5_warc.write_warc(pages.coalesce(1), path, splitbytes="2000", rollbytes="20000")
+    back = op5_warc.read_warc(spark, path)
+    assert back.rdd.getNumPartitions() > 5 and {r.page_id: r.payload.decode() for r in back.collect()} == {k: f"{k} " * 300 for k in range(200)}
+
+
 def test_warc_of_nothing(spark):
     path = shared_path(spark, "warc")
     op5_warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
