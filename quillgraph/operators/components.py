@@ -1,8 +1,10 @@
 """Connected components over an edge table of any size.
 
 Alternating large-star and small-star rounds: each node links its larger neighbours to its least neighbour, then its
-smaller ones, until nothing changes; the result is a star around the least id of each component. Every round is a
-combinable minimum and a join, so a hub's edges are never gathered, and the rounds grow with the logarithm of the size.
+smaller ones, until nothing changes; the result is a star around the least id of each component. The rounds grow with the
+logarithm of the size. Every round is a combinable minimum, and a join that gives each edge its node's minimum. Nodes with a
+large share of all edges, of which there are few, meet theirs through a broadcast of proven size (``skew``), so no task
+gathers a hub's edges.
 """
 
 from __future__ import annotations
@@ -11,27 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
+from .skew import join_by_share
 
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """edges(a, b) with a > b; one star step."""
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = near.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
+        moved = join_by_share(near.where("v > u"), least, "u", "d", total).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d"))
+        moved = join_by_share(edges, least, "a", "d", total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """(id, component) for every id on an edge between two different ids; the component is its least id."""
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    seen = None
+    now = materialise(now, "components")
+    seen, total = None, now.count()
     for _ in range(max_rounds):
-        now = materialise(_star(_star(now, True), False), "components")
+        # a step makes no more edges than it takes
+        now = materialise(_star(_star(now, True, total), False, total), "components")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        total = mark[0]
         if seen == mark:
             break
         seen = mark
