@@ -10,15 +10,20 @@ Similarity of an item of L words and a window of L words of a text is ``1 - edit
    ``(L - 1 - s) / 2`` at least, so those that cannot be the best window of their text and item are left out. Windows of the
    same words are verified once for each text.
 
+Items of fewer than ``LEAST_WORDS`` words are too short for a similarity below one: they must occur word by word, and are
+looked up by the hash of as many words.
+
 The items are a constant of proven size: they are read in chunks of at most ``CHUNK_CHARS`` characters, each with a pass over
-the texts of its own, so any number of items works. Nothing is shuffled.
+the texts of its own, so any number of items works. Nothing is shuffled: ``find_items`` reports the windows, ``drop_contaminated``
+passes whole rows through the same search and keeps those without one.
 
-Defined results: items of fewer than ``LEAST_WORDS`` words, null items and null texts match nothing; repeated items are each
-reported; rows with equal ids are each reported; other columns are ignored; an empty table gives an empty result.
+Defined results: items without a word, null items and null texts match nothing; repeated items are each reported; rows with
+equal or null ids are each reported, or dropped, for themselves; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +38,8 @@ from .words import column_slices, releasing, text_slices
 SIMILARITY, LEAST_WORDS = 0.8, 5
 CHUNK_CHARS = 16_000_000
 OUT = "doc_id long, item_id long, start_word long, start_char long, end_char long, distance long, similarity double"
-_SLICE, _AT_ONCE = 1_500_000, 2_000_000
+_SLICE, _AT_ONCE = 500_000, 2_000_000
+_MULT = np.uint64(0xA24BAED4963EE407)
 
 
 def places(words: np.ndarray) -> dict[int, int]:
@@ -68,6 +74,7 @@ class Items:
         for k, n in enumerate(np.diff(w.first).tolist()):
             if n >= LEAST_WORDS:
                 by_length.setdefault(n, []).append(k)
+        self.short = self._short(rows, w)
         self.groups, self.owners, grams = [], [], []
         for n, own in sorted(by_length.items()):
             words = np.stack([w.hash[w.first[k] : w.first[k] + n] for k in own])
@@ -84,6 +91,38 @@ class Items:
         self.dense = min((math.ceil(need / math.ceil((n - 1) / (self.least - 1))) for n, _, need, *_ in self.groups), default=0)
         self.places = [[places(x) for x in g[4]] for g in self.groups]
 
+    @staticmethod
+    def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+        """Hash of each run of n words."""
+        code = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)
+        for k in range(n):
+            code = code * _MULT + hashes[k : k + len(code)]
+        return textvec.mix(code)
+
+    def _short(self, rows: list[tuple[int, str]], w: textvec.Words) -> list[tuple[int, np.ndarray, list[list[int]]]]:
+        """(words, sorted codes, item ids of each code) of the items below the least length."""
+        out = []
+        for n in range(1, LEAST_WORDS):
+            by_code: dict[int, list[int]] = {}
+            for k in np.flatnonzero(np.diff(w.first) == n).tolist():
+                by_code.setdefault(int(self._runs(w.hash[w.first[k] : w.first[k] + n], n)[0]), []).append(rows[k][0])
+            if by_code:
+                out.append((n, np.array(sorted(by_code), dtype=np.uint64), [by_code[c] for c in sorted(by_code)]))
+        return out
+
+    def _verbatim(self, w: textvec.Words) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item id, words, first word) of the first place of each short item in each text."""
+        for n, codes, owners in self.short:
+            run = self._runs(w.hash, n)
+            if not len(run):
+                continue
+            at = np.flatnonzero(self._among(run, codes) & (w.doc[: len(run)] == w.doc[n - 1 :]))
+            item = np.searchsorted(codes, run[at])
+            one = np.unique(w.doc[at] * len(codes) + item, return_index=True)[1]
+            for f, c in zip(at[one].tolist(), item[one].tolist(), strict=True):
+                for item_id in owners[c]:
+                    yield int(w.doc[f]), item_id, n, f
+
     @staticmethod
     def bigrams(words: np.ndarray) -> np.ndarray:
         return textvec.mix(words[..., :-1] * np.uint64(0x9FB21C651E98DF25) + words[..., 1:])
@@ -153,6 +192,10 @@ class Items:
         best: dict[tuple[int, int, int], tuple] = {}
         for a, _, part in slices:
             w = textvec.words(part)
+            for d, item_id, n, f in self._verbatim(w):
+                best[a + d, item_id, n] = (0, f - int(w.first[d]), int(w.start[f]), int(w.end[f + n - 1]))
+            if not self.groups:
+                continue
             p, inverse = textvec._powers(len(w.hash) + 1)
             total = np.r_[np.uint64(0), np.cumsum(w.hash * p[: len(w.hash)], dtype=np.uint64)]
             for g, item, first, shared in self.candidates(w):
@@ -190,19 +233,42 @@ def _search(shared, similarity: float):
     return releasing(run)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The best window for each pair of a document (doc_id, text) and a benchmark item (item_id, text) at the similarity."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _clean(shared, similarity: float, text: str):
+    """Rows without any item, all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(shared.value, similarity)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            keep[[f[0] for f in items.search(batch.column(text).cast(pa.string()))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return releasing(run)
+
+
+def _chunks(benchmark: DataFrame, chunk_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, in lists of about half of chunk_chars characters."""
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     chunks = max(1, math.ceil(2 * chars / chunk_chars))
-    out = None
     for k in range(chunks):
-        own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k).collect()]  # about chunk_chars / 2
-        found = docs.mapInArrow(_search(spark.sparkContext.broadcast(sorted(own)), similarity), OUT)
-        out = found if out is None else out.union(found)
-    return out
+        yield sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k).collect())
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The best window for each pair of a document (doc_id, text) and a benchmark item (item_id, text) at the similarity."""
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [docs.mapInArrow(_search(broadcast(own), similarity), OUT) for own in _chunks(benchmark, chunk_chars)]
+    return functools.reduce(DataFrame.union, found)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item at the similarity; all columns stay as they are."""
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    for own in _chunks(benchmark, chunk_chars):
+        docs = docs.mapInArrow(_clean(broadcast(own), similarity, "text"), docs.schema)
+    return docs
 
 
 def op4_decontaminate(spark, sf_dir):
