@@ -20,8 +20,9 @@ all: as c(e, t) <= c(e), that is ``SUPPORT <= tf(t) <= N (c(e) / N) ** DISCLOSUR
 Hashes and counts are shuffled: partial counts of each task, and the contexts of the few texts with base spans. Of texts with
 copies, one is counted; these are shuffled, too (all texts, where more than ``COPIED`` different ones have copies).
 
-Defined results: null and empty texts have no spans; rows with equal ids are told apart by their text; a base span of two
-kinds is kept for each kind; an empty table gives an empty result; other columns are ignored, and kept by ``sanitise``.
+Defined results: null and empty texts have no spans; ids are only carried along, so rows with equal or null ids are each
+reported and masked by their own text; a base span of two kinds is kept for each kind; an empty table gives an empty result;
+other columns are ignored, and kept by ``sanitise``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialise
+from ..shared import free_name, materialise
 from . import textvec
-from .words import column_slices, releasing
+from .words import column_slices, release, releasing
 
 REACH, SUPPORT, DISCLOSURE = 5, 3, 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
 SPAN = "struct<start:int,kind:int,end:int>"
-_SLICE, COPIED = 1_500_000, 500_000
+_SLICE, COPIED = 500_000, 500_000
+#: Term spans (16 bytes each) up to which ``sanitise`` broadcasts them.
+SMALL = 500_000
 
 # leftmost matches are the same with possessive runs, which fail in linear time
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -159,8 +162,8 @@ def _gain(both: str, entity: str, term: str, windows: float) -> F.Column:
     return F.when(F.col(entity) < F.lit(windows), pmi / F.log(F.lit(windows) / F.col(entity)))
 
 
-def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(doc_id, h, base, terms) for every row: spans as (start, kind, end); h is the text's MD5."""
+def _terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, base, ...) of every row, and (h, terms) of the texts that have terms."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("h", F.md5(F.coalesce("text", F.lit(""))))
     columns = f"doc_id long, h string, base array<{SPAN}>, ents array<long>, near array<struct<e:long,c:long,t:long>>, words array<struct<t:long,start:int,end:int>>"
@@ -194,6 +197,12 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure
     hidden = held.join(told, "e").select("h", "t").distinct()
     listed = found.where(F.size("words") > 0).join(hidden.select("h").distinct(), "h", "left_semi").select("h", F.explode("words").alias("w")).select("h", "w.*").distinct()
     extra = listed.join(hidden, ["h", "t"], "left_semi").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("terms"))
+    return found, extra
+
+
+def find(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, h, base, terms) for every row: spans as (start, kind, end); h is the text's MD5."""
+    found, extra = _terms(docs, **options)
     out = found.select("doc_id", "h", "base").join(extra, "h", "left").select("doc_id", "h", "base", "terms")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
 
@@ -205,27 +214,40 @@ def spans_text(spans) -> F.Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def _mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, own in zip(texts, spans, strict=True):
-        pieces, at = [], 0
-        for start, kind, end in sorted((s["start"], s["kind"], s["end"]) for s in own) if own is not None else ():
-            if start >= at:
-                pieces += [text[at:start], f"[{KINDS[kind].upper()}]"]
-            at = max(at, end)
-        out.append("".join([*pieces, text[at:]]) if text else text)
-    return pd.Series(out, dtype=object)
+def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    pieces, at = [], 0
+    for start, kind, end in sorted(spans):
+        if start >= at:
+            pieces += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join([*pieces, text[at:]])
+
+
+def _sanitise(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Texts with their base spans, which are found here, and their terms, which come with them, masked."""
+    for texts, terms in batches:
+        out = []
+        for text, own in zip(texts, terms, strict=True):
+            spans = base_spans(text)
+            out.append(_masked(text, spans + [(s["start"], s["kind"], s["end"]) for s in (own if own is not None else ())]) if spans else text)
+        yield pd.Series(out, dtype=object)
+    release()
+
 
+_sanitise.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
 
-_mask.__annotations__ = {"texts": pd.Series, "spans": pd.Series, "return": pd.Series}
 
+def sanitise(docs: DataFrame, small: int = SMALL, **options) -> DataFrame:
+    """docs with their spans replaced by the kind in brackets; all other columns and rows are kept, whatever their ids.
 
-def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """docs with their spans replaced by the kind in brackets; all other columns and rows are kept."""
-    found = find(docs, **options).where(F.size("base") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h2"), F.concat("base", "terms").alias("_spans")).dropDuplicates(["_id", "_h2"])
-    marked = docs.withColumn("_h", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = marked.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
-    return joined.withColumn("text", F.pandas_udf(_mask, "string")(F.col("text").cast("string"), "_spans")).select(*docs.columns)
+    Base spans are a matter of the text alone. Terms come by the text's hash, from a broadcast table if it has up to ``small``
+    spans, so that texts move only beyond that."""
+    key, terms = free_name(docs, "h"), free_name(docs, "terms")
+    extra = materialise(_terms(docs, **options)[1].select(F.col("h").alias(key), F.col("terms").alias(terms)), "op6-terms")
+    spans = extra.agg(F.coalesce(F.sum(F.size(terms)), F.lit(0))).first()[0]
+    marked = docs.withColumn(key, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = marked.join(F.broadcast(extra) if spans <= small else extra, key, "left")
+    return joined.withColumn("text", F.pandas_udf(_sanitise, "string")(F.col("text").cast("string"), terms)).select(*docs.columns)
 
 
 def op6_pii(spark, sf_dir):
@@ -235,4 +257,5 @@ def op6_pii(spark, sf_dir):
     return found.select(
         "doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)),
         F.sha2(base, 256).alias("base_sha256"), spans_text(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"),
+        F.size(F.concat("base", "terms")).cast("long").alias("n_spans"),
     )
