@@ -187,6 +187,36 @@ def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert sorted((r.doc_id, r.class_id, r.kept) for r in rows) == [(2, 2, True), (4, 2, False), (4, 2, False)]
 
 
+def test_near_duplicates_of_rows_without_and_with_equal_ids(spark):
+    rnd = random.Random(2)
+    base = [rnd.choices("abcdefghijklmnopqrstuvwxyz", k=80) for _ in range(4)]
+    near = [*base[0][:79], "zz"]
+    texts = [(1, base[0]), (1, base[1]), (2, near), (3, base[1]), (4, base[2]), (4, base[2]), (None, base[2]), (5, base[3]), (5, [*base[3][:79], "yy"])]
+    frame = spark.createDataFrame([(i, " ".join(t), "x") for i, t in texts] + [(9, None, "x"), (None, None, "x")], "doc_id long, text string, h string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.kept) for r in op7_minhash.near_duplicates(frame).collect())
+    # both texts of id 1 are kept, as each is the least of its class; of the two linked ones of id 5 one is
+    assert got == sorted([("1", "1", True)] * 2 + [("2", "1", False), ("3", "1", False), ("4", "4", True), ("4", "4", True), ("None", "None", True), ("None", "None", True), ("5", "5", True), ("5", "5", False), ("9", "9", True)])
+
+
+@pytest.mark.parametrize("tile", [3, 768])
+def test_links_within_buckets_of_mixed_texts(spark, tile):
+    """Buckets that hold texts far from their least member, which are alike among themselves."""
+    rnd = random.Random(13)
+    vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(400)]
+    root, docs = rnd.choices(vocab, k=120), []
+    for branch in range(6):  # branches have about half of their shingles in common, copies of a branch nearly all
+        own = list(root)
+        for at in rnd.sample(range(120), 8):
+            own[at] = rnd.choice(vocab)
+        for copy in range(5):
+            w = list(own)
+            w[rnd.randrange(120)] = rnd.choice(vocab)
+            docs.append((branch * 10 + copy, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in op7_minhash.near_duplicates(frame, tile=tile).collect()}
+    assert got == _plain_classes(docs) and len(set(got.values())) > 1
+
+
 def test_chat_is_reversible_whatever_the_text(spark):
     texts = [None, "", "~1 <|turn|> ~0 [INST] </s> \n <|end|>", "plain", "<|image:256|>", "x" * 100_000]
     rows = [(1, k, "assistant" if k % 2 else "user", t, "clash") for k, t in enumerate(texts)] + [(2, None, None, "a", ""), (2, 0, "ro\nle", "b", ""), (None, 0, "user", "c", ""), (3, 1, "user", "same", ""), (3, 1, "user", "same", "")]

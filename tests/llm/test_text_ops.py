@@ -119,7 +119,8 @@ def test_decontamination_finds_edited_passages_and_nothing_else(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = op4_decontaminate.find_items(frame, bench).collect()
     got = {(r.doc_id, r.item_id) for r in rows}
-    assert want <= got and all(d < 90 and d // 3 == i for d, i in got)
+    want.add((602, 90))  # verbatim, as it has fewer than five words
+    assert want <= got and all(d // 3 == i for d, i in got - {(602, 90)})
     texts = {d: t for d, t, _ in docs}
     for r in rows:
         inside = texts[r.doc_id][r.start_char : r.end_char].lower().split()
@@ -149,6 +150,39 @@ def test_decontamination_misses_no_window_at_the_threshold():
         assert best == min((op4_decontaminate.edit_distance(at, len(item), w[f : f + len(item)]), f) for f in range(len(w) - len(item) + 1))
 
 
+def test_short_items_must_occur_word_by_word(spark):
+    items = [(1, "one two"), (2, "Solo"), (3, "a b c d"), (4, "a b c d"), (5, "..."), (6, "x y z")]
+    docs = [(None, "say ONE, two! a b c", "k"), (1, "one 2 two", "k"), (2, "the solo a b c d; a b c d", "k"), (3, None, "k"), (4, "x y", "k"), (4, "z x y z", "k")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id, r.start_word, r.distance) for r in op4_decontaminate.find_items(frame, bench).collect())
+    assert got == [("2", 2, 1, 0), ("2", 3, 2, 0), ("2", 4, 2, 0), ("4", 6, 1, 0), ("None", 1, 1, 0)]
+    clean = op4_decontaminate.drop_contaminated(frame, bench)
+    assert clean.columns == frame.columns and sorted(map(str, clean.collect())) == sorted(str(r) for r in frame.collect() if r.text in ("one 2 two", None, "x y"))
+
+
+@pytest.mark.parametrize("edit", ["substitute", "delete and insert"])
+def test_decontamination_recall_at_the_threshold(edit):
+    """Passages at exactly 0.8, against the least edit distance of all windows."""
+    rnd = random.Random(21)
+    vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(2000)]
+    items = [(k, " ".join(rnd.choices(vocab, k=n))) for k, n in enumerate([5, 10, 20, 40, 60] * 12)]
+    docs, inside = [], set()
+    for k, text in items:
+        w = text.split()
+        edits = len(w) // 5
+        for at in sorted(rnd.sample(range(len(w)), edits if edit == "substitute" else edits // 2), reverse=True):
+            w[at : at + 1] = ["new" + rnd.choice(vocab)] if edit == "substitute" else []
+        w += [] if edit == "substitute" else ["new" + rnd.choice(vocab) for _ in range(len(text.split()) - len(w))]
+        docs.append(" ".join([*rnd.choices(vocab, k=30), *w, *rnd.choices(vocab, k=30)]))
+        item, words = text.split(), docs[-1].split()
+        at = op4_decontaminate.places(np.array(item))
+        least = min(op4_decontaminate.edit_distance(at, len(item), words[f : f + len(item)]) for f in range(len(words) - len(item) + 1))
+        inside |= {(k, k, least)} if least <= 0.2 * len(item) + 1e-9 else set()
+    found = {(r[0], r[1], r[5]) for r in op4_decontaminate.Items(items, 0.8).search(docs)}
+    assert len(inside) >= 50 and found == inside
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
@@ -229,6 +263,65 @@ def test_terms_anywhere_in_a_text_that_holds_the_entity_are_masked(spark):
     assert all("[EMAIL]" in clean[k] and "quagmire" not in clean[k].lower() and "wendigo" not in clean[k].lower() for k in range(300, 308))
 
 
+def test_rows_without_an_id_and_with_clashing_columns_are_sanitised(spark):
+    rows = [(None, "mail bob@corp.example.org now", 1, "k"), (None, "mail bob@corp.example.org now", 1, "k"), (None, None, 2, "k"), (3, "ip 10.0.0.1 and bob@corp.example.org", 3, "k"), (3, "clean", 4, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h int, _spans string").withColumn("terms", F.lit(1)).withColumn("_id", F.lit(2))
+    for small in (0, 100):
+        got = op6_pii.sanitise(docs, small=small)
+        assert got.columns == docs.columns
+        assert sorted((str(r.text), r.h) for r in got.collect()) == sorted([("mail [EMAIL] now", 1)] * 2 + [("None", 2), ("ip [IP] and [EMAIL]", 3), ("clean", 4)])
+
+
+def test_terms_equal_plain_counting(spark):
+    """Both counts of the disclosure in plain Python over whole texts."""
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choices("abcdefghij", k=2)) for _ in range(60)]
+    texts = []
+    for k in range(120):
+        w = rnd.choices(vocab, k=rnd.randint(5, 40))
+        if k % 3 == 0:
+            person = k // 3 % 5
+            for _ in range(rnd.randint(1, 2)):
+                w.insert(rnd.randint(0, len(w)), f"p{person}@corp.example.org")
+                w.insert(rnd.randint(0, len(w)), f"alias{person}" if rnd.random() < 0.8 else "other")
+        texts.append(" ".join(w))
+    texts += texts[:30]
+    word = re.compile(r"[^\W_]+")
+    near, held, tf, df = set(), {}, {}, {}
+    once = sorted(set(texts))
+    for t in once:
+        spans = [(s, e, f"{kind}:{t[s:e].lower()}") for s, kind, e in op6_pii.base_spans(t)]
+        every = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(t)]
+        for _, _, w in every:
+            tf[w] = tf.get(w, 0) + 1
+        for w in {w for *_, w in every}:
+            df[w] = df.get(w, 0) + 1
+        clear = [x for x in every if not any(x[0] < e and x[1] > s for s, e, _ in spans)]
+        for s, _, entity in spans:
+            before = [x for x in clear if x[1] <= s]
+            after = clear[len(before) :]
+            chosen = before[-op6_pii.REACH :] + after[: op6_pii.REACH]
+            near |= {(entity, tuple(w for *_, w in chosen), w) for *_, w in chosen}
+            held.setdefault(entity, {})[t] = {w for *_, w in clear}
+
+    def gain(both, entity, term, n):
+        return entity < n and np.log(both * n / (entity * term)) / np.log(n / entity) >= op6_pii.DISCLOSURE
+
+    told, windows = set(), sum(tf.values()) / (2 * op6_pii.REACH + 1)
+    for entity, own in held.items():
+        contexts = {(e, c) for e, c, _ in near if e == entity}
+        for w in set().union(*own.values()):
+            together, texts_of = len({c for e, c, x in near if e == entity and x == w}), sum(w in x for x in own.values())
+            if together >= op6_pii.SUPPORT and gain(together, len(contexts), tf[w], windows) or texts_of >= op6_pii.SUPPORT and len(own) >= op6_pii.SUPPORT and gain(texts_of, len(own), df[w], len(once)):
+                told.add((entity, w))
+    assert told
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op6_pii.find(docs).collect():
+        t = texts[r.doc_id]
+        want = {w for e, w in told if t in held[e] and w in held[e][t]}
+        assert {t[s["start"] : s["end"]].lower() for s in r["terms"]} == want
+
+
 def test_language_id_held_out_and_und(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in op8_langid.op8_langid(spark, sf).collect()}
@@ -237,11 +330,19 @@ def test_language_id_held_out_and_und(spark, sf):
     test = [i for i, r in rows.items() if r.held_out and truth[i]]
     assert np.mean([rows[i].lang_pred == truth[i] for i in test]) >= 0.97
     model = op8_langid.train(docs)
-    odd = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "123 !!", 5), (4, "the and of " * 40_000, 5)], "doc_id long, text string, score int")
-    got = {r.doc_id: r.lang_pred for r in op8_langid.predict(odd.drop("score"), model).collect()}
-    assert [got[k] for k in (1, 2, 3)] == ["und"] * 3 and got[4] == "en"
+    odd = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "123 !!", 5), (4, "the and of " * 40_000, 5), (5, "½ ² ①", 5), (None, "the and of", 5), (6, "\u0301", 5)], "doc_id long, text string, score int")
+    odd = odd.withColumns({"lang_pred": F.lit("zz"), "_p": F.lit(1), "found": F.lit(1)})
+    got = {r.doc_id: r for r in op8_langid.predict(odd, model).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3, 5, 6)] == ["und"] * 5 and got[4].lang_pred == got[None].lang_pred == "en" and got[5].score == 0
+    assert op8_langid.predict(odd.limit(0), model).count() == 0
     assert op8_langid.train(_empty(spark)) is None
-    assert {r.lang_pred for r in op8_langid.predict(odd.drop("score"), None).collect()} == {"und"}
+    assert {r.lang_pred for r in op8_langid.predict(odd, None).collect()} == {"und"}
+
+
+def test_the_sample_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(k % 7, f"{'abcdefg'[k % 7]}{'xyz'[k % 3]} wort {k % 5}", "de" if k % 2 else "en") for k in range(200)]
+    models = [op8_langid.train(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n), per_lang=4) for r, n in ((rows, 2), (rows[::-1], 5))]
+    assert models[0].langs == models[1].langs and np.allclose(models[0].weights, models[1].weights)
 
 
 def test_no_language_is_left_out(spark):
@@ -253,12 +354,42 @@ def test_no_language_is_left_out(spark):
 
 
 def test_kernel_shortcut_equals_the_kernel():
-    texts = ["the quick brown fox", "der schnelle braune fuchs", "the lazy dog", "ein fauler hund"]
-    p = op8_langid.presence([op8_langid.normal(t) for t in texts]).astype(float)
-    k = p @ p.T / np.sqrt(p.sum(1)[:, None] * p.sum(1)[None, :])
-    model = op8_langid.fit(texts, ["en", "de", "en", "de"])
-    pred, _ = op8_langid.score(model, texts)
-    assert pred == ["en", "de", "en", "de"] and np.allclose(np.diag(k), 1)
+    """Scores against plain kernel ridge regression: n-gram sets, kernel values, Nystroem features, normal equations."""
+    rnd = random.Random(31)
+    words = {"en": "the and of to in that with fox dog".split(), "de": "der und die von zu das mit fuchs hund".split(), "fr": "le et de la que avec renard chien".split()}
+    texts = [(lang, " ".join(rnd.choices(own, k=rnd.randint(3, 12)))) for lang, own in words.items() for _ in range(15)]
+    model = op8_langid.fit([t for _, t in texts], [lang for lang, _ in texts], landmarks_per_lang=6)
+
+    def grams(text):
+        t = f" {op8_langid.normal(text)} "
+        out = set()
+        for n in op8_langid.LENGTHS:
+            for k in range(len(t) - n + 1):
+                code = 0
+                for j in range(n):
+                    code = (code * 0x01000193 + ord(t[k + j]) + j + 1) % 2**32
+                out.add((code * 0x9E3779B1 % 2**32) >> (32 - op8_langid.BITS))
+        return frozenset(out)
+
+    kernel = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y))
+    rows = sorted({(lang, bits) for (lang, _), bits in zip(texts, op8_langid.packed([t for _, t in texts]), strict=True)})
+    by_bits = {bits: grams(t) for (_, t), bits in zip(texts, op8_langid.packed([t for _, t in texts]), strict=True)}
+    sets, langs = [by_bits[b] for _, b in rows], [lang for lang, _ in rows]
+    marks = [sets[k] for k in op8_langid.landmarks(rows, 6)]
+    values, vectors = np.linalg.eigh(np.array([[kernel(x, y) for y in marks] for x in marks]))
+    good = values > 1e-8 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    feature = lambda x: np.r_[np.array([kernel(x, m) for m in marks]) @ root, 1]
+    phi, names = np.array([feature(x) for x in sets]), sorted(words)
+    weight = np.array([1 / langs.count(x) for x in langs])
+    penalty = op8_langid.RIDGE * np.eye(phi.shape[1]) * len(names) / len(rows)
+    penalty[-1, -1] = 0
+    w = [np.linalg.solve(phi.T @ (phi * weight[:, None]) + penalty, phi.T @ (weight * np.where(np.array(langs) == n, 1, -1))) for n in names]
+    new = ["the fox and the dog", "der hund", "avec le chien of", "zu in la"]
+    pred, best = op8_langid.score(model, new)
+    for t, p, s in zip(new, pred, best, strict=True):
+        raw = [feature(grams(t)) @ x for x in w]
+        assert p == names[int(np.argmax(raw))] and abs(s - np.clip((max(raw) + 1) / 2, 0, 1)) < 1e-3
 
 
 def test_licenses(spark):
