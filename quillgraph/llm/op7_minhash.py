@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +98,8 @@ def _sign(shingle: int, bands: int, rows: int):
                 has = (np.bincount(doc, minlength=len(part)) > 0) & own.is_valid().to_numpy(zero_copy_only=False)
                 ends = pa.array(np.r_[0, np.cumsum(has)] * bands, pa.int32(), mask=np.r_[~has, False])
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(key[has]).view(np.int64).ravel()))
-                none = pa.scalar(None, pa.binary())
-                yield pa.RecordBatch.from_arrays([own, pc.if_else(pa.array(has), keys.slice(a, b - a), none), lists], schema=schema)
+                known = pa.array([k if ok else None for k, ok in zip(keys.slice(a, b - a).to_pylist(), has, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own, known, lists], schema=schema)
 
     return releasing(run)
 
