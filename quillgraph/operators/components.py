@@ -13,28 +13,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
-from .skew import join_by_share
+from .skew import hubs, join_by_share
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """edges(a, b) with a > b; one star step."""
+#: Edges of which any number may be one node's: a task's rows.
+FEW = 20_000
+
+def _star(edges: DataFrame, large: bool, hot: list) -> DataFrame:
+    """edges(a, b) with a > b; one star step. ``hot``: nodes with a large share of the edges."""
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
-        moved = join_by_share(near.where("v > u"), least, "u", "d", total).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        moved = join_by_share(near.where("v > u"), least, "u", hot).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d"))
-        moved = join_by_share(edges, least, "a", "d", total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        moved = join_by_share(edges, least, "a", hot).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
 
+def _hot(edges: DataFrame, total: int) -> list:
+    """Nodes with a large share of the edges; a star step makes no node larger in the role in which it is joined."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").agg(F.count("*").alias("d"))
+    return hubs(ends, "u", "d", total) if total > FEW else []
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """(id, component) for every id on an edge between two different ids; the component is its least id."""
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     now = materialise(now, "components")
     seen, total = None, now.count()
     for _ in range(max_rounds):
-        # a step makes no more edges than it takes
-        now = materialise(_star(_star(now, True, total), False, total), "components")
+        hot = _hot(now, total)
+        now = materialise(_star(_star(now, True, hot), False, hot), "components")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         total = mark[0]
         if seen == mark:

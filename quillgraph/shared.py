@@ -21,6 +21,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded_batches(spark: SparkSession, most: int = 4_000_000) -> None:
+    """Arrow batches of at most ``most`` bytes in all later plans of the session, unless it has a value of its own: whole texts
+    come 10,000 at a time otherwise, which executors hold twice for each task beside their heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "67108864", "64m"):
+        spark.conf.set(key, str(most))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in local mode, where the session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
