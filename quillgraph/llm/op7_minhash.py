@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.skew import join_by_share
-from ..shared import materialise
+from ..operators.skew import hubs, join_by_share
+from ..shared import bounded_batches, materialise
 from . import textvec
 from .words import column_slices, release_if_large, releasing
 
@@ -276,6 +276,7 @@ def _verified(ties: DataFrame, members: DataFrame, sets: DataFrame, threshold: f
 def _classed(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h) of every row, h null for rows in no class; (h, rows, class_id, best) of every different text, with its number
     of rows; best marks the text that is kept of its class."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", text_key(F.col("text")).alias("h"), "text")
     signed = materialise(docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, h binary, bands array<long>"), "op7-signatures")
@@ -305,7 +306,7 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     placed = classes.select("h", "id", "rows", "v").join(parts.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     if shared.head(1):
         best = materialise(placed.groupBy("component").agg(F.min(F.struct("id", "h")).alias("b"), F.count("*").alias("d")), "op7-best")
-        placed = join_by_share(placed, best, "component", "d", placed.count()).select("h", "rows", F.col("b.id").alias("class_id"), (F.col("b.h") == F.col("h")).alias("best"))
+        placed = join_by_share(placed, best.drop("d"), "component", hubs(best, "component", "d", placed.count())).select("h", "rows", F.col("b.id").alias("class_id"), (F.col("b.h") == F.col("h")).alias("best"))
     else:  # the component is the least id, and that id has one text
         placed = placed.select("h", "rows", F.col("component").alias("class_id"), (F.col("id") == F.col("component")).alias("best"))
     return signed.select("doc_id", "h"), materialise(placed, "op7-placed")
@@ -315,7 +316,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id, kept) of every row: class_id is the least document id of the row's class; kept marks that document."""
     rows, classes = _classed(docs, **options)
     kept = F.coalesce((F.col("doc_id") == F.col("class_id")) & F.col("best"), F.lit(True))
-    return join_by_share(rows, classes, "h", "rows", rows.count(), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), kept.alias("kept"))
+    return join_by_share(rows, classes.drop("rows"), "h", hubs(classes, "h", "rows", rows.count()), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), kept.alias("kept"))
 
 
 def text_classes(docs: DataFrame, **options) -> DataFrame:
@@ -323,7 +324,7 @@ def text_classes(docs: DataFrame, **options) -> DataFrame:
     rows, classes = _classed(docs, **options)
     each = rows.where("h is not null").groupBy("doc_id", "h").agg(F.count("*").alias("n"))
     kept = (F.col("doc_id") == F.col("class_id")) & F.col("best")
-    return materialise(join_by_share(each, classes, "h", "rows", rows.count()).select("doc_id", "h", "n", kept.alias("kept")), "op7-rows")
+    return materialise(join_by_share(each, classes.drop("rows"), "h", hubs(classes, "h", "rows", rows.count())).select("doc_id", "h", "n", kept.alias("kept")), "op7-rows")
 
 
 def op7_near_dedup(spark, sf_dir):
