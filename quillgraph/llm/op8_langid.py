@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import free_name
+from ..shared import bounded_batches, free_name
 from .words import release
 
 BITS = 16
@@ -54,11 +54,15 @@ def _other() -> re.Pattern:
 
 
 _OTHER = _other()
+#: Below U+0300 there are no marks, and six characters are alphanumeric, no digits and no letters: without any, the short pattern
+#: is the same.
+_SHORT, _BEYOND = re.compile(r"[\W\d_]+"), re.compile("[\xb2\xb3\xb9\xbc-\xbe\u0300-\U0010ffff]")
 
 
 def normal(text: str) -> str:
     """Words of letters and their marks, one space between them; empty for a text without a letter."""
-    out = _OTHER.sub(" ", text.lower()).strip()
+    text = text.lower()
+    out = (_OTHER if _BEYOND.search(text) else _SHORT).sub(" ", text).strip()
     return out if any(map(str.isalpha, out)) else ""
 
 
@@ -158,11 +162,17 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
     """Fit on a bounded sample of docs(doc_id, text, lang) that are not held out."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
-    langs = known.agg(F.count_distinct("lang")).first()[0]
-    share = min(1.0, max_langs / max(langs, 1))  # every language stays
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language of the model
+    share = min(1.0, max_langs / max(len(counts), 1))  # every language stays
     each = max(1, int(per_lang * share))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h")
-    one = known.groupBy("lang", "doc_id", "h").agg(F.lit(1).alias("one"))  # equal rows count once
+    # of a language's rows, those whose hash is in the share that holds about four times as many as are wanted
+    drawn = F.xxhash64("doc_id", "h")
+    some = {lang: -(2**63) + min(2**64 - 1, 4 * each * 2**64 // n) for lang, n in counts.items() if n > 4 * each}
+    within = F.lit(True)
+    for lang, most in some.items():
+        within = F.when(F.col("lang") == lang, drawn <= most).otherwise(within)
+    order = Window.partitionBy("lang").orderBy(drawn, "doc_id", "h")
+    one = known.where(within).groupBy("lang", "doc_id", "h").agg(F.lit(1).alias("one"))  # equal rows count once
     chosen = one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("lang", "doc_id", "h")
     keys = [tuple(r) for r in chosen.collect()]  # at most each * langs keys
     if not keys:
@@ -182,6 +192,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
 
 def predicted(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
     """docs with a column ``name``, struct<lang_pred, score>."""
+    bounded_batches(docs.sparkSession)
     if model is None:
         return docs.withColumn(name, F.struct(F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS x languages floats, whatever the input
