@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import codec, column_slices, releasing
+from ..shared import bounded_batches
+from .words import codec, column_slices, release_if_large, releasing
 
 OUT = "doc_id long, n_tokens long, ids binary, decoded string"
 #: Bytes of text in a block.
@@ -143,6 +144,8 @@ def _assemble(tokenizer: str):
             decoded.append(" ".join([word_text[c] for c in code_list[a:b]]))
         if coder.tok.decoder is not None:
             decoded = [coder.tok.decode(np.frombuffer(x, dtype="<u4").tolist(), skip_special_tokens=False) for x in out_ids]
+        del at, ids, table, parts, codes, code_list, word_text
+        release_if_large()
         return pa.table([left.column("doc_ids")[0].values, pa.array(np.diff(tokens)), pa.array(out_ids, pa.binary()), pa.array(decoded, pa.string())], schema=schema)
 
     return run
@@ -150,6 +153,7 @@ def _assemble(tokenizer: str):
 
 def encode_decode(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of docs(doc_id, text); ids are little-endian u32."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     n_buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

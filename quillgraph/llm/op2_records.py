@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ..shared import shared_path
+from ..shared import bounded_batches, shared_path
 from .files import Folder
 from .words import codec, column_slices
 
@@ -155,6 +155,7 @@ class FramedRecords(DataSource):
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode ``doc_id, text`` and write the records of all documents below ``path``."""
+    bounded_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(FramedRecords)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

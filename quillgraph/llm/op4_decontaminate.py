@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import bounded_batches
 from . import textvec
 from .words import column_slices, releasing, text_slices
 
@@ -257,6 +258,7 @@ def _chunks(benchmark: DataFrame, chunk_chars: int) -> Iterator[list[tuple[int,
 
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """The best window for each pair of a document (doc_id, text) and a benchmark item (item_id, text) at the similarity."""
+    bounded_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = [docs.mapInArrow(_search(broadcast(own), similarity), OUT) for own in _chunks(benchmark, chunk_chars)]
@@ -265,6 +267,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """The rows of docs whose text holds no benchmark item at the similarity; all columns stay as they are."""
+    bounded_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast
     for own in _chunks(benchmark, chunk_chars):
         docs = docs.mapInArrow(_clean(broadcast(own), similarity, "text"), docs.schema)

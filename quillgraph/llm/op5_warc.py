@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from ..shared import materialise, shared_path
+from ..shared import bounded_batches, materialise, shared_path
 from .files import Folder
 from .words import release
 
@@ -271,6 +271,7 @@ def plan_records(pages: DataFrame, small: int = SMALL) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str, **options) -> None:
     """Write an archive of pages(page_id, url, html) below ``path``."""
+    bounded_batches(pages.sparkSession)
     pages.sparkSession.dataSource.register(Warc)
     plan_records(pages).write.format(NAME).options(**options).mode("append").save(path)
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import free_name, materialise
+from ..shared import bounded_batches, free_name, materialise
 from . import textvec
 from .words import column_slices, release, releasing
 
@@ -164,6 +164,7 @@ def _gain(both: str, entity: str, term: str, windows: float) -> F.Column:
 
 def _terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, base, ...) of every row, and (h, terms) of the texts that have terms."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("h", F.md5(F.coalesce("text", F.lit(""))))
     columns = f"doc_id long, h string, base array<{SPAN}>, ents array<long>, near array<struct<e:long,c:long,t:long>>, words array<struct<t:long,start:int,end:int>>"
