@@ -31,25 +31,34 @@ def _plain_links(rows, threshold=0.95):
     return {i: (links[i], find(i)) for i, _ in rows}
 
 
-def test_embeddings_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block", [64, 10_000])
+def test_embeddings_equal_brute_force(spark, block):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
     rows = [(k, (centres[k % 12] + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.2, 0.3])).tolist()) for k in range(300)]
     rows += [(1000 + k, rows[5][1]) for k in range(40)]  # a hot exact copy
     rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [float("inf")] * 16), (2005, [1.0, 2.0]), (2006, [2.0, 4.0]), (2007, [-0.0, 1.0]), (2008, [0.0, 1.0]), (2009, [1e200] * 16), (2010, [1.0] * 16), (2011, [None] + [1.0] * 15)]
-    monkeypatch.setattr(op3_embeddings, "BLOCK", 64)
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, component_id int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in op3_embeddings.near_duplicates(frame).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op3_embeddings.near_duplicates(frame, block=block).collect()}
     want = _plain_links([(i, [x / 1e100 for x in v] if i == 2009 else v) for i, v in rows])
     assert got == want
 
 
-def test_quantisation_bound_is_rigorous():
+@pytest.mark.parametrize("dim", [3, 32, 4096])
+def test_quantisation_bound_is_rigorous(dim):
     rng = np.random.default_rng(1)
-    u = op3_embeddings._unit(rng.normal(size=(200, 32)))
-    q, s, e, n = op3_embeddings._quantise(u)
-    bound = (q @ q.T) * s[:, None] * s[None, :] + n[:, None] * e[None, :] + e[:, None] + 2e-6
-    assert (bound >= u @ u.T).all() and (bound - u @ u.T).max() < 0.05
+    u = op3_embeddings._unit(np.r_[rng.normal(size=(100, dim)), rng.choice([-1.0, 1.0], size=(20, dim)), rng.normal(size=(20, dim)) ** 9])
+    left, right = op3_embeddings._sides(*op3_embeddings._quantise(u))
+    bound = left @ right.T
+    assert bound.dtype == np.float32 and (bound >= u @ u.T).all() and (bound - u @ u.T)[:100, :100].max() < 0.06
+
+
+def test_embeddings_at_the_threshold_and_under_equal_ids(spark):
+    t = 0.95
+    rows = [(1, [1.0, 0.0]), (2, [t, float(np.sqrt(1 - t * t))]), (3, [-1.0, 0.0]), (3, [0.0, -1.0]), (3, [0.0, -1.0]), (4, [0.01, -1.0]), (None, [1.0, 0.0])]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in op3_embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    link = int(np.dot(*(op3_embeddings._unit(np.array([v]))[0] for _, v in rows[:2])) >= t)
+    assert got == sorted([("1", link, "1", True), ("2", link, "1" if link else "2", not link), ("3", 0, "3", True), ("3", 2, "3", True), ("3", 2, "3", True), ("4", 2, "3", False), ("None", 0, "None", True)])
 
 
 def test_embeddings_of_nothing(spark):
