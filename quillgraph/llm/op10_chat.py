@@ -12,7 +12,8 @@ Template, for each turn in order::
 Inside roles and texts ``~`` is written ``~0``, ``<`` is ``~1``, ``[`` is ``~2`` and, in roles, a line feed is ``~3``, so no
 text can hold a control string of this template or of ``[INST]``-like ones, and the original is restored exactly.
 
-Defined results: null text, role: empty; ties (same turn) are ordered by role, then text; repeated rows are all kept; null
+Defined results: parts of other kinds keep their text and, if they have a reference, are attachments of kind ``other`` that expand
+to nothing; null text, role: empty; ties (same turn) are ordered by role, then text; repeated rows are all kept; null
 ``conv_id`` is a conversation of its own; an empty table gives an empty result; other columns are ignored.
 The one unbounded value is a conversation itself, which is the output row; rows are pre-collected on the map side.
 """
@@ -48,10 +49,18 @@ def _expanded(part: Column) -> Column:
     return per * F.greatest(F.coalesce(part["units"], F.lit(1)), F.lit(0))
 
 
+def _attached(part: Column) -> Column:
+    """Whether a part is an attachment: of a known kind, or of any other with a reference."""
+    kind = F.coalesce(part["type"], F.lit(""))
+    return kind.isin(*TOKENS_PER_UNIT) | ((kind != "text") & part["ref"].isNotNull())
+
+
 def _visit(part: Column) -> Column:
     """What a part leaves in the body: its escaped text, or a placeholder with kind and token count."""
-    attachment = F.concat(F.lit("<|"), part["type"], F.lit(":"), _expanded(part).cast("string"), F.lit("|>"))
-    return F.when(part["type"].isin(*TOKENS_PER_UNIT), attachment).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    known = F.coalesce(part["type"].isin(*TOKENS_PER_UNIT), F.lit(False))
+    attachment = F.concat(F.lit("<|"), F.when(known, part["type"]).otherwise("other"), F.lit(":"), _expanded(part).cast("string"), F.lit("|>"))
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    return F.when(known, attachment).when(_attached(part), F.concat(text, attachment)).otherwise(text)
 
 
 def format_chat(rows: DataFrame) -> DataFrame:
@@ -61,7 +70,7 @@ def format_chat(rows: DataFrame) -> DataFrame:
     turn = rows.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), parts.alias("parts")).alias("t"))
     turns = turn.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     one = lambda t: F.concat(F.lit(TURN), escape(t["role"], role=True), F.lit("\n"), F.array_join(F.transform(t["parts"], _visit), ""), F.lit(END))
-    found = F.filter(F.flatten(F.transform("ts", lambda t: t["parts"])), lambda p: p["type"].isin(*TOKENS_PER_UNIT))
+    found = F.filter(F.flatten(F.transform("ts", lambda t: t["parts"])), _attached)
     attachments = F.transform(found, lambda p, i: F.struct(i.alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("n_tokens")))
     return turns.select(
         "conv_id",

@@ -7,7 +7,9 @@ File format, for each record (all little-endian)::
 where data is ``i64 document id, u8 flags (1: id is null), u8 bytes per token id, token ids``, the checksum is CRC-32 and
 masking is ``((c >> 15 | c << 17) + 0xa282ead8) mod 2**32``. Beside each ``part-*.rec`` lies ``part-*.idx``: for each
 record ``u64 offset, u32 bytes, u32 token ids``, so records can be read in any order. ``_manifest.json`` lists the files that
-count, in document order; files of failed attempts are not in it.
+count, in document order; files of failed attempts are not in it. For each file it has cuts (record, offset, ids before) about
+every ``SPLIT`` bytes, by which readers plan partitions. With the option ``seed`` the partitions come in a random order, and each
+reads its part of the index and then its records in a random order.
 
 Records are in ascending id order over all files (range partitioning, then a sort inside each partition).
 
@@ -30,9 +32,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..shared import bounded_batches, shared_path
 from .files import Folder
-from .words import codec, column_slices
+from .words import codec, column_slices, release
 
-NAME = "framed_records"
+NAME, SPLIT = "framed_records", 64 << 20
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 _HEAD, _DATA, _INDEX = struct.Struct("<QI"), struct.Struct("<qBB"), np.dtype([("offset", "<u8"), ("bytes", "<u4"), ("n", "<u4")])
 
@@ -71,19 +73,22 @@ class Written(WriterCommitMessage):
 class RecordWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.uri, self.tokenizer, self.end = options["path"], options["tokenizer"], int(options["end_id"])
+        self.split = int(options.get("splitbytes", SPLIT))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         task, folder, coder = TaskContext.get(), Folder(self.uri), codec(self.tokenizer)
         folder.create()
-        name, out, index, at, n_ids = f"part-{task.partitionId():06d}-{task.taskAttemptId()}", None, [], 0, 0
+        name, out, index, at, n_ids, cuts = f"part-{task.partitionId():06d}-{task.taskAttemptId()}", None, [], 0, 0, [[0, 0, 0]]
         end = np.array([self.end], dtype=coder.dtype).tobytes()
         for batch in iterator:
             ids = batch.column("doc_id").to_pylist()
             for a, b, texts in column_slices(batch.column("text"), 4_000_000):
                 for doc_id, coded in zip(ids[a:b], coder.encode(texts), strict=True):
                     out = out or folder.write(f"{name}.rec")
+                    if at - cuts[-1][1] >= self.split:
+                        cuts.append([len(index), at, n_ids])
                     record = frame(doc_id, coded + end, coder.dtype.itemsize)
                     n = len(coded) // coder.dtype.itemsize + 1
                     out.write(record)
@@ -94,7 +99,8 @@ class RecordWriter(DataSourceArrowWriter):
         out.close()
         with folder.write(f"{name}.idx") as f:
             f.write(np.array(index, dtype=_INDEX).tobytes())
-        return Written([{"part": task.partitionId(), "name": name, "records": len(index), "ids": n_ids, "bytes": at}])
+        release()
+        return Written([{"part": task.partitionId(), "name": name, "records": len(index), "ids": n_ids, "bytes": at, "cuts": cuts}])
 
     def commit(self, messages: list) -> None:
         Folder(self.uri).publish(sorted((f for m in messages if m for f in m.files), key=lambda f: f["part"]))
@@ -104,36 +110,58 @@ class RecordWriter(DataSourceArrowWriter):
 
 
 @dataclass
-class OneFile(InputPartition):
+class Piece(InputPartition):
+    """Records first .. stop of a file, with the offset of the first and the ids of all documents before it."""
+
     name: str
-    start: int
+    first: int = 0
+    stop: int = 0
+    offset: int = 0
+    start: int = 0
 
 
 class RecordReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.uri = options["path"]
+        self.uri, self.seed = options["path"], int(options["seed"]) if "seed" in options else None
 
     def partitions(self) -> list:
         start, out = 0, []
         for e in Folder(self.uri).entries():
-            out.append(OneFile(e["name"], start))
+            stops = [*(c[0] for c in e["cuts"][1:]), e["records"]]
+            out += [Piece(e["name"], first, stop, offset, start + ids) for (first, offset, ids), stop in zip(e["cuts"], stops, strict=True)]
             start += e["ids"]
-        return out or [OneFile("", 0)]
+        if self.seed is not None:
+            out = [out[k] for k in np.random.default_rng(self.seed).permutation(len(out))]
+        return out or [Piece("")]
 
-    def read(self, partition: OneFile):
+    def read(self, piece: Piece):
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-        rows, held, start = [], 0, partition.start
-        if partition.name:
-            with Folder(self.uri).read(f"{partition.name}.rec") as f:
-                while (record := unframe(f)) is not None:
-                    doc_id, ids = record
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rows, held, start = [], 0, piece.start
+        if piece.name:
+            folder = Folder(self.uri)
+            order = before = None
+            if self.seed is not None:
+                with folder.read(f"{piece.name}.idx") as f:
+                    f.seek(piece.first * _INDEX.itemsize)
+                    index = np.frombuffer(f.read((piece.stop - piece.first) * _INDEX.itemsize), dtype=_INDEX)
+                order = np.random.default_rng([self.seed, piece.start & 0xFFFFFFFF, piece.first]).permutation(len(index))
+                before = piece.start + np.r_[0, np.cumsum(index["n"].astype(np.int64))]
+            with folder.read(f"{piece.name}.rec") as f:
+                f.seek(piece.offset)
+                for k in range(piece.stop - piece.first):
+                    if order is not None:
+                        f.seek(int(index["offset"][order[k]]))
+                        start = int(before[order[k]])
+                    doc_id, ids = unframe(f)
                     rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes()))
                     start, held = start + len(ids), held + len(ids)
                     if held > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        yield batch(rows)
                         rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield batch(rows)
+        release()
 
 
 class FramedRecords(DataSource):
@@ -153,19 +181,21 @@ class FramedRecords(DataSource):
         return RecordWriter(dict(self.options))
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, **options) -> None:
     """Encode ``doc_id, text`` and write the records of all documents below ``path``."""
     bounded_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(FramedRecords)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.write.format(NAME).option("tokenizer", tokenizer).option("end_id", str(end_id)).mode("append").save(path)
+    ordered.write.format(NAME).option("tokenizer", tokenizer).option("end_id", str(end_id)).options(**options).mode("append").save(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before; ids are little-endian u32."""
+def read_records(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before; ids are little-endian u32. With a seed the
+    records come in a random order, by the offset index."""
     spark.dataSource.register(FramedRecords)
-    return spark.read.format(NAME).load(path)
+    reader = spark.read.format(NAME)
+    return (reader if seed is None else reader.option("seed", str(seed))).load(path)
 
 
 class ShuffledRecords:

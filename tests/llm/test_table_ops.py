@@ -245,6 +245,9 @@ def test_chat_parts_become_ordered_placeholders(spark):
     row = op10_chat.format_chat(frame).first()
     assert "see ~1<|image:512|>and<|audio:25|><|document:1536|><|end|>" in row.formatted
     assert [(a["ordinal"], a["type"], a["ref"], a["n_tokens"]) for a in row.attachments] == [(0, "image", "s3://a.png", 512), (1, "audio", "b.wav", 25), (2, "document", "c.pdf", 1536)] and row.attachment_tokens == 2073
+    odd = [{"type": "video", "text": "a<", "ref": "v.mp4", "units": 3}, {"type": None, "text": "b", "ref": None, "units": None}, {"type": "text", "text": "c", "ref": "x", "units": None}, {"type": None, "text": None, "ref": "d.bin", "units": 1}]
+    row = op10_chat.format_chat(spark.createDataFrame([(1, 0, "user", None, odd)], frame.schema)).first()
+    assert "a~1<|other:0|>bc<|other:0|><|end|>" in row.formatted and [(a["type"], a["ref"], a["n_tokens"]) for a in row.attachments] == [("video", "v.mp4", 0), (None, "d.bin", 0)]
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))

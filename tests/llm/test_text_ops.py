@@ -72,6 +72,17 @@ def test_records_round_trip_and_random_access(spark, tok):
     assert sorted(str(i) for i, _ in records.shuffled(5)) == sorted(str(r.doc_id) for r in got)
 
 
+def test_records_are_split_and_read_in_random_order(spark, tok):
+    path, texts = shared_path(spark, "records"), [f"text {k} " * (k % 9) for k in range(300)]
+    op2_records.write_records(_docs(spark, texts, [k // 2 for k in range(300)]).coalesce(1), path, PATH, splitbytes="1000")
+    plain = [(r.doc_id, r.start, bytes(r.ids)) for r in op2_records.read_records(spark, path).collect()]
+    assert op2_records.read_records(spark, path).rdd.getNumPartitions() > 4
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 1] for _, t in sorted(((k // 2, t) for k, t in enumerate(texts)))]
+    assert [np.frombuffer(ids, "<u4").tolist() for _, _, ids in sorted(plain, key=lambda r: r[1])] == want and [s for _, s, _ in sorted(plain, key=lambda r: r[1])] == np.cumsum([0, *map(len, want[:-1])]).tolist()
+    shuffled = [[(r.doc_id, r.start, bytes(r.ids)) for r in op2_records.read_records(spark, path, seed=s).collect()] for s in (1, 1, 2)]
+    assert shuffled[0] == shuffled[1] != shuffled[2] and all(sorted(x) == sorted(plain) != x for x in shuffled)
+
+
 def test_records_of_nothing_and_damage(spark):
     path = shared_path(spark, "records")
     op2_records.write_records(_empty(spark), path, PATH)
