@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import hubs, join_by_share
 from ..shared import bounded_batches, free_name, materialise
 from . import textvec
 from .words import column_slices, release, releasing
@@ -162,8 +163,8 @@ def _gain(both: str, entity: str, term: str, windows: float) -> F.Column:
     return F.when(F.col(entity) < F.lit(windows), pmi / F.log(F.lit(windows) / F.col(entity)))
 
 
-def _terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, base, ...) of every row, and (h, terms) of the texts that have terms."""
+def _terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, h, base, ...) of every row, (h, terms) of the texts that have terms, and (h, n) of those that n > 1 rows have."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.withColumn("h", F.md5(F.coalesce("text", F.lit(""))))
@@ -171,10 +172,10 @@ def _terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosu
     found = materialise(keyed.mapInArrow(_find(reach), columns), "op6-spans")
     by_text = found.groupBy("h").agg(F.count("*").alias("n"))
     texts = float(by_text.count())
-    copied = materialise(by_text.where("n > 1").select("h"), "op6-copied")
+    copied = materialise(by_text.where("n > 1"), "op6-copied")
     once = keyed.dropDuplicates(["h"])
     if copied.count() <= COPIED:  # then only texts with copies are moved
-        once = keyed.join(F.broadcast(copied), "h", "left_anti").unionByName(keyed.join(F.broadcast(copied), "h", "left_semi").dropDuplicates(["h"]))
+        once = keyed.join(F.broadcast(copied.select("h")), "h", "left_anti").unionByName(keyed.join(F.broadcast(copied.select("h")), "h", "left_semi").dropDuplicates(["h"]))
     counted = once.select("text").mapInArrow(_count, "t long, n long, d long")
     tf = materialise(counted.groupBy("t").agg(F.sum("n").alias("tf"), F.sum("d").alias("df")), "op6-counts")
     windows = float(tf.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]) / (2 * reach + 1)
@@ -198,13 +199,14 @@ def _terms(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosu
     hidden = held.join(told, "e").select("h", "t").distinct()
     listed = found.where(F.size("words") > 0).join(hidden.select("h").distinct(), "h", "left_semi").select("h", F.explode("words").alias("w")).select("h", "w.*").distinct()
     extra = listed.join(hidden, ["h", "t"], "left_semi").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("terms"))
-    return found, extra
+    return found, extra, copied
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, h, base, terms) for every row: spans as (start, kind, end); h is the text's MD5."""
-    found, extra = _terms(docs, **options)
-    out = found.select("doc_id", "h", "base").join(extra, "h", "left").select("doc_id", "h", "base", "terms")
+    found, extra, copied = _terms(docs, **options)
+    hot = hubs(copied, "h", "n", found.count())
+    out = join_by_share(found.select("doc_id", "h", "base"), extra, "h", hot, "left").select("doc_id", "h", "base", "terms")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
 
 
