@@ -21,5 +21,5 @@ def join_by_share(rows: DataFrame, side: DataFrame, key: str, hot: list, how: st
     known = rows.where(F.col(key).isNotNull()) if how == "left" else rows
     out = known.where(~hub).join(side.where(~hub), key, how) if hot else known.join(side, key, how)
     if hot:
-        out = out.unionByName(known.where(hub).join(F.broadcast(side.where(hub)), key))
+        out = out.unionByName(known.where(hub).join(F.broadcast(side.where(hub)), key, how))
     return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
