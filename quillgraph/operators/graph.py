@@ -37,10 +37,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, src: str = "parent", dst: str
     return seen
 
 
-def lattice(values: DataFrame, edges: DataFrame, combine, unresolved: int = 0) -> DataFrame:
+def lattice(values: DataFrame, edges: DataFrame, combine, unresolved: int | None = 0) -> DataFrame:
     """(id, value) for all nodes of values(id, value, fixed): a node that is fixed, or has no parent in the table, keeps its
     value; any other has combine(parents' values). Layers are peeled from the fixed nodes down; nodes that a cycle keeps from
-    ever being resolved get ``unresolved``."""
+    ever being resolved get ``unresolved`` or, if that is None, the fixpoint of combine from their own values and all that
+    reaches them."""
     own = edges.select("child", "parent").distinct()
     known = values.select("id")
     own = own.join(known.select(F.col("id").alias("parent")), "parent", "left_semi").join(values.where(~F.col("fixed")).select(F.col("id").alias("child")), "child", "left_semi")
@@ -58,7 +59,18 @@ def lattice(values: DataFrame, edges: DataFrame, combine, unresolved: int = 0) -
         layer = state.where("have = need").select(F.col("child").alias("id"), F.col("value").cast("int").alias("value"))
         state = state.where("have < need")
         done = done.unionByName(layer)
-    return done.unionByName(state.select(F.col("child").alias("id"), F.lit(unresolved).alias("value")))
+    if unresolved is not None or state.isEmpty():
+        return done.unionByName(state.select(F.col("child").alias("id"), F.lit(unresolved).cast("int").alias("value")))
+    both = combine_two(combine)
+    now = state.select(F.col("child").alias("id"), F.col("value").alias("_v")).join(values.select("id", "value"), "id")
+    now = materialise(now.select("id", both("_v", "value").cast("int").alias("value")), "lattice")  # the least and greatest skip nulls
+    inner = materialise(own.join(now.select(F.col("id").alias("child")), "child", "left_semi").join(now.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent"), "lattice")
+    while True:
+        came = inner.join(now, inner["parent"] == now["id"]).groupBy("child").agg(combine("value").alias("_v"))
+        new = materialise(now.join(came, now["id"] == came["child"], "left").select("id", both("value", "_v").alias("value"), (both("value", "_v") != F.col("value")).alias("moved")), "lattice")
+        now = new.select("id", "value")
+        if new.where("moved").isEmpty():
+            return done.unionByName(now)
 
 
 def combine_two(combine):
@@ -79,15 +91,22 @@ def neighborhood(nodes: DataFrame, rel: DataFrame, seeds: DataFrame, hops: int =
 
 
 def heads(links: DataFrame) -> DataFrame:
-    """(id, head) for pointer chains links(id, next): pointer jumping, so rounds grow with the logarithm of a chain. A chain
-    that runs into a cycle ends at the cycle's least id."""
-    now = materialise(links.select("id", F.col("next").alias("head")), "heads")
-    for _ in range(64):
+    """(id, head) for pointer chains links(id, next), one link for each id: the last node that a walk from the id sees for the
+    first time. Pointer jumping, so rounds grow with the logarithm of a chain. On a cycle, and on a chain that runs into one, that
+    is the node before the one where the walk comes back: a cycle's member ends at its predecessor, a chain at the predecessor
+    of the member it enters at."""
+    links = materialise(links.select("id", "next"), "heads")
+    now = links.select("id", F.col("next").alias("head"))
+    for _ in range(links.count().bit_length() + 1):
         after = now.select(F.col("id").alias("head"), F.col("head").alias("_h"))
-        new = materialise(now.join(after, "head", "left").select("id", F.coalesce("_h", "head").alias("head"), F.col("_h").isNotNull().alias("moved")), "heads")
-        if new.where("moved").isEmpty():
-            return new.select("id", "head")
-        now = new.select("id", "head")
-    # only nodes that lead into a cycle still move
-    stuck = new.where("moved").select("id", F.col("head").alias("h"))
-    return new.where("not moved").select("id", "head").unionByName(stuck.join(stuck.groupBy("h").agg(F.min("id").alias("least")), "h").select("id", F.col("least").alias("head")))
+        now = materialise(now.join(after, "head", "left").select("id", F.coalesce("_h", "head").alias("head"), F.col("_h").isNotNull().alias("moved")), "heads")
+        if now.where("moved").isEmpty():
+            return now.select("id", "head")
+        now, last = now.select("id", "head"), now
+    # after more jumps than there are nodes, those that still move stand on a cycle, and cover all of it
+    stuck = last.where("moved")
+    members = materialise(stuck.select(F.col("head").alias("id")).distinct(), "heads")
+    before = links.join(members, "id", "left_semi").select(F.col("next").alias("enters"), F.col("id").alias("head"))
+    tails = heads(links.join(stuck.select("id"), "id", "left_semi").join(members, "id", "left_anti")).select("id", F.col("head").alias("enters"))
+    on_cycle = before.join(tails.unionByName(members.select("id", F.col("id").alias("enters"))), "enters").select("id", "head")
+    return last.where("not moved").select("id", "head").unionByName(on_cycle)

@@ -67,7 +67,10 @@ def forget(events: DataFrame, first_seen: str = "2024-01-01", now: str = "2024-0
     return folded.select("stem", "cnt", F.round(decay(F.col("f.rs"), F.col("f.ss"), end - F.col("f.t")), 4).alias("rs"), F.round("f.ss", 4).alias("ss"))
 
 
-_UNSETTLED = r"(?i)\bnot\s+(?:\w+\s+)?(?:deployed|applied|migrated|merged|installed|fixed|shipped|done|complete|completed|finished|live)\b"
+# Phrases that say that work is not finished, and the form of a due date.
+UNFINISHED = "deployed|applied|migrated|pushed|merged|installed|built|rebuilt|configured|fixed|wired|implemented|shipped|done|complete|completed|finished|live"
+UNDONE = "deployed|pushed|merged|migrated|applied|finished|shipped"
+_UNSETTLED = rf"(?i)\bnot\s+(?:\w+\s+)?(?:{UNFINISHED})\b|\bun(?:{UNDONE})\b"
 _DUE = r"(?i)\b(?:due|deadline)\b[:\s]+(\d{4}-\d{2}-\d{2})"
 
 

@@ -1,19 +1,26 @@
 """Ranked retrieval over (id, content): BM25, dense, sparse and late interaction, fused by reciprocal ranks.
 
-All operators take a table of queries, so one plan serves any number of them. Statistics come from the whole index; only the
-postings of query terms are ever exploded past the scan's stage. Scores are rounded before they are ranked, ties go to the
-smaller id.
+All operators take a table of queries, so one plan serves any number of them. ``build`` reads and tokenises the index once and
+writes one row for each document, its length and its postings of query terms; statistics, document frequencies and scores are
+made from that. Dense scores are matrix products of blocks of vectors with the queries, which are broadcast in chunks of a checked
+size. Scores are rounded before they are ranked, ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
-from ..functions.vectors import cosine
 from ..schema import K1, RRF_C, B
+from ..shared import materialise
 
 DIGITS = 6
 
@@ -23,58 +30,123 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, term, tf, dl) for the given terms only: a scan with a filter on each document's own tokens, then counts."""
+#: Query terms that a plan holds as a list; more are joined. Bytes of query vectors that are broadcast at once.
+TERMS, QUERY_BYTES = 10_000, 32_000_000
+
+
+def build(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, dl, post array<struct<term, tf>>) of every document, with its postings of the queries' terms; written once."""
+    terms = query_terms(queries).select("term").distinct()
+    few = [r["term"] for r in terms.limit(TERMS + 1).collect()]
     toks = index.select("id", tokens(F.col("content")).alias("toks"))
-    words = toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    if len(few) <= TERMS:
+        hits = F.filter("toks", lambda t: t.isin(few)) if few else F.array().cast("array<string>")
+        rows = toks.select("id", F.size("toks").alias("dl"), hits.alias("hits"))
+        post = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).cast("long").alias("tf")))
+        return materialise(rows.select("id", "dl", post.alias("post")), "postings")
+    words = toks.select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).join(terms.withColumn("wanted", F.lit(True)), "term", "left")
+    counts = words.groupBy("id", "dl", F.when(F.col("wanted"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+    post = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
+    return materialise(counts.groupBy("id", "dl").agg(post.alias("post")), "postings")
+
+
+def postings(built: DataFrame) -> DataFrame:
+    """(id, dl, term, tf) of a built index."""
+    return built.select("id", "dl", F.explode("post").alias("p")).select("id", "dl", "p.term", "p.tf")
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
+def corpus_stats(built: DataFrame) -> DataFrame:
     """One row (n, avgdl)."""
-    return index.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("content")))).alias("avgdl"))
+    return built.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_parts(index: DataFrame, queries: DataFrame) -> DataFrame:
+def weights(built: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, term, n, avgdl, idf); terms that no document has keep their row."""
+    df = postings(built).groupBy("term").agg(F.count("*").alias("df"))
+    all_terms = query_terms(queries).join(df, "term", "left").crossJoin(F.broadcast(corpus_stats(built)))  # one row of statistics
+    df = F.coalesce("df", F.lit(0))
+    return all_terms.select("qid", "term", "n", "avgdl", F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1.0).alias("idf"))
+
+
+def bm25_parts(built: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, term, part): what each query term adds to a document's score."""
-    terms = query_terms(queries)
-    post = postings(index, terms)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    # one row of statistics
-    weight = terms.join(df, "term").crossJoin(F.broadcast(corpus_stats(index)))
-    weight = weight.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-    both = post.join(weight, "term")
     part = F.col("idf") * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-    return both.select("qid", "id", "term", part.alias("part"))
+    return postings(built).join(weights(built, queries), "term").select("qid", "id", "term", part.alias("part"))
 
 
-def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(index: DataFrame, queries: DataFrame, built: DataFrame | None = None) -> DataFrame:
     """(qid, id, score) of all documents with a query term."""
-    return bm25_parts(index, queries).groupBy("qid", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    built = build(index, queries) if built is None else built
+    return bm25_parts(built, queries).groupBy("qid", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
 
 def coverage(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, coverage): the BM25 score over the best that any document could reach; unknown terms count in the ceiling."""
-    terms = query_terms(queries)
-    df = postings(index, terms).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5) + 1.0)
-    top = terms.join(df, "term", "left").crossJoin(F.broadcast(corpus_stats(index))).groupBy("qid").agg(F.sum(idf * (K1 + 1.0)).alias("top"))
-    raw = bm25_parts(index, queries).groupBy("qid", "id").agg(F.sum("part").alias("raw"))
+    built = build(index, queries)
+    top = weights(built, queries).groupBy("qid").agg(F.sum(F.col("idf") * (K1 + 1.0)).alias("top"))
+    raw = bm25_parts(built, queries).groupBy("qid", "id").agg(F.sum("part").alias("raw"))
     return raw.join(top, "qid").select("qid", "id", F.round(F.least(F.lit(1.0), F.col("raw") / F.col("top")), DIGITS).alias("coverage"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, max_queries: int = 100_000) -> DataFrame:
-    """(qid, id, score): cosine of vectors(id, vec) and queries(qid, vec), a stated query set. A small set is broadcast; a
-    larger one is handled in blocks by the shuffled product of Spark's planner."""
-    small = queries.limit(max_queries + 1).count() <= max_queries
-    q = queries.select("qid", F.col("vec").alias("qv"))
-    return vectors.crossJoin(F.broadcast(q) if small else q).select("qid", "id", F.round(cosine(F.col("vec"), F.col("qv")), DIGITS).alias("score"))
-
-
-def sparse(index: DataFrame, queries: DataFrame) -> DataFrame:
+def _unit(rows: np.ndarray) -> np.ndarray:
+    size = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return np.divide(rows, size, out=np.full_like(rows, np.nan), where=size > 0)
+
+
+def _scores(shared, k: int | None):
+    """mapInArrow over (id, vec): (qid, id, score), of each batch the first k of a query if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for dim in {len(v) for _, v in shared.value}:
+            own = [(q, v) for q, v in shared.value if len(v) == dim]
+            by_dim[dim] = np.array([q for q, _ in own], dtype=np.int64), _unit(np.array([v for _, v in own], dtype=np.float64))
+        for batch in batches:
+            ids, vecs = batch.column("id").to_numpy(zero_copy_only=False), batch.column("vec")
+            sizes = pc.fill_null(pc.list_value_length(vecs), 0).to_numpy(zero_copy_only=False)
+            for dim, (qids, q) in by_dim.items():
+                at = np.flatnonzero(sizes == dim)
+                for a in range(0, len(at), 1024):
+                    own = at[a : a + 1024]
+                    x = _unit(vecs.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+                    score = np.round(x @ q.T, DIGITS)
+                    if k is None or len(own) <= k:
+                        r, c = np.nonzero(~np.isnan(score))
+                    else:
+                        first = np.lexsort((np.broadcast_to(ids[own][:, None], score.shape), -score), axis=0)[:k]
+                        c = np.broadcast_to(np.arange(len(qids)), first.shape).ravel()
+                        r = first.ravel()
+                        ok = ~np.isnan(score[r, c])
+                        r, c = r[ok], c[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[c]), pa.array(ids[own][r]), pa.array(score[r, c])], ["qid", "id", "score"])
+
+    return run
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(qid, id, score): cosine of vectors(id, vec) and queries(qid, vec), a stated query set; with k at least the first k of each
+    query. Queries are broadcast in chunks of ``QUERY_BYTES``, each with a pass over the vectors. Null vectors, zero vectors and
+    other lengths than the query's give no row."""
+    good = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull())
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where(good & F.col("id").isNotNull())
+    q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("vec")).where(good & F.col("qid").isNotNull())
+    total = q.agg(F.coalesce(F.sum(F.size("vec") * 8), F.lit(0))).first()[0]
+    chunks = max(1, math.ceil(2 * total / QUERY_BYTES)) if total > QUERY_BYTES else 1
+    out = None
+    for chunk in range(chunks):
+        own = q if chunks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == chunk)
+        shared = spark.sparkContext.broadcast([(r["qid"], r["vec"]) for r in own.collect()])
+        part = rows.mapInArrow(_scores(shared, k), "qid long, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sparse(index: DataFrame, queries: DataFrame, built: DataFrame | None = None) -> DataFrame:
     """(qid, id, score): dot product of term frequencies over shared terms."""
+    built = build(index, queries) if built is None else built
     q = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("w"))
-    return postings(index, q).join(q, "term").groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("w")).cast("double").alias("score"))
+    return postings(built).join(q, "term").groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("w")).cast("double").alias("score"))
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -95,5 +167,7 @@ def rrf(*lists: DataFrame, weights: tuple[float, ...] | None = None) -> DataFram
 
 def retrieve(index: DataFrame, pool: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, depth: int = 50) -> DataFrame:
     """Hybrid scores. Statistics are the index's, ranks are taken inside the pool, so excluded nodes eat no slots."""
-    inside = lambda scores: scores.join(pool.select("id"), "id", "left_semi")
-    return rrf(*(ranked(inside(x), depth) for x in (bm25(index, queries), dense(vectors, query_vectors), sparse(index, queries))))
+    built, pool = build(index, queries), materialise(pool.select("id").distinct(), "pool")
+    inside = lambda scores: ranked(scores.join(pool, "id", "left_semi"), depth)
+    near = dense(vectors.join(pool, "id", "left_semi"), query_vectors, depth)
+    return rrf(inside(bm25(index, queries, built)), ranked(near, depth), inside(sparse(index, queries, built)))

@@ -245,10 +245,10 @@ CONFS = f"""WITH RECURSIVE {LIVE}, up AS (SELECT id AS seed, id FROM {{nodes}} U
 
 
 def effective_confs(s):
-    """MAX over the live provenance of derived nodes; defined on acyclic provenance."""
+    """MAX over the live provenance of derived nodes; on a cycle the fixpoint over its members and what reaches it."""
     live = s.edges.join(s.nodes.where("tombstoned = 0").select(F.col("id").alias("parent")), "parent", "left_semi")
     values = s.nodes.select("id", F.col("conf_label").alias("value"), (F.col("channel") != "agent-derived").alias("fixed"))
-    return graph.lattice(values, live, F.max, unresolved=3).select("id", F.col("value").alias("conf"))
+    return graph.lattice(values, live, F.max, unresolved=None).select("id", F.col("value").alias("conf"))
 
 
 @query("effective_confs", f"{CONFS} SELECT id, conf FROM eff")

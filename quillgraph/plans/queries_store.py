@@ -230,14 +230,14 @@ def _(s):
 shared("usage_events", "SELECT user_id AS stem, count(*) AS hits, min(ts) AS first_used, max(ts) AS last_used FROM {events} WHERE ts > TIMESTAMP '2024-01-10 00:00:00' GROUP BY user_id")
 shared("pin_violations", "SELECT id, source_ref FROM {src} WHERE channel = 'endorsed' AND stale = 1 AND tombstoned = 0")
 
-NOTES = "SELECT id, CASE id % 4 WHEN 0 THEN content || ' not yet deployed' WHEN 1 THEN content || ' due: 2024-0' || (id % 9 + 1) || '-15' ELSE content END AS content, DATE '2023-12-01' + CAST(id % 90 AS INTEGER) AS seen FROM {src}"
+NOTES = "SELECT id, CASE id % 4 WHEN 0 THEN content || CASE id % 5 WHEN 0 THEN ' not yet deployed' WHEN 1 THEN ' is not wired' WHEN 2 THEN ' Unpushed work' WHEN 3 THEN ' not fully rebuilt now' ELSE ' not quite yet done' END WHEN 1 THEN content || ' due: 2024-0' || (id % 9 + 1) || '-15' ELSE content END AS content, DATE '2023-12-01' + CAST(id % 90 AS INTEGER) AS seen FROM {src}"
 
 
 @query("verify_stale", f"""WITH n AS ({NOTES}), d AS (SELECT *, try_cast(nullif(regexp_extract(content, '(?i)\\b(?:due|deadline)\\b[:\\s]+([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') AS DATE) AS due FROM n)
   SELECT id, CASE WHEN due <= DATE '2024-02-20' THEN 'overdue: ' || due || ' passed' ELSE 'unverified since ' || strftime(seen, '%Y-%m') END AS reason FROM d
-  WHERE due <= DATE '2024-02-20' OR (regexp_matches(content, '(?i)\\bnot\\s+(?:\\w+\\s+)?(?:deployed|applied|migrated|merged|installed|fixed|shipped|done|complete|completed|finished|live)\\b') AND date_diff('day', seen, DATE '2024-02-20') > 45)""".replace("{{4}}", "{4}").replace("{{2}}", "{2}"))
+  WHERE due <= DATE '2024-02-20' OR (regexp_matches(content, '(?i)\\bnot\\s+(?:\\w+\\s+)?(?:{lifecycle.UNFINISHED})\\b|\\bun(?:{lifecycle.UNDONE})\\b') AND date_diff('day', seen, DATE '2024-02-20') > 45)""".replace("{{4}}", "{4}").replace("{{2}}", "{2}"))
 def _(s):
-    content = F.when(F.col("id") % 4 == 0, F.concat("content", F.lit(" not yet deployed"))).when(F.col("id") % 4 == 1, F.concat("content", F.lit(" due: 2024-0"), (F.col("id") % 9 + 1).cast("string"), F.lit("-15"))).otherwise(F.col("content"))
+    content = F.when(F.col("id") % 4 == 0, F.concat("content", F.element_at(F.array(*map(F.lit, (" not yet deployed", " is not wired", " Unpushed work", " not fully rebuilt now", " not quite yet done"))), (F.col("id") % 5 + 1).cast("int")))).when(F.col("id") % 4 == 1, F.concat("content", F.lit(" due: 2024-0"), (F.col("id") % 9 + 1).cast("string"), F.lit("-15"))).otherwise(F.col("content"))
     notes = s.src.select("id", content.alias("content"), F.date_add(F.lit("2023-12-01").cast("date"), (F.col("id") % 90).cast("int")).alias("seen"))
     return lifecycle.verify_stale(notes, "2024-02-20", 45)
 

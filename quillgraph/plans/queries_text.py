@@ -151,7 +151,7 @@ def _(s):
 
 @query("corpus_stats", f"WITH {INDEX} SELECT count(*) AS n, round(avg(len({toks('content')})), 6) AS avgdl FROM ix")
 def _(s):
-    return retrieval.corpus_stats(index_of(s)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return retrieval.corpus_stats(retrieval.build(index_of(s), queries_of(s))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("term_freq", f"WITH {INDEX} SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest({toks('content')}) AS term FROM ix) x GROUP BY term")
@@ -187,7 +187,7 @@ COSINE = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBL
 def _(s):
     """The stated query set, every vector whose id is divisible by 50, against all vectors."""
     vectors = s.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return retrieval.ranked(retrieval.dense(vectors, vectors.where("id % 50 = 0").withColumnRenamed("id", "qid")), 10).select("qid", "id", "score")
+    return retrieval.ranked(retrieval.dense(vectors, vectors.where("id % 50 = 0").withColumnRenamed("id", "qid"), 10), 10).select("qid", "id", "score")
 
 
 SPARSE = f"""qw AS (SELECT qid, term, count(*) AS w FROM (SELECT item_id AS qid, unnest({toks('text')}[1:8]) AS term FROM {{benchmark}}) y GROUP BY qid, term),
