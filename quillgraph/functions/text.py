@@ -105,3 +105,25 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 if both are empty."""
     either = F.size(F.array_union(a, b))
     return F.when(either == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+
+
+# Words and tokens that carry no claim (stop words; dates, numbers, prices, links, paths).
+NO_CLAIM = (
+    "the a an is are was were of for to in on at and or as by with from this that it its their his her been be now so far only not yet "
+    "done set up built via re"
+).split()
+METADATA = r"(?i)^(?:\d{4}-\d{2}(-\d{2})?|\$?\d[\d,.]*[km%]?|\[\[.*|https?:.*|[~./\\].*|.*[/\\].*|.*\.md)$"
+
+
+def claim_tokens(c: Column) -> Column:
+    """Lower-case tokens of a sentence without code spans and marks."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace(c, r"`[^`]+`", " ")), r"[*_#>|()\[\],:;!?]", " ")
+    return F.filter(F.transform(F.split(plain, r"\s+"), lambda t: F.btrim(t, F.lit("."))), lambda t: t != "")
+
+
+def content_diff(a: Column, b: Column) -> Column:
+    """The claim-bearing tokens that two token lists do not hold equally often, in order: a difference of bags, so a repeated word
+    counts. Empty if the two differ in metadata only."""
+    many = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
+    differ = F.filter(F.array_distinct(F.concat(a, b)), lambda t: many(a, t) != many(b, t))
+    return F.array_sort(F.filter(differ, lambda t: ~t.isin(*NO_CLAIM) & ~t.rlike(METADATA) & t.rlike(r"\p{L}")))

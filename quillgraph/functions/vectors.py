@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,3 +37,21 @@ def mrl(v: Column, dim: int) -> Column:
     head = F.slice(v, 1, dim)
     n = norm(head)
     return F.when(n == 0, F.transform(head, lambda x: x.cast("double"))).otherwise(F.transform(head, lambda x: x.cast("double") / n))
+
+
+def encode(v: Column, kind: str) -> Column:
+    """A vector as a little-endian blob: ``f4`` single, ``f2`` half precision."""
+
+    def run(vecs: pd.Series) -> pd.Series:
+        return vecs.map(lambda x: None if x is None else np.asarray(x).astype(f"<{kind}").tobytes())
+
+    run.__annotations__ = {"vecs": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "binary")(v)
+
+
+def decode(blob: Column, kind: str) -> Column:
+    def run(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda x: None if x is None else np.frombuffer(x, f"<{kind}").astype(np.float32))
+
+    run.__annotations__ = {"blobs": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<float>")(blob)

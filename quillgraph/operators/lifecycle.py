@@ -67,6 +67,49 @@ def forget(events: DataFrame, first_seen: str = "2024-01-01", now: str = "2024-0
     return folded.select("stem", "cnt", F.round(decay(F.col("f.rs"), F.col("f.ss"), end - F.col("f.t")), 4).alias("rs"), F.round("f.ss", 4).alias("ss"))
 
 
+def seed_strengths(p: dict) -> tuple[Column, Column]:
+    """(rs, ss) that a memory starts a pass with: its own, else those of an older weight and count, else a new memory's, whose
+    salience lifts its storage strength. Columns rs, ss, weight, count, salience, each may be null."""
+    cap = F.lit(float(p["ss_cap"]))
+    salience = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("salience", F.lit(0.0))))
+    older = p["ss_floor"] + p["ss_mig_k"] * F.log1p(F.greatest(F.coalesce("count", F.lit(0)), F.lit(0)).cast("double"))
+    rs = F.coalesce("rs", "weight", F.lit(float(p["rs_seed"])))
+    ss = F.when(F.col("rs").isNotNull(), F.coalesce("ss", F.lit(float(p["ss_floor"])))).when(F.col("weight").isNotNull(), older).otherwise(p["ss_floor"] + (p["ss_cap"] - p["ss_floor"]) * salience)
+    return F.least(rs, F.lit(float(p["rs_cap"]))), F.greatest(F.lit(0.0), F.least(ss, cap))
+
+
+def forget_pass(mems: DataFrame, events: DataFrame, now: str, p: dict | None = None) -> DataFrame:
+    """(stem, count, rs, ss, tier, action) of mems(stem, tier, pinned, stashed, is_stale, rs, ss, weight, count, salience, first_seen,
+    last_used) after events(stem, ts, hits): decay to each use, one reinforcement for each hit, decay to now; uses of stale
+    memories do not count.
+
+    Pinned memories are hot. Hot ones turn cold below ``demote_below`` once they are ``grace_days`` old; cold ones whose index line
+    is stashed turn hot again at ``promote_at``. Between the two thresholds nothing changes."""
+    p = PARAMS | (p or {})
+    seconds = lambda c: F.unix_timestamp(c).cast("double")
+    end = seconds(F.lit(now).cast("timestamp"))
+    listed = events.where("hits > 0").groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("ts", F.col("hits").cast("int").alias("hits")))).alias("ev"))
+    rs0, ss0 = seed_strengths(p)
+    rows = mems.join(listed, "stem", "left").withColumn("ev", F.when(~F.col("is_stale"), F.col("ev")))
+    rows = rows.withColumn("ev", F.coalesce("ev", F.array().cast("array<struct<ts:timestamp,hits:int>>")))
+    times = F.flatten(F.transform("ev", lambda e: F.array_repeat(F.least(F.coalesce(seconds(e["ts"]), end), end), e["hits"])))
+    decay = lambda rs, ss, dt: rs * F.pow(F.lit(p["decay_base"]), F.greatest(dt, F.lit(0.0)) / WEEK / (1.0 + p["ss_decay_k"] * ss))
+
+    def step(state: Column, t: Column) -> Column:
+        faded = decay(state["rs"], state["ss"], t - state["t"])
+        ss = F.greatest(F.lit(0.0), F.least(F.lit(p["ss_cap"]), state["ss"] + p["ss_gain"] * (1.0 - faded / p["rs_cap"])))
+        return F.struct(F.least(F.lit(p["rs_cap"]), faded + p["rs_gain"] * (1.0 + F.log1p(ss))).alias("rs"), ss.alias("ss"), t.alias("t"))
+
+    start = F.struct(rs0.alias("rs"), ss0.alias("ss"), F.coalesce(seconds(F.col("last_used")), seconds(F.col("first_seen")), end).alias("t"))
+    done = rows.withColumn("f", F.aggregate(times, start, step)).withColumn("hits", F.aggregate("ev", F.lit(0).cast("long"), lambda n, e: n + e["hits"]))
+    done = done.select("stem", "tier", "pinned", "stashed", (F.coalesce("count", F.lit(0)) + F.col("hits")).cast("long").alias("count"), F.round(decay(F.col("f.rs"), F.col("f.ss"), end - F.col("f.t")), 4).alias("rs"), F.round("f.ss", 4).alias("ss"), F.floor((end - F.coalesce(seconds(F.col("first_seen")), end)) / 86400).alias("age"))
+    cold = (F.col("tier") == "hot") & (F.col("rs") < p["demote_below"]) & (F.col("age") >= p["grace_days"])
+    back = (F.col("tier") == "cold") & F.col("stashed") & (F.col("rs") >= p["promote_at"])
+    target = F.when(F.col("pinned"), "hot").when(cold, "cold").when(back, "hot").otherwise(F.col("tier"))
+    action = F.when(target != F.col("tier"), F.concat(F.col("tier"), F.lit(" to "), target))
+    return done.select("stem", "count", "rs", "ss", target.alias("tier"), action.alias("action"))
+
+
 # Phrases that say that work is not finished, and the form of a due date.
 UNFINISHED = "deployed|applied|migrated|pushed|merged|installed|built|rebuilt|configured|fixed|wired|implemented|shipped|done|complete|completed|finished|live"
 UNDONE = "deployed|pushed|merged|migrated|applied|finished|shipped"
@@ -108,3 +151,27 @@ def shed_global(rows: DataFrame, budget: int) -> DataFrame:
     before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy(F.desc("rs")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("rs", "before")
     inside = Window.partitionBy("rs").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(before, "rs").withColumn("kept", F.col("before") + F.sum("bytes").over(inside) <= budget)
+
+
+def upsert(base: DataFrame, new: DataFrame, key: str, replace: bool = True) -> DataFrame:
+    """base with the rows of new by key: known keys are replaced, or kept where ``replace`` is not set. Of several new rows with one
+    key the greatest counts, so the result does not depend on their order."""
+    others = [c for c in base.columns if c != key]
+    one = new.groupBy(key).agg(F.max(F.struct(*others)).alias("_n")).select(key, F.col("_n"))
+    old = base.select(key, F.struct(*others).alias("_o"))
+    row = F.coalesce("_n", "_o") if replace else F.coalesce("_o", "_n")
+    return old.join(one, key, "full_outer").select(key, row.alias("_r")).select(key, "_r.*").select(*base.columns)
+
+
+def sections(lines: DataFrame) -> DataFrame:
+    """lines(doc, pos, line) with the section, the last heading ``## ...`` at or above the line; null before the first."""
+    w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.when(F.startswith("line", F.lit("## ")), F.substr("line", F.lit(4)))
+    return lines.withColumn("section", F.last(heading, ignorenulls=True).over(w))
+
+
+def index_stats(lines: DataFrame, budget: int, section_budget: int) -> DataFrame:
+    """(doc, n_lines, bytes, n_sections, over_budget, over) of index notes lines(doc, pos, line)."""
+    by = sections(lines).groupBy("doc", "section").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("b"))
+    above = F.col("section").isNotNull() & (F.col("b") > section_budget)
+    return by.groupBy("doc").agg(F.sum("n").alias("n_lines"), F.sum("b").alias("bytes"), F.count("section").alias("n_sections"), F.sum(above.cast("long")).alias("over_budget"), (F.sum("b") > budget).alias("over"))

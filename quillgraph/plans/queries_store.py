@@ -9,7 +9,6 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import filters, lifecycle, similarity
 from ..operators.components import connected_components
-from ..shared import materialise, shared_path
 from . import queries_graph as G
 from . import queries_text as X
 from .queries_graph import POOL, TAINT
@@ -69,16 +68,6 @@ def _(s):
 shared("chat_channels", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'agent-derived' END AS channel, length(text) AS n FROM {conversations}")
 
 
-@query("transcript_extract", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'agent-derived' END AS channel, coalesce(text, '') AS text FROM {conversations} WHERE role IN ('user', 'assistant')")
-def _(s):
-    """JSON transcript lines: gate on the type, flatten the text blocks, refer to the line."""
-    block = F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")))
-    lines = s.conversations.select("conv_id", "turn", F.to_json(F.struct(F.col("role").alias("type"), F.struct(block.alias("content")).alias("message"))).alias("line"))
-    parsed = lines.withColumn("r", F.from_json("line", "type string, message struct<content:array<struct<type:string,text:string>>>")).where(F.col("r.type").isin("user", "assistant"))
-    text = F.array_join(F.transform(F.filter("r.message.content", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
-    return parsed.select("conv_id", "turn", F.when(F.col("r.type") == "user", "user").otherwise("agent-derived").alias("channel"), text.alias("text"))
-
-
 FULL = """SELECT coalesce(l.id, f.id) AS id, CASE WHEN l.id IS NULL THEN 'created' WHEN f.id IS NULL THEN 'tombstoned' WHEN l.h <> f.h THEN 'updated' ELSE 'skipped' END AS action
   FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'old' ELSE {norm} END AS h FROM {{files}} WHERE id % 5 <> 0) l FULL OUTER JOIN (SELECT id, {norm} AS h FROM {{files}} WHERE id % 7 <> 2) f ON f.id = l.id""".format(norm=NORM.format(c="content"))
 
@@ -227,7 +216,6 @@ def _(s):
     return lifecycle.forget(s.events.select(F.col("user_id").alias("stem"), "ts", "event_id")).select("stem", "cnt", F.round("rs", 3).alias("rs"), F.round("ss", 3).alias("ss"), F.when(F.col("stem") % 17 == 0, "hot").when(F.col("rs") < 0.2, "cold").otherwise("hot").alias("tier"))
 
 
-shared("usage_events", "SELECT user_id AS stem, count(*) AS hits, min(ts) AS first_used, max(ts) AS last_used FROM {events} WHERE ts > TIMESTAMP '2024-01-10 00:00:00' GROUP BY user_id")
 shared("pin_violations", "SELECT id, source_ref FROM {src} WHERE channel = 'endorsed' AND stale = 1 AND tombstoned = 0")
 
 NOTES = "SELECT id, CASE id % 4 WHEN 0 THEN content || CASE id % 5 WHEN 0 THEN ' not yet deployed' WHEN 1 THEN ' is not wired' WHEN 2 THEN ' Unpushed work' WHEN 3 THEN ' not fully rebuilt now' ELSE ' not quite yet done' END WHEN 1 THEN content || ' due: 2024-0' || (id % 9 + 1) || '-15' ELSE content END AS content, DATE '2023-12-01' + CAST(id % 90 AS INTEGER) AS seen FROM {src}"
@@ -263,17 +251,6 @@ def _(s):
 query("federation_stats", f"SELECT action, count(*) AS n FROM ({MERGE}) m GROUP BY action")(lambda s: QUERIES["federation_merge"](s).groupBy("action").agg(F.count("*").alias("n")))
 
 
-@query("export_changeset", "SELECT 'node' AS type, 'site:' || id AS uuid, content, label FROM {src} WHERE redacted = 0 UNION ALL SELECT 'redaction', 'site:' || id, NULL, NULL FROM {src} WHERE redacted = 1")
-def _(s):
-    """A changeset as JSON lines, written and read back."""
-    uuid = F.concat(F.lit("site:"), F.col("id").cast("string"))
-    nodes = s.src.where("redacted = 0").select(F.to_json(F.struct(F.lit("node").alias("type"), uuid.alias("uuid"), "content", "label")).alias("value"))
-    gone = s.src.where("redacted = 1").select(F.to_json(F.struct(F.lit("redaction").alias("type"), uuid.alias("uuid"))).alias("value"))
-    path = shared_path(s.spark, "changeset")
-    nodes.unionByName(gone).write.text(path)
-    return s.spark.read.schema("type string, uuid string, content string, label int").option("mode", "DROPMALFORMED").json(path)
-
-
 shared("conf_coerce", "SELECT id, least(3, greatest(0, coalesce(TRY_CAST(raw AS INTEGER), 0))) AS conf FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'x' ELSE CAST(id % 9 - 2 AS STRING) END AS raw FROM {src}) r")
 
 # --- export, consolidation ---------------------------------------------------------------------------------------------------
@@ -346,21 +323,6 @@ def _(s):
     return upto.groupBy("mode").agg(F.min("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 0.95)).alias("p95"))
 
 
-@query("section_stats", "SELECT role, count(*) AS n_lines, sum(strlen(line) + 1)::BIGINT AS bytes FROM (SELECT role, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {conversations}) x GROUP BY role")
-def _(s):
-    lines = s.conversations.select("role", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    return lines.groupBy("role").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line") + 1).alias("bytes"))
-
-
-@query("index_entries", """WITH l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM {src})
-  SELECT id, pos, last_value(CASE WHEN length(line) <= 20 THEN line END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l""")
-def _(s):
-    """Lines with the heading above them (a line of at most 20 characters)."""
-    lines = s.src.select("id", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select("id", (F.col("pos") + 1).cast("long").alias("pos"), F.last(F.when(F.length("line") <= 20, F.col("line")), ignorenulls=True).over(w).alias("section"))
-
-
 @query("section_shed", "SELECT id, source_ref, total <= 600 AS kept FROM (SELECT id, source_ref, sum(least(length(content), 70) + 1) OVER (PARTITION BY source_ref ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS total FROM {src} WHERE tombstoned = 0) x")
 def _(s):
     """Entries of a section, newest first, while they fit its budget."""
@@ -396,11 +358,6 @@ def _(s):
     return s.src.select("id", i.alias("i")).where(F.floor(F.col("i") * rate) > F.floor((F.col("i") - 1) * rate)).select("id")
 
 
-shared("integrity_metrics", """SELECT channel, count(*) AS n, round(avg(CASE WHEN label >= 2 THEN 1.0 ELSE 0.0 END), 6) AS utility, round(sum(CASE WHEN status = 'quarantined' THEN 1.0 ELSE 0.0 END) / nullif(sum(CASE WHEN tombstoned = 0 THEN 1 ELSE 0 END), 0), 6) AS attack_rate FROM {nodes} GROUP BY channel""".replace("1.0", "CAST(1 AS DOUBLE)").replace("0.0", "CAST(0 AS DOUBLE)"))
-shared("stale_metrics", """SELECT source_ref, sum(stale) AS stale, round(CAST(sum(CASE WHEN stale = 1 AND archived = 0 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(sum(stale), 0), 6) AS served_stale,
-  round(CAST(sum(CASE WHEN stale = 1 AND tombstoned = 1 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(sum(tombstoned), 0), 6) AS recall FROM {src} GROUP BY source_ref""")
-
-
 @query("mrl_vectors", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding[1:16]::DOUBLE[], lambda x: x * x))), 5) AS first, 16 AS dim FROM {embeddings}")
 def _(s):
     v = V.mrl(F.col("embedding"), 16)

@@ -411,7 +411,6 @@ def _(s):
     pairs = similarity.jaccard_pairs(pool_sets(s), 0.5)
     sent = s.src.select("id", T.sentences(F.col("content")).alias("ss"))
     both = pairs.join(sent.select(F.col("id").alias("a"), F.col("ss").alias("sa")), "a").join(sent.select(F.col("id").alias("b"), F.col("ss").alias("sb")), "b")
-    diff = lambda x, y: F.array_except(T.stems(x), T.stems(y))
     lines = both.select("a", "b", F.explode("sa").alias("x"), "sb").select("a", "b", "x", F.explode("sb").alias("y")).where(F.col("x") != F.col("y"))
     close = lines.withColumn("j", T.jaccard(T.stems(F.col("x")), T.stems(F.col("y")))).where("j >= 0.5")
-    return close.select(F.col("a").alias("older"), F.col("b").alias("newer"), F.round("j", 6).alias("j"), F.concat(diff(F.col("x"), F.col("y")), diff(F.col("y"), F.col("x"))).alias("differ"))
+    return close.select(F.col("a").alias("older"), F.col("b").alias("newer"), F.round("j", 6).alias("j"), T.content_diff(T.claim_tokens(F.col("x")), T.claim_tokens(F.col("y"))).alias("differ")).where(F.size("differ") > 0)

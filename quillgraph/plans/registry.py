@@ -6,7 +6,7 @@ import importlib
 
 from .views import Store, oracle
 
-MODULES = ("queries_graph", "queries_text", "queries_store")
+MODULES = ("queries_graph", "queries_text", "queries_store", "queries_sources")
 
 
 def _modules():

@@ -31,14 +31,19 @@ VIEWS = {
           CASE WHEN (conv_id + turn) % 17 = 0 THEN 1 ELSE 0 END AS tombstoned, 'live' AS status, 0 AS redacted, 0 AS archived,
           0 AS conf_label, CASE WHEN conv_id % 9 = 4 THEN 1 ELSE 0 END AS stale, conv_id, turn
         FROM {conversations} WHERE role = 'assistant'""",
+    "summaries": """
+        SELECT 20000000 + doc_id AS id, concat('summary of ', CAST(doc_id AS STRING)) AS content, 'agent-derived' AS channel, 1 AS label, 'summary' AS source_ref, 0 AS tombstoned,
+          'live' AS status, 0 AS redacted, 0 AS archived, 0 AS conf_label, 0 AS stale FROM {documents} WHERE doc_id % 39 = 5""",
     "nodes": """
         SELECT id, content, channel, label, source_ref, tombstoned, status, redacted, archived, conf_label, stale FROM {src}
-        UNION ALL SELECT id, content, channel, label, source_ref, tombstoned, status, redacted, archived, conf_label, stale FROM {der}""",
+        UNION ALL SELECT id, content, channel, label, source_ref, tombstoned, status, redacted, archived, conf_label, stale FROM {der}
+        UNION ALL SELECT id, content, channel, label, source_ref, tombstoned, status, redacted, archived, conf_label, stale FROM {summaries}""",
     "edges": """
         SELECT DISTINCT child, parent FROM (
           SELECT d.id AS child, (d.conv_id * 7 + d.turn * 3) % n.n AS parent FROM {der} d CROSS JOIN (SELECT count(*) AS n FROM {documents}) n
           UNION ALL SELECT d.id, (d.conv_id * 13 + d.turn * 5 + 1) % n.n FROM {der} d CROSS JOIN (SELECT count(*) AS n FROM {documents}) n WHERE d.turn % 3 <> 0
-          UNION ALL SELECT id, p FROM (SELECT id, lag(id) OVER (PARTITION BY conv_id ORDER BY turn, id) AS p FROM {der}) x WHERE p IS NOT NULL) e""",
+          UNION ALL SELECT id, p FROM (SELECT id, lag(id) OVER (PARTITION BY conv_id ORDER BY turn, id) AS p FROM {der}) x WHERE p IS NOT NULL
+          UNION ALL SELECT m.id, d.doc_id FROM {summaries} m JOIN {documents} d ON d.doc_id = m.id - 20000000 OR d.doc_id = m.id - 20000000 + 13) e""",
     "rel": "SELECT a, b FROM (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM {documents}) r WHERE b IS NOT NULL",
     "elevations": "SELECT id, 1 AS from_label, 2 AS to_label FROM {der} WHERE conv_id % 10 = 0",
     "sessions": """
