@@ -54,11 +54,29 @@ def test_three_hops_are_level_synchronous(spark):
     assert got[1] == 0
 
 
+def _walk(links, x):
+    """The last node of a walk that is new to it."""
+    seen = {x}
+    while x in links and links[x] not in seen:
+        x = links[x]
+        seen.add(x)
+    return x
+
+
 def test_heads_chain_and_cycle(spark):
-    links = _edges(spark, [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100)], "id long, next long")
-    got = {r.id: r["head"] for r in graph.heads(links).collect()}
-    assert all(got[k] == 40 for k in range(40))
-    assert set(got) == set(range(40)) | {100, 101}
+    rnd = random.Random(3)
+    links = {k: k + 1 for k in range(40)} | {100: 101, 101: 100, 200: 200, 201: 200, 1: 5, 5: 6, 6: 5, 50: 1} | {300 + k: 300 + rnd.randrange(30) for k in range(30)}
+    got = {r.id: r["head"] for r in graph.heads(_edges(spark, list(links.items()), "id long, next long")).collect()}
+    assert got == {k: _walk(links, k) for k in links} and (got[1], got[5], got[6]) == (6, 6, 5)
+    assert graph.heads(_edges(spark, [], "id long, next long")).count() == 0
+
+
+def test_confidentiality_of_a_cycle_is_its_fixpoint(spark):
+    values = spark.createDataFrame([(1, 2, True), (2, 0, True), (10, 0, False), (11, 1, False), (12, 0, False), (20, 1, False), (21, 0, False)], "id long, value int, fixed boolean")
+    edges = _edges(spark, [(10, 11), (11, 10), (11, 2), (12, 10), (20, 21), (21, 20), (21, 1)])
+    got = {r.id: r.value for r in graph.lattice(values, edges, F.max, unresolved=None).collect()}
+    assert got == {1: 2, 2: 0, 10: 1, 11: 1, 12: 1, 20: 2, 21: 2}
+
 
 
 def test_components_random(spark):
