@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialise
+from ..shared import discard, materialise
 from .skew import hubs, join_by_share
 
 #: Edges of which any number may be one node's: a task's rows.
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     seen, total = None, now.count()
     for _ in range(max_rounds):
         hot = _hot(now, total)
-        now = materialise(_star(_star(now, True, hot), False, hot), "components")
+        before, now = now, materialise(_star(_star(now, True, hot), False, hot), "components")
+        discard(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         total = mark[0]
         if seen == mark:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialise
+from ..shared import discard, materialise
 
 
 def closure(edges: DataFrame, seeds: DataFrame, src: str = "parent", dst: str = "child", include_seed: bool = True) -> DataFrame:
@@ -85,8 +85,8 @@ def neighborhood(nodes: DataFrame, rel: DataFrame, seeds: DataFrame, hops: int =
     best = seeds.join(nodes, "id").select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop"), F.col("label").alias("path_min"))
     for hop in range(1, hops + 1):
         new = best.join(step, best["id"] == step["u"]).select("seed", F.col("v").alias("id"), F.lit(hop).alias("hop"), F.least("path_min", "lv").alias("path_min"))
-        best = best.unionByName(new).groupBy("seed", "id").agg(F.min("hop").alias("hop"), F.max("path_min").alias("path_min"))
-        best = materialise(best, "hops")
+        before, best = best, materialise(best.unionByName(new).groupBy("seed", "id").agg(F.min("hop").alias("hop"), F.max("path_min").alias("path_min")), "hops")
+        discard(before)
     return best.where("seed <> id")
 
 

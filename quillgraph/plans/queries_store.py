@@ -193,7 +193,7 @@ def _(s):
     """The schema first seen is pinned; later ones that differ are reported."""
     seen = s.events.select(F.col("event_type").alias("tool"), F.sha2("props", 256).alias("h"), "ts", "event_id")
     pins = seen.groupBy("tool").agg(F.min_by("h", F.struct("ts", "event_id")).alias("first_h"))
-    return seen.join(F.broadcast(pins), "tool").groupBy("tool").agg(F.count("*").alias("n"), F.sum(F.when(F.col("h") != F.col("first_h"), 1).otherwise(0)).alias("changed"))
+    return seen.join(pins, "tool").groupBy("tool").agg(F.count("*").alias("n"), F.sum(F.when(F.col("h") != F.col("first_h"), 1).otherwise(0)).alias("changed"))
 
 
 shared("recent_log", "SELECT id, query FROM {logq} ORDER BY ts DESC, id DESC LIMIT 20")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import filters, graph, retrieval, similarity, udfs
+from ..operators import contradict, filters, graph, retrieval, similarity, udfs
 from ..operators.components import connected_components
 from ..schema import STOP
 from ..shared import materialise
@@ -226,15 +226,15 @@ def _(s):
 
 @query("colbert_rerank", f"""WITH {HYBRID}, mat AS (SELECT vec_id AS id, [embedding[1:16], embedding[17:32], embedding[33:48], embedding[49:64]] AS m FROM {{embeddings}}),
   sc AS (SELECT t.qid, t.id, t.r, round(list_sum(list_transform(q.m, lambda x: list_max(list_transform(d.m, lambda y: list_dot_product(x::DOUBLE[], y::DOUBLE[]))))), 6) AS ms
-    FROM top t JOIN mat q ON q.id = t.qid LEFT JOIN mat d ON d.id = t.id WHERE t.r <= 20)
+    FROM top t LEFT JOIN mat q ON q.id = t.qid LEFT JOIN mat d ON d.id = t.id AND t.r <= 20 WHERE t.r <= 50)
   SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN ms IS NULL THEN 1 ELSE 0 END, ms DESC, r) AS rank FROM sc""")
 def _(s):
     """Late interaction over the fused window: the best document token of each query token, summed; without tokens the
-    fused order stays, behind."""
+    fused order stays, behind, as it does for the tail beyond the window."""
     mat = s.embeddings.select(F.col("vec_id").alias("mid"), F.array(*(F.slice("embedding", 16 * k + 1, 16) for k in range(4))).alias("m"))
-    window = retrieval.ranked(hybrid(s), 20)
-    both = window.join(mat.select(F.col("mid").alias("qid"), F.col("m").alias("qm")), "qid").join(mat.select(F.col("mid").alias("id"), F.col("m").alias("dm")), "id", "left")
-    scored = both.withColumn("ms", F.when(F.col("dm").isNotNull(), F.round(V.maxsim(F.col("qm"), F.col("dm")), 6)))
+    window = retrieval.ranked(hybrid(s), 50)
+    both = window.join(mat.select(F.col("mid").alias("qid"), F.col("m").alias("qm")), "qid", "left").join(mat.select(F.col("mid").alias("id"), F.col("m").alias("dm")), "id", "left")
+    scored = both.withColumn("ms", F.when((F.col("rank") <= 20) & F.col("dm").isNotNull() & F.col("qm").isNotNull(), F.round(V.maxsim(F.col("qm"), F.col("dm")), 6)))
     order = Window.partitionBy("qid").orderBy(F.col("ms").isNull(), F.desc("ms"), "rank")
     return scored.select("qid", "id", F.row_number().over(order).cast("long").alias("rank"))
 
@@ -263,14 +263,17 @@ def _(s):
 
 
 @query("ir_metrics", f"""WITH {HYBRID}, m AS (SELECT qid, min(CASE WHEN s.source_ref = 'src' || (qid % 20) THEN t.r END) AS first_hit, sum(CASE WHEN s.source_ref = 'src' || (qid % 20) THEN 1 ELSE 0 END) AS hits FROM top t JOIN {{src}} s ON s.id = t.id WHERE t.r <= 8 GROUP BY qid)
-  SELECT count(*) AS n, round(avg(CASE WHEN first_hit = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN first_hit <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit5, round(avg(coalesce(1.0::DOUBLE / first_hit, 0)), 6) AS mrr, sum(hits) AS hits FROM m""")
+  SELECT count(*) AS n, round(avg(CASE WHEN first_hit = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN first_hit <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit5, round(avg(coalesce(1.0::DOUBLE / first_hit, 0)), 6) AS mrr, sum(hits) AS hits,
+    round(avg(hits::DOUBLE / g.n), 6) AS recall8 FROM m JOIN (SELECT source_ref, count(*) AS n FROM {{src}} WHERE {POOL} GROUP BY source_ref) g ON g.source_ref = 'src' || (m.qid % 20)""")
 def _(s):
-    """hit@1, hit@5 and MRR; gold is any document of the query's source."""
+    """hit@1, hit@5, MRR and recall@8; gold is any document of the query's source in the pool."""
     top = retrieval.ranked(hybrid(s), 8).join(s.src.select("id", "source_ref"), "id")
     good = F.col("source_ref") == F.concat(F.lit("src"), (F.col("qid") % 20).cast("string"))
     m = top.groupBy("qid").agg(F.min(F.when(good, F.col("rank"))).alias("first_hit"), F.sum(F.when(good, 1).otherwise(0)).alias("hits"))
+    gold = s.src.where(filters.untainted()).groupBy("source_ref").agg(F.count("*").alias("gold"))
+    m = m.join(gold, F.col("source_ref") == F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")))
     rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    return m.agg(F.count("*").alias("n"), rate(F.col("first_hit") == 1).alias("hit1"), rate(F.col("first_hit") <= 5).alias("hit5"), F.round(F.avg(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))), 6).alias("mrr"), F.sum("hits").alias("hits"))
+    return m.agg(F.count("*").alias("n"), rate(F.col("first_hit") == 1).alias("hit1"), rate(F.col("first_hit") <= 5).alias("hit5"), F.round(F.avg(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))), 6).alias("mrr"), F.sum("hits").alias("hits"), F.round(F.avg(F.col("hits") / F.col("gold")), 6).alias("recall8"))
 
 
 @query("rank_features", f"WITH {HYBRID} SELECT f.qid, f.id, round((score - avg(score) OVER w) / nullif(stddev_pop(score) OVER w, 0), 4) AS z, round(1.0::DOUBLE / rank() OVER (PARTITION BY qid ORDER BY score DESC), 6) AS rr FROM fused f WINDOW w AS (PARTITION BY qid)")
@@ -297,7 +300,7 @@ def _(s):
     q = queries_of(s)
     keys = q.select("qid", F.array_distinct(T.tokens(F.col("text"))).alias("keys"))
     inside = retrieval.bm25(index_of(s), q).join(pool_of(s), "id", "left_semi")
-    top = retrieval.ranked(inside, 8).join(s.src.select("id", "channel", "content"), "id").join(F.broadcast(keys), "qid")
+    top = retrieval.ranked(inside, 8).join(s.src.select("id", "channel", "content"), "id").join(keys, "qid")
     cands = top.withColumn("cands", T.claims_of(F.col("content")))
     hits = F.filter("cands", lambda c: F.exists("keys", lambda k: F.contains(F.lower(c), k)))
     picked = cands.withColumn("picked", F.when(F.size(hits) > 0, hits).otherwise(F.slice("cands", 1, 1))).where(F.size("picked") > 0)
@@ -306,16 +309,19 @@ def _(s):
     return parts.groupBy("qid").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "\n").alias("answer"))
 
 
-@query("citation_check", None)
+_LINES = ORACLES["compose"].split("\n  SELECT qid, count(DISTINCT id)")[0]
+
+
+@query("citation_check", f"""{_LINES}, ln AS (SELECT qid, CASE WHEN id % 11 = 0 THEN id + 500000000 ELSE id END AS id, CASE WHEN id % 7 = 0 THEN 'endorsed' ELSE channel END AS cited, list_distinct({toks("sent")}) AS own FROM pk)
+  SELECT l.qid, l.id, coalesce(n.channel = l.cited AND len(list_intersect(l.own, list_distinct({toks("n.content")}))) / greatest(len(l.own), 1)::DOUBLE >= 0.2, FALSE) AS ok FROM ln l LEFT JOIN {{src}} n ON n.id = l.id""")
 def _(s):
-    """The citation firewall over composed answers: every cited node exists, has the cited channel, and shares at least a
-    fifth of the line's stems."""
+    """The citation firewall over composed answers, some of them forged: every cited node exists, has the cited channel, and
+    shares at least a fifth of the line's stems."""
     lines = QUERIES["compose"](s).select("qid", F.explode(F.split("answer", "\n")).alias("line"))
-    cited = lines.select("qid", "line", F.regexp_extract("line", r"\[mem:(\d+)\|([a-z-]+)\]$", 1).cast("long").alias("id"), F.regexp_extract("line", r"\[mem:(\d+)\|([a-z-]+)\]$", 2).alias("cited"))
-    both = cited.join(s.src.select("id", "channel", "content"), "id", "left")
-    own = T.stems(F.regexp_replace("line", r"\[mem:[^\]]*\]$", ""))
-    share = F.size(F.array_intersect(own, T.stems(F.col("content")))) / F.greatest(F.size(own), F.lit(1))
-    return both.select("qid", "id", F.coalesce((F.col("channel") == F.col("cited")) & (share >= 0.2), F.lit(False)).alias("ok"))
+    pattern = r"\[mem:(\d+)\|([a-z-]+)\]$"
+    cited = lines.select("qid", "line", F.regexp_extract("line", pattern, 1).cast("long").alias("id"), F.regexp_extract("line", pattern, 2).alias("cited"))
+    cited = cited.withColumn("cited", F.when(F.col("id") % 7 == 0, "endorsed").otherwise(F.col("cited"))).withColumn("id", F.when(F.col("id") % 11 == 0, F.col("id") + 500_000_000).otherwise(F.col("id")))
+    return contradict.firewall(cited, s.src.select("id", "channel", "content")).select("qid", "id", "ok")
 
 
 # --- similarity ------------------------------------------------------------------------------------------------------------
@@ -404,13 +410,18 @@ def _(s):
     return parts.select("conv_id", F.array_join(F.transform("p", lambda p: F.concat(F.lit("- "), p["sent"])), "\n").alias("summary"))
 
 
-@query("contradict_pairs", None)
+_DIFF = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(regexp_replace({c}, '`[^`]+`', ' ', 'g')), '[*_#>|()\[\],:;!?]', ' ', 'g'), '\s+'), lambda t: trim(t, '.')), lambda t: t <> '')"
+_NO_CLAIM = ", ".join(f"'{w}'" for w in T.NO_CLAIM)
+
+
+@query("contradict_pairs", rf"""WITH {POOLED}, st AS (SELECT id, {sents('content')} AS ss FROM {{src}}), x AS (SELECT pq.a, pq.b, unnest(sa.ss) AS x, sb.ss FROM pq JOIN st sa ON sa.id = pq.a JOIN st sb ON sb.id = pq.b WHERE pq.jaccard >= 0.5),
+  y AS (SELECT a, b, x, unnest(ss) AS y FROM x), z AS (SELECT a, b, list_distinct({toks('x')}) AS sx, list_distinct({toks('y')}) AS sy, {_DIFF.format(c='x')} AS x, {_DIFF.format(c='y')} AS y FROM y WHERE x <> y),
+  j AS (SELECT a, b, x, y, CASE WHEN len(sx) + len(sy) = 0 THEN 0 ELSE len(list_intersect(sx, sy)) / len(list_distinct(list_concat(sx, sy)))::DOUBLE END AS j FROM z),
+  d AS (SELECT a, b, j, list_filter(list_distinct(list_concat(x, y)), lambda t: len(list_filter(x, lambda u: u = t)) <> len(list_filter(y, lambda u: u = t))) AS d FROM j WHERE j >= 0.5),
+  k AS (SELECT a, b, j, list_sort(list_filter(d, lambda t: t NOT IN ({_NO_CLAIM}) AND regexp_matches(t, '\pL') AND NOT regexp_matches(t, '(?i)^(?:\$?\d[\d,.]*[km%]?|\[\[.*|https?:.*|[~./\\].*|.*[/\\].*|.*\.md)$'))) AS d FROM d)
+  SELECT a AS older, b AS newer, round(j, 6) AS j, array_to_string(d, ' ') AS differ FROM k WHERE len(d) > 0""")
 def _(s):
-    """Anchored sentence pairs of similar nodes with the words that differ (a bag difference); the older one loses. A model's
-    verdict is a pluggable column, so here each pair carries the evidence only."""
+    """Anchored sentence pairs of similar nodes with the claim-bearing words that differ; the older one loses."""
     pairs = similarity.jaccard_pairs(pool_sets(s), 0.5)
-    sent = s.src.select("id", T.sentences(F.col("content")).alias("ss"))
-    both = pairs.join(sent.select(F.col("id").alias("a"), F.col("ss").alias("sa")), "a").join(sent.select(F.col("id").alias("b"), F.col("ss").alias("sb")), "b")
-    lines = both.select("a", "b", F.explode("sa").alias("x"), "sb").select("a", "b", "x", F.explode("sb").alias("y")).where(F.col("x") != F.col("y"))
-    close = lines.withColumn("j", T.jaccard(T.stems(F.col("x")), T.stems(F.col("y")))).where("j >= 0.5")
-    return close.select(F.col("a").alias("older"), F.col("b").alias("newer"), F.round("j", 6).alias("j"), T.content_diff(T.claim_tokens(F.col("x")), T.claim_tokens(F.col("y"))).alias("differ")).where(F.size("differ") > 0)
+    found = contradict.evidence(pairs, s.src.select("id", T.sentences(F.col("content")).alias("ss")), 0.5)
+    return found.select("older", "newer", F.round("score", 6).alias("j"), F.array_join("differ", " ").alias("differ"))

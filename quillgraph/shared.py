@@ -43,7 +43,9 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _session_paths(spark).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +53,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``, once nothing that is still to be computed reads it: a loop's state of the round
+    before."""
+    path = getattr(df, "_written_at", None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all that this session has written to the shared folder. Results not yet computed are lost with it."""
+    for path in _session_paths(spark):
+        _delete(spark, path)
+    _session_paths(spark).clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_paths: dict[str, list[str]] = {}
+
+
+def _session_paths(spark: SparkSession) -> list[str]:
+    return _paths.setdefault(spark.sparkContext.applicationId, [])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -236,3 +236,29 @@ def test_streams_go_on_from_their_cursor_and_drop_late_rows(spark, tmp_path):
     rows = spark.createDataFrame([(1, at(1), 1), (2, at(1, 0, 10), 1), (3, at(1, 0, 45), 1), (4, at(1), 2)], schema)
     got = sorted((r.user_id, r.n) for r in sessions.session_windows(rows, "30 minutes").collect())
     assert got == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_contradiction_sweep_with_an_adjudicator_and_a_cursor(spark):
+    from quillgraph.operators import contradict
+
+    rows = [(1, "The gateway listens on the amber port for all clients."), (2, "The gateway listens on the violet port for all clients."), (3, "Gardens need water in the summer months of the year."), (4, "The gateway listens on the amber port for all the clients.")]
+    nodes = spark.createDataFrame(rows, "id long, content string")
+    every = lambda n: n.select(F.col("id").alias("a")).join(n.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    differs = lambda x, y: F.when(F.contains(x, F.lit("amber")) != F.contains(y, F.lit("amber")), 0.9).otherwise(0.1)
+    found, cursor = contradict.sweep(nodes, every, differs, anchor=0.5)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, "amber violet", 0.9), (2, 4, "amber violet", 0.9)] and cursor == 4
+    again, _ = contradict.sweep(nodes, every, differs, anchor=0.5, cursor=3)
+    assert [(r.older, r.newer) for r in again.collect()] == [(2, 4)]
+    assert contradict.sweep(nodes, every, differs, anchor=0.5, cursor=4)[0].count() == 0
+
+
+def test_what_a_session_wrote_can_be_removed(spark):
+    from quillgraph import shared
+
+    df = shared.materialise(spark.range(5), "removed")
+    path = df._written_at.removeprefix("file://")
+    import os
+
+    assert os.path.isdir(path) and df.count() == 5
+    shared.discard(df)
+    assert not os.path.exists(path)
