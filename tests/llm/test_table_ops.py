@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quillgraph.llm import entry, op3_embeddings, op5_warc, op7_minhash, op10_chat, textvec
+from quillgraph.llm import entry, op3_embeddings, op4_decontaminate, op5_warc, op7_minhash, op8_langid, op10_chat, textvec
 from quillgraph.plans.views import TABLES
 from quillgraph.shared import shared_path
 
@@ -277,3 +277,86 @@ def test_pipeline_decisions_take_effect(spark, sf):
     assert names == ["language_id", "near_dedup", "decontaminate", "remove_pii", "bpe"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
+
+
+def _least_distance(item, words):
+    at = op4_decontaminate.places(np.array(item))
+    return min((op4_decontaminate.edit_distance(at, len(item), words[f : f + len(item)]) for f in range(len(words) - len(item) + 1)), default=len(item))
+
+
+@pytest.fixture(scope="module")
+def odd_corpus(spark, tmp_path_factory):
+    """A directory of documents and benchmark items with all that is odd, and the rows as tuples."""
+    rnd = random.Random(17)
+    vocab = {"en": "the and of to in that with river garden winter paper stone silver market letter window".split(), "de": "der die und von zu das mit fluss garten winter papier stein silber markt brief fenster".split()}
+    prose = lambda lang, n: " ".join(rnd.choice(vocab[lang]) + rnd.choice(["", "", "n", "er", "st", "la"]) for _ in range(n))
+    items = [(k, prose("en", n)) for k, n in enumerate([12, 20, 30])] + [(7, None)]
+    rows = [(k, prose(lang := ("en", "de")[k % 2], rnd.randint(20, 80)), lang if k % 3 else None) for k in range(60)]
+    base = [rows[k][1] for k in range(6)]
+    rows += [(100 + k, t, "en") for k, t in enumerate(base)]  # exact copies of later ids
+    rows += [(110 + k, " ".join(["different", *t.split()[1:]]), "en") for k, t in enumerate(base) if len(t.split()) > 60]  # near copies
+    rows += [(3, rows[3][1], rows[3][2]), (3, rows[3][1], rows[3][2]), (4, prose("de", 40), "de")]  # equal rows; another text under one id
+    rows += [(200, f"{prose('en', 15)} {items[0][1]} {prose('en', 15)}", "en"), (None, f"{prose('en', 9)} {items[1][1].upper()} end", "en"), (201, f"{prose('en', 9)} {items[2][1].replace(items[2][1].split()[4], 'other', 1)} end", "en")]
+    rows += [(None, None, "en"), (None, "", None), (210, None, "de"), (211, "12 34 ½ ...", "de"), (None, prose("en", 30), "en"), (None, prose("de", 25), None)]
+    rows += [(220, f"{prose('en', 20)} mail one@corp.example.org now", "en"), (None, f"{prose('en', 20)} from 10.1.2.3 and +1 555 0100 200", "en"), (221, f"{prose('de', 20)} karte 4111 1111 1111 1111", None), (222, "the river and the garden of winter " * 3000, "en")]
+    path = tmp_path_factory.mktemp("odd")
+    frame = spark.createDataFrame([(i, t, lang, f"src{k % 2}", len(t or ""), "x", "y", 1.5) for k, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, h string, terms string, score double")
+    frame.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
+    return str(path), rows, items
+
+
+def test_pipeline_equals_brute_force(spark, odd_corpus):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import hashlib
+
+    import public_tokenizers
+    from test_text_ops import _plain_spans
+    from tokenizers import Tokenizer
+
+    path, rows, items = odd_corpus
+    model = op8_langid.train(spark.read.parquet(f"{path}/documents.parquet"))
+    pred, score = op8_langid.score(model, [t for _, t, _ in rows])
+    left = [(i, t) for (i, t, _), p, s in zip(rows, pred, score, strict=True) if p != "und" and s >= corpus_pipeline.LEAST_SCORE]
+    assert {t for _, t in left} >= {t for _, t, _ in rows if t and "½" not in t}
+    # one of each class: classes over different (id, text), the least id, then the least hash
+    known = sorted({(i, t) for i, t in left if i is not None})
+    texts = sorted({t for _, t in known})
+    plain = _plain_classes(list(enumerate(texts)))
+    of = {t: plain[k] for k, t in enumerate(texts)}
+    best: dict = {}
+    for i, t in known:
+        rank = (i, hashlib.sha256(t.encode()).digest()[:16])
+        best[of[t]] = min(best.get(of[t], (rank, (i, t))), (rank, (i, t)))
+    left = [(i, t) for i, t in left if i is None] + [pair for _, pair in best.values()]
+    words = lambda t: [w.lower() for w in t.split()]
+    left = [(i, t) for i, t in left if all(x is None or _least_distance(words(x), words(t)) > 0.2 * len(words(x)) for _, x in items)]
+    out = []
+    for i, t in left:
+        pieces, at = [], 0
+        for start, kind, end in _plain_spans(t):
+            if start >= at:
+                pieces += [t[at:start], f"[{('EMAIL', 'IP', 'CARD', 'PHONE')[kind]}]"]
+            at = max(at, end)
+        out.append((i, "".join([*pieces, t[at:]])))
+    assert sum(a != b for a, b in zip(out, left, strict=True)) == 3
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    coded = [(i, tok.encode(t, add_special_tokens=False).ids) for i, t in out]
+    want = sorted((str(i), len(ids), np.array(ids, "<u4").tobytes(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()) for i, ids in coded)
+    got = sorted((str(r.doc_id), r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, path).collect())
+    assert got == want
+
+
+def test_stages_keep_columns_and_odd_rows(spark, odd_corpus):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    path, rows, _ = odd_corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept = {name: stage(spark, docs, path) for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert all(df.columns == docs.columns and dict(df.dtypes) == dict(docs.dtypes) for df in kept.values())
+    assert kept["remove_pii"].count() == len(rows)
+    assert kept["decontaminate"].count() == len(rows) - 3 and kept["decontaminate"].where("doc_id is null and text is null").count() == 1
+    once = kept["near_dedup"]
+    assert once.where("doc_id = 3").count() == 1 and once.where("doc_id = 4").count() == 2 and once.where("doc_id is null").count() == sum(i is None for i, *_ in rows) and once.where("doc_id = 210").count() == 1
+    assert kept["language_id"].where("text is null or text = ''").count() == 0 and kept["language_id"].where("lang is null").count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0
