@@ -9,6 +9,8 @@ size. Scores are rounded before they are ranked, ties go to the smaller id.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
-from ..schema import K1, RRF_C, B
-from ..shared import materialise
+from ..schema import K1, RRF_C, STEM_WIDTH, STOP, B
+from ..shared import bounded_batches, materialise
 
 DIGITS = 6
 
@@ -30,24 +32,50 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-#: Query terms that a plan holds as a list; more are joined. Bytes of query vectors that are broadcast at once.
-TERMS, QUERY_BYTES = 10_000, 32_000_000
+#: Query terms that are broadcast; more are joined. Bytes of query vectors that are broadcast at once.
+TERMS, QUERY_BYTES = 100_000, 32_000_000
+_WORD = re.compile("[a-z0-9]+")
+_POST = "id long, dl int, post array<struct<term:string,tf:long>>"
+
+
+def _count(shared):
+    """mapInArrow over (id, content): _POST rows. The stems are those of ``functions.text.tokens``; counting them in the plan would
+    compare each with all others of its document."""
+    schema = pa.schema([("id", pa.int64()), ("dl", pa.int32()), ("post", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, stop = shared.value, set(STOP)
+        for batch in batches:
+            sizes, terms, counts, ends = [], [], [], [0]
+            for text in batch.column("content"):
+                words = Counter(_WORD.findall((text.as_py() or "").lower()))
+                stems: Counter = Counter()
+                for w, n in words.items():
+                    if w not in stop:
+                        stems[w[:STEM_WIDTH]] += n
+                sizes.append(sum(stems.values()))
+                hits = stems.keys() & wanted
+                terms += hits
+                counts += [stems[t] for t in hits]
+                ends.append(len(terms))
+            post = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), post)], schema=schema)
+
+    return run
 
 
 def build(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(id, dl, post array<struct<term, tf>>) of every document, with its postings of the queries' terms; written once."""
     terms = query_terms(queries).select("term").distinct()
-    few = [r["term"] for r in terms.limit(TERMS + 1).collect()]
-    toks = index.select("id", tokens(F.col("content")).alias("toks"))
+    few = {r["term"] for r in terms.limit(TERMS + 1).collect()}
+    bounded_batches(index.sparkSession)
+    index = index.select(F.col("id").cast("long").alias("id"), "content")
     if len(few) <= TERMS:
-        hits = F.filter("toks", lambda t: t.isin(few)) if few else F.array().cast("array<string>")
-        rows = toks.select("id", F.size("toks").alias("dl"), hits.alias("hits"))
-        post = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).cast("long").alias("tf")))
-        return materialise(rows.select("id", "dl", post.alias("post")), "postings")
-    words = toks.select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).join(terms.withColumn("wanted", F.lit(True)), "term", "left")
-    counts = words.groupBy("id", "dl", F.when(F.col("wanted"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
-    post = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
-    return materialise(counts.groupBy("id", "dl").agg(post.alias("post")), "postings")
+        return materialise(index.mapInArrow(_count(index.sparkSession.sparkContext.broadcast(few)), _POST), "postings")
+    words = index.select("id", F.explode_outer(tokens(F.col("content"))).alias("term")).groupBy("id", "term").agg(F.count("term").alias("tf"))
+    marked = words.join(terms.withColumn("wanted", F.lit(True)), "term", "left")
+    post = F.collect_list(F.when(F.col("wanted"), F.struct("term", "tf")))
+    return materialise(marked.groupBy("id").agg(F.sum("tf").cast("int").alias("dl"), post.alias("post")), "postings")
 
 
 def postings(built: DataFrame) -> DataFrame:
