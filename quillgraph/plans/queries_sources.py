@@ -72,16 +72,19 @@ def _transcript(s: Store, rows, form: str):
     return found.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "role", "channel", F.expr("substring(text, locate(':', text, locate(':', text) + 1) + 1)").alias("text"), F.regexp_extract("ref", r"#L(\d+)$", 1).cast("long").isNotNull().alias("has_ref"))
 
 
-_SAID = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.lit(":"), F.coalesce("text", F.lit("")))
+def _said():
+    return F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.lit(":"), F.coalesce("text", F.lit("")))
+
+
 _TRANSCRIPT = "SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'user' ELSE 'agent-derived' END AS channel, {text} AS text, TRUE AS has_ref FROM {{conversations}} WHERE role IN ('user', 'assistant') AND turn % 5 <> 4"
 
 
 @query("transcript_extract", _TRANSCRIPT.format(text="coalesce(text, '') || CASE WHEN turn % 2 = 1 THEN chr(10) || 'end' ELSE '' END"))
 def _(s):
     """JSON transcript lines of the message form, a string or blocks as content, among damaged lines and other types."""
-    blocks = F.array(F.struct(F.lit("text").alias("type"), _SAID.alias("text")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("end").alias("text")))
+    blocks = F.array(F.struct(F.lit("text").alias("type"), _said().alias("text")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("end").alias("text")))
     odd = F.to_json(F.struct(F.col("role").alias("type"), F.struct(blocks.alias("content")).alias("message")))
-    even = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("role"), _SAID.alias("content")).alias("message")))
+    even = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("role"), _said().alias("content")).alias("message")))
     line = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("{broken "), F.col("role"))).when(F.col("turn") % 2 == 1, odd).otherwise(even)
     return _transcript(s, s.conversations.select(line.alias("value")), "message")
 
@@ -89,8 +92,8 @@ def _(s):
 @query("transcript_payload", _TRANSCRIPT.format(text="coalesce(text, '')"))
 def _(s):
     """The payload form: messages only, their event mirrors are dropped at the gate."""
-    message = F.struct(F.when(F.col("turn") % 5 == 4, "function_call").otherwise("message").alias("type"), F.col("role"), F.array(F.struct(F.lit("input_text").alias("type"), _SAID.alias("text"))).alias("content"))
-    mirror = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("user_message").alias("type"), _SAID.alias("message")).alias("payload")))
+    message = F.struct(F.when(F.col("turn") % 5 == 4, "function_call").otherwise("message").alias("type"), F.col("role"), F.array(F.struct(F.lit("input_text").alias("type"), _said().alias("text"))).alias("content"))
+    mirror = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("user_message").alias("type"), _said().alias("message")).alias("payload")))
     both = F.array(F.to_json(F.struct(F.lit("response_item").alias("type"), message.alias("payload"))), mirror)
     return _transcript(s, s.conversations.select(F.explode(both).alias("value")), "payload")
 

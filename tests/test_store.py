@@ -262,3 +262,12 @@ def test_what_a_session_wrote_can_be_removed(spark):
     assert os.path.isdir(path) and df.count() == 5
     shared.discard(df)
     assert not os.path.exists(path)
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 150"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
