@@ -6,7 +6,7 @@ import importlib
 
 from .views import Store, oracle
 
-MODULES = ("queries_graph", "queries_text", "queries_store", "queries_sources")
+MODULES = ("queries_graph", "queries_text", "queries_store", "queries_sources", "queries_support")
 
 
 def _modules():
