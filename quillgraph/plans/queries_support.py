@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import filters, retrieval, support
+from ..operators import federation, filters, retrieval, support
 from . import queries_text as X
 from .queries_graph import POOL, STATE
 from .views import Store
@@ -200,3 +200,60 @@ def _(s):
 def _(s):
     """What has been raised above its derived label, with the node's present state."""
     return s.elevations.join(s.nodes.select("id", "channel", "tombstoned"), "id").select("id", "from_label", "to_label", "channel", "tombstoned")
+
+
+# --- changesets ----------------------------------------------------------------------------------------------------------
+
+
+_U = "concat('n', CAST({c} AS STRING))"
+_LOCAL = f"SELECT {_U.format(c='id')} AS uuid, content, channel, label, conf_label, status, tombstoned, redacted, CASE id % 3 WHEN 0 THEN 'peer' WHEN 1 THEN 'home' END AS origin FROM {{nodes}} WHERE id % 5 <> 0"
+_SENT = f"""SELECT {_U.format(c='id')} AS uuid, concat(content, ' (theirs)') AS content, CASE WHEN id % 16 = 0 THEN 'odd' ELSE channel END AS channel, CASE id % 6 WHEN 0 THEN '7' WHEN 2 THEN 'x' ELSE CAST(label AS STRING) END AS label,
+  CASE WHEN id % 10 = 0 THEN '-4' WHEN id % 10 = 2 THEN NULL ELSE CAST(conf_label AS STRING) END AS conf_label, CASE WHEN id % 14 = 4 THEN 'quarantined' WHEN id % 22 = 0 THEN 'odd' ELSE status END AS status,
+  CASE WHEN id % 7 = 2 THEN 1 ELSE 0 END AS tombstoned, CASE WHEN id % 26 = 6 THEN 1 ELSE 0 END AS redacted, 'peer' AS origin FROM {{nodes}} WHERE id % 2 = 0 OR id % 5 = 0"""
+_LOCAL_EDGES = f"SELECT {_U.format(c='child')} AS child, {_U.format(c='parent')} AS parent FROM {{edges}} WHERE child % 5 <> 0 AND parent % 5 <> 0 AND (child + parent) % 4 <> 0"
+_SENT_EDGES = f"SELECT {_U.format(c='child')} AS child, {_U.format(c='parent')} AS parent FROM {{edges}} WHERE (child + parent) % 3 <> 1"
+_RECORDS = {True: f"SELECT {_U.format(c='id')} AS uuid FROM {{nodes}} WHERE id % 28 = 3 OR id % 46 = 8", False: f"SELECT {_U.format(c='id')} AS uuid FROM {{nodes}} WHERE id % 28 = 3"}
+
+
+def _import_sql(trusted: bool) -> str:
+    t, least = ("TRUE", 0) if trusted else ("FALSE", 1)
+    return f"""WITH RECURSIVE lo AS ({_LOCAL}), sn AS ({_SENT}), rc AS ({_RECORDS[trusted]}), le AS ({_LOCAL_EDGES}), se AS ({_SENT_EDGES}),
+  b AS (SELECT coalesce(l.uuid, i.uuid) AS uuid, l.uuid IS NULL AS fresh, i.uuid IS NOT NULL AS came, coalesce(l.origin, '') = 'peer' AS owned, coalesce(l.uuid, i.uuid) IN (FROM rc) AS rec,
+    CASE WHEN {t} AND i.channel IN ('endorsed', 'user', 'agent-derived', 'external') THEN i.channel ELSE 'external' END AS ch, l.content AS lc, l.channel AS lch, l.label AS ll, l.conf_label AS lf, l.status AS ls, l.tombstoned AS lt, l.redacted AS lr, l.origin AS lorig,
+    i.content AS ic, i.label AS il, i.conf_label AS icf, i.status AS ist, i.tombstoned AS it, i.redacted AS ir FROM lo l FULL OUTER JOIN sn i ON i.uuid = l.uuid),
+  m AS (SELECT uuid, fresh, CASE WHEN fresh THEN ch ELSE lch END AS channel, CASE WHEN NOT fresh THEN ll WHEN ch = 'agent-derived' THEN least(3, greatest(0, coalesce(try_cast(il AS INTEGER), 0))) ELSE CASE ch WHEN 'endorsed' THEN 3 WHEN 'user' THEN 2 ELSE 0 END END AS label,
+    CASE WHEN fresh THEN least(3, greatest({least}, coalesce(try_cast(icf AS INTEGER), {least}))) ELSE lf END AS conf_label, CASE WHEN fresh THEN CASE WHEN ist = 'quarantined' THEN ist ELSE 'live' END WHEN came AND owned AND ist = 'quarantined' THEN 'quarantined' ELSE ls END AS status,
+    CASE WHEN fresh THEN it WHEN came AND owned THEN greatest(lt, it) ELSE lt END AS tombstoned, CASE WHEN fresh THEN greatest(ir, rec::INTEGER) WHEN came AND rec THEN 1 WHEN came AND owned THEN greatest(lr, ir) ELSE lr END AS redacted,
+    CASE WHEN fresh THEN 'peer' ELSE lorig END AS origin, CASE WHEN fresh THEN ic ELSE lc END AS content, NOT fresh AND came AND owned AND it = 1 AND lt = 0 AS ends,
+    CASE WHEN fresh THEN ir = 1 OR rec ELSE came AND lr = 0 AND (rec OR owned AND ir = 1) END AS scrubs, NOT fresh AND came AND owned AND ist = 'quarantined' AND ls = 'live' AS holds,
+    CASE WHEN fresh OR NOT came THEN 0 ELSE (it = 0 AND lt = 1)::INTEGER + (ir = 0 AND lr = 1)::INTEGER + (ist = 'live' AND ls = 'quarantined')::INTEGER END AS blocked FROM b),
+  ad AS (SELECT DISTINCT e.child, e.parent FROM se e JOIN m c ON c.uuid = e.child JOIN m p ON p.uuid = e.parent WHERE (c.fresh AND p.fresh OR {t} AND c.origin = 'peer') AND (e.child, e.parent) NOT IN (SELECT (child, parent) FROM le)),
+  w AS (FROM le UNION ALL FROM ad), de AS (SELECT uuid FROM m WHERE ends UNION SELECT w.child FROM de JOIN w ON w.parent = de.uuid), sc AS (SELECT uuid FROM m WHERE scrubs UNION SELECT w.child FROM sc JOIN w ON w.parent = sc.uuid),
+  a AS (SELECT m.* REPLACE (CASE WHEN uuid IN (FROM de) THEN 1 ELSE tombstoned END AS tombstoned, CASE WHEN uuid IN (FROM sc) THEN 1 ELSE redacted END AS redacted, CASE WHEN scrubs OR uuid IN (FROM sc) THEN '' ELSE content END AS content) FROM m),
+  lv AS (SELECT w.* FROM w JOIN a ON a.uuid = w.parent WHERE a.tombstoned = 0 AND w.child IN (SELECT uuid FROM a WHERE channel = 'agent-derived')),
+  up AS (SELECT uuid AS seed, uuid AS id FROM a UNION SELECT u.seed, v.parent FROM up u JOIN lv v ON v.child = u.id),
+  ef AS (SELECT u.seed, min(a.label) AS label, max(a.conf_label) AS conf FROM up u JOIN a ON a.uuid = u.id WHERE u.id NOT IN (SELECT child FROM lv) GROUP BY u.seed)"""
+
+
+def _imported(s: Store, trusted: bool):
+    return federation.import_changeset(s.sql(_LOCAL), s.sql(_LOCAL_EDGES), s.sql(_SENT), s.sql(_SENT_EDGES), "peer", trusted, s.sql(_RECORDS[trusted]))
+
+
+_AFTER = "SELECT a.uuid, a.channel, CASE WHEN a.tombstoned = 0 THEN ef.label ELSE a.label END AS label, CASE WHEN a.tombstoned = 0 THEN ef.conf ELSE a.conf_label END AS conf_label, a.status, a.tombstoned, a.redacted, a.origin, a.fresh, sha256(a.content) AS digest FROM a JOIN ef ON ef.seed = a.uuid"
+
+
+@query("import_changeset", f"{_import_sql(True)} {_AFTER}")
+def _(s):
+    """The store after the changeset of a trusted origin: what is new, what was ended, and what that means for all derived nodes."""
+    return _imported(s, True)["nodes"].withColumn("digest", F.sha2("content", 256)).drop("content")
+
+
+@query("import_untrusted", f"{_import_sql(False)} {_AFTER}")
+def _(s):
+    """The same changeset without trust: new nodes are external, and no derivation of a known node is taken."""
+    return _imported(s, False)["nodes"].withColumn("digest", F.sha2("content", 256)).drop("content")
+
+
+@query("import_stats", f"{_import_sql(True)} SELECT count(*) FILTER (WHERE fresh) AS nodes_new, count(*) FILTER (WHERE ends OR scrubs AND NOT fresh OR holds) AS nodes_updated, sum(blocked)::BIGINT AS resurrections_blocked, (SELECT count(*) FROM ad) AS edges_new FROM m")
+def _(s):
+    return _imported(s, True)["stats"]
