@@ -344,12 +344,6 @@ def _(s):
     return parts.select("source_ref", F.array_join(F.transform("p", lambda p: p["t"]), "\n").alias("body"))
 
 
-shared("audit_findings", """SELECT kind, severity, count(*) AS n FROM (
-  SELECT 'orphan' AS kind, 'info' AS severity FROM {src} s LEFT JOIN {edges} e ON e.parent = s.id WHERE e.parent IS NULL
-  UNION ALL SELECT 'dead link', 'error' FROM {rel} r JOIN {src} s ON s.id = r.b WHERE s.tombstoned = 1
-  UNION ALL SELECT 'quarantined in use', 'warning' FROM (SELECT DISTINCT s.id FROM {src} s JOIN {edges} e ON e.parent = s.id WHERE s.status = 'quarantined') q) a GROUP BY kind, severity""")
-
-
 @query("stride_sample", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source_ref ORDER BY id) AS i FROM {src}) x WHERE floor(i * 0.3) > floor((i - 1) * 0.3)")
 def _(s):
     """A deterministic share of each source at even strides."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import federation, filters, retrieval, support
+from ..operators import audit, federation, filters, retrieval, support
 from . import queries_text as X
 from .queries_graph import POOL, STATE
 from .views import Store
@@ -202,6 +202,33 @@ def _(s):
     return s.elevations.join(s.nodes.select("id", "channel", "tombstoned"), "id").select("id", "from_label", "to_label", "channel", "tombstoned")
 
 
+# --- audit ---------------------------------------------------------------------------------------------------------------
+
+
+_MEMORY_FILES = """SELECT concat(stem, '.md') AS file, stem, CASE WHEN id % 9 > 0 THEN concat('Title-', CAST(id AS STRING)) END AS name, CASE id % 8 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'text' END AS description,
+  CASE id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'odd' WHEN 2 THEN 'fact' ELSE 'project' END AS type, CASE WHEN id % 12 = 0 THEN ' None' END AS section, CASE id % 15 WHEN 4 THEN 'No' WHEN 5 THEN 'true' END AS in_index,
+  CASE id % 11 WHEN 1 THEN 'unsectioned' WHEN 2 THEN 'needs_cluster' WHEN 3 THEN 'budget' WHEN 4 THEN 'cold' END AS reason,
+  concat(substr(content, 1, 40), ' [[', CASE id % 5 WHEN 0 THEN concat('TITLE_', CAST(id + 1 AS STRING)) WHEN 1 THEN concat('note-', CAST(id + 3 AS STRING)) WHEN 2 THEN concat('Gone-', CAST(id % 6 AS STRING)) WHEN 3 THEN 'no link|x' ELSE 'gone-1]] [[gone-1' END, ']]') AS content
+  FROM (SELECT id, content, concat('note_', CAST(id AS STRING)) AS stem FROM {src}) f"""
+_LINKED = "SELECT concat('note_', CAST(id AS STRING), '.md') AS file FROM {src} WHERE id % 3 = 0 UNION ALL SELECT concat('lost_', CAST(id AS STRING), '.md') FROM {src} WHERE id % 50 = 0"
+_TIERS = "SELECT concat('note_', CAST(id AS STRING)) AS stem, CASE WHEN id % 4 = 0 THEN 'cold' ELSE 'hot' END AS tier FROM {src} WHERE id % 7 > 1"
+
+
+@query("audit_findings", rf"""WITH f AS ({_MEMORY_FILES}), l AS (SELECT DISTINCT file FROM ({_LINKED}) x), t AS ({_TIERS}),
+  o AS (SELECT f.*, CASE WHEN f.reason = 'unsectioned' OR lower(trim(coalesce(section, ''))) = 'none' OR lower(trim(coalesce(in_index, ''))) IN ('false', 'no', '0') THEN 'withdrawn' WHEN f.reason = 'needs_cluster' THEN 'needs-cluster'
+    WHEN f.reason IN ('budget', 'lines', 'projects', 'section_budget') THEN NULL WHEN t.stem IS NULL THEN 'pending-import' ELSE 'orphan-file' END AS kind FROM f LEFT JOIN t ON t.stem = f.stem WHERE f.file NOT IN (FROM l) AND coalesce(t.tier, 'hot') <> 'cold'),
+  w AS (SELECT DISTINCT file, unnest(regexp_extract_all(content, '(?i)\[\[([a-z0-9][a-z0-9_-]*)\]\]', 1)) AS target FROM f), k AS (SELECT lower(replace(stem, '_', '-')) AS k FROM f UNION SELECT lower(replace(name, '_', '-')) FROM f WHERE name IS NOT NULL)
+  SELECT kind AS name, CASE kind WHEN 'orphan-file' THEN 'ERROR' ELSE 'INFO' END AS severity, file AS target, NULL::VARCHAR AS detail FROM o WHERE kind IS NOT NULL
+  UNION ALL SELECT 'dead-index-link', 'ERROR', file, NULL FROM l WHERE file NOT IN (SELECT file FROM f)
+  UNION ALL SELECT 'frontmatter-missing', 'ERROR', file, concat_ws(', ', CASE WHEN coalesce(name, '') = '' THEN 'name' END, CASE WHEN coalesce(description, '') = '' THEN 'description' END, CASE WHEN coalesce(type, '') = '' THEN 'type' END) FROM f WHERE coalesce(name, '') = '' OR coalesce(description, '') = '' OR coalesce(type, '') = ''
+  UNION ALL SELECT 'bad-type', 'WARN', file, type FROM f WHERE type = 'odd'
+  UNION ALL SELECT 'broken-wikilink', 'INFO', target, count(*)::VARCHAR FROM w WHERE lower(replace(target, '_', '-')) NOT IN (FROM k) GROUP BY target
+  UNION ALL SELECT 'budget-breach', 'WARN', 'index', '500'""")
+def _(s):
+    """Where memory files, their index and the store disagree."""
+    return audit.audit(s.sql(_MEMORY_FILES), s.sql(_LINKED), s.sql(_TIERS), 2500, 2000)
+
+
 # --- changesets ----------------------------------------------------------------------------------------------------------
 
 
