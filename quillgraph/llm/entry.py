@@ -16,6 +16,7 @@ _OPERATORS = {
     "op8_langid": "op8_langid",
     "op9_license_scan": "op9_licenses",
     "op10_chat_format": "op10_chat",
+    "op11_sentencepiece": "op11_pieces",
 }
 _SQL = {"op9_license_scan": ("op9_licenses", "OP9_SQL"), "op3_embedding_dedup": ("op3_embeddings", "OP3_SQL"), "op5_warc": ("op5_warc", "OP5_SQL"), "op10_chat_format": ("op10_chat", "OP10_SQL")}
 
