@@ -17,8 +17,9 @@ _OPERATORS = {
     "op9_license_scan": "op9_licenses",
     "op10_chat_format": "op10_chat",
     "op11_sentencepiece": "op11_pieces",
+    "op12_centroids": "op12_clusters",
 }
-_SQL = {"op9_license_scan": ("op9_licenses", "OP9_SQL"), "op3_embedding_dedup": ("op3_embeddings", "OP3_SQL"), "op5_warc": ("op5_warc", "OP5_SQL"), "op10_chat_format": ("op10_chat", "OP10_SQL")}
+_SQL = {"op9_license_scan": ("op9_licenses", "OP9_SQL"), "op3_embedding_dedup": ("op3_embeddings", "OP3_SQL"), "op5_warc": ("op5_warc", "OP5_SQL"), "op10_chat_format": ("op10_chat", "OP10_SQL"), "op12_centroids": ("op12_clusters", "OP12_SQL")}
 
 
 def _module(name: str):
