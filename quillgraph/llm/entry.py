@@ -18,8 +18,9 @@ _OPERATORS = {
     "op10_chat_format": "op10_chat",
     "op11_sentencepiece": "op11_pieces",
     "op12_centroids": "op12_clusters",
+    "op13_sale_versions": "op13_valid_time",
 }
-_SQL = {"op9_license_scan": ("op9_licenses", "OP9_SQL"), "op3_embedding_dedup": ("op3_embeddings", "OP3_SQL"), "op5_warc": ("op5_warc", "OP5_SQL"), "op10_chat_format": ("op10_chat", "OP10_SQL"), "op12_centroids": ("op12_clusters", "OP12_SQL")}
+_SQL = {"op9_license_scan": ("op9_licenses", "OP9_SQL"), "op3_embedding_dedup": ("op3_embeddings", "OP3_SQL"), "op5_warc": ("op5_warc", "OP5_SQL"), "op10_chat_format": ("op10_chat", "OP10_SQL"), "op12_centroids": ("op12_clusters", "OP12_SQL"), "op13_sale_versions": ("op13_valid_time", "OP13_SQL")}
 
 
 def _module(name: str):
