@@ -182,7 +182,8 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for x in filters:
             if isinstance(x, EqualTo | In) and len(x.attribute) == 1 and x.attribute[0] in self.PUSHED:
-                self.wanted.append((x.attribute[0], {x.value} if isinstance(x, EqualTo) else set(x.value)))
+                # equality with null is never true: a null in the list matches no row, least of all one without the value
+                self.wanted.append((x.attribute[0], {v for v in ([x.value] if isinstance(x, EqualTo) else x.value) if v is not None}))
             else:
                 yield x
 
@@ -202,7 +203,7 @@ class WarcReader(DataSourceReader):
                     head = m.headers()
                     number = lambda k, head=head: int(head[k]) if k in head else None
                     row = {"page_id": number("X-Page-Id"), "record_type": head["WARC-Type"], "url": head.get("WARC-Target-URI"), "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha256:"), "payload_bytes": number("X-Payload-Length"), "refers_to": number("X-Refers-To-Page")}
-                    if all(row[k] in values for k, values in self.wanted):
+                    if all(row[k] is not None and row[k] in values for k, values in self.wanted):
                         if "payload" in self.fields:
                             row["payload"] = m.payload(int(head["Content-Length"])) if row["record_type"] == "response" else None
                             if row["payload"] is not None and hashlib.sha256(row["payload"]).hexdigest() != row["payload_digest"]:

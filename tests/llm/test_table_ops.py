@@ -80,6 +80,18 @@ def test_warc_round_trip_pushdown_and_skipping(spark):
     assert "record_type" in slim._jdf.queryExecution().toString()
 
 
+def test_warc_pushed_lists_with_null_are_those_of_memory(spark):
+    pages = [(1, "u1", "p" * 100), (2, None, "p" * 100), (3, "u3", "short"), (4, "u1", "q" * 200), (None, "u5", "q" * 200)]
+    path = shared_path(spark, "warc")
+    op5_warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    whole = spark.createDataFrame(op5_warc.read_warc(spark, path).collect(), op5_warc.SCHEMA)
+    digest = whole.first().payload_digest
+    tests = ["url IN ('u1', NULL)", "url IN (NULL)", "url = NULL", "url <=> NULL", "refers_to IN (1, NULL)", "refers_to IN (1, 4)", "refers_to IS NULL", "page_id IN (1, NULL)", "page_id = 3", "payload_bytes IN (100, NULL)", f"payload_digest IN ('{digest}', NULL)", "record_type IN ('revisit', NULL)", "NOT url IN ('u1', NULL)", "NOT url IN ('u1')"]
+    for test in tests:
+        pushed, memory = (sorted(map(str, df.where(test).select("page_id", "url", "refers_to").collect())) for df in (op5_warc.read_warc(spark, path), whole))
+        assert pushed == memory, test
+
+
 def test_warc_members_can_be_stepped_over():
     import io
 
