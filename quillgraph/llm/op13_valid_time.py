@@ -244,6 +244,8 @@ def _hot_clients(sales: DataFrame, slots: int) -> list[tuple[int, int, int]]:
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # each start loads its state anew, so nothing has to stay open on the executors' disks after a commit
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
