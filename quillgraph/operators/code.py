@@ -80,8 +80,8 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("repo", "path").agg(F.count("*").alias("chunks"), F.sum(F.col("end_line") - F.col("start_line") + 1).cast("long").alias("lines"))
 
 
-def code_retrieve(index: DataFrame, queries: DataFrame, k: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, prefilter: int = 400) -> DataFrame:
-    """(qid, id, score, rank) over chunks index(id, content): BM25, and with vectors the fusion with the cosine of the ``prefilter``
+def code_retrieve(index: DataFrame | retrieval.Built, queries: DataFrame, k: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, prefilter: int = 400) -> DataFrame:
+    """(qid, id, score, rank) over chunks index(id, content), or what a text index of them gives: BM25, and with vectors the fusion with the cosine of the ``prefilter``
     best BM25 candidates of any query, so the dense stage does not grow with the index."""
     lexical = retrieval.ranked(retrieval.bm25(index, queries), prefilter)
     if vectors is None:

@@ -1,17 +1,16 @@
 """Ranked retrieval over (id, content): BM25, dense, sparse and late interaction, fused by reciprocal ranks.
 
-All operators take a table of queries, so one plan serves any number of them. ``build`` reads and tokenises the index once and
-writes one row for each document, its length and its postings of query terms; statistics, document frequencies and scores are
-made from that. Dense scores are matrix products of blocks of vectors with the queries, which are broadcast in chunks of a checked
+All operators take a table of queries, so one plan serves any number of them, and an index: a table of texts, which ``build`` reads
+and tokenises once for these queries, or what a ``textindex.TextIndex`` that stays gives for them. Statistics, document frequencies
+and scores are made from that. Dense scores are matrix products of blocks of vectors with the queries, which are broadcast in chunks of a checked
 size. Scores are rounded before they are ranked, ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,83 +33,99 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 #: Query terms that are broadcast; more are joined. Bytes of query vectors that are broadcast at once.
 TERMS, QUERY_BYTES = 100_000, 32_000_000
-_WORD = re.compile("[a-z0-9]+")
-_POST = "id long, dl int, post array<struct<term:string,tf:long>>"
+_COUNTS = "id long, dl int, term string, tf long, h long, g long"
+
+
+@dataclass
+class Built:
+    """An index as queries see it: postings(id, dl, term, tf) of their terms at least, and one row stats(n, avgdl) of all rows."""
+
+    postings: DataFrame
+    stats: DataFrame
 
 
 def _count(shared):
-    """mapInArrow over (id, content): _POST rows. The stems are those of ``functions.text.tokens``; counting them in the plan would
-    compare each with all others of its document."""
-    schema = pa.schema([("id", pa.int64()), ("dl", pa.int32()), ("post", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))])
+    """mapInArrow over (id, content in lower case, h, g): one row (term null) for each row, and one for each of its terms, or of those that are
+    wanted. The stems are those of ``functions.text.tokens``, cut, filtered and counted for a whole batch at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, stop = shared.value, set(STOP)
+        stop = pa.array(sorted(STOP), pa.string())
+        wanted = None if shared is None else pa.array(sorted(shared.value), pa.string())
         for batch in batches:
-            sizes, terms, counts, ends = [], [], [], [0]
-            for text in batch.column("content"):
-                words = Counter(_WORD.findall((text.as_py() or "").lower()))
-                stems: Counter = Counter()
-                for w, n in words.items():
-                    if w not in stop:
-                        stems[w[:STEM_WIDTH]] += n
-                sizes.append(sum(stems.values()))
-                hits = stems.keys() & wanted
-                terms += hits
-                counts += [stems[t] for t in hits]
-                ends.append(len(terms))
-            post = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["term", "tf"])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), post)], schema=schema)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                words = pc.split_pattern_regex(pc.fill_null(part.column("content"), ""), "[^a-z0-9]+")
+                row, word = pc.list_parent_indices(words), pc.list_flatten(words)
+                good = pc.and_(pc.greater(pc.binary_length(word), 0), pc.invert(pc.is_in(word, value_set=stop)))
+                row, stem = row.filter(good), pc.utf8_slice_codeunits(word.filter(good), 0, STEM_WIDTH)
+                dl = np.bincount(row.to_numpy(), minlength=part.num_rows).astype(np.int32)
+                ids, h, g = part.column("id"), part.column("h"), part.column("g")
+                none = pa.nulls(part.num_rows, pa.string()), pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(dl), *none, h, g], _NAMES)
+                if wanted is not None:
+                    keep = pc.is_in(stem, value_set=wanted)
+                    row, stem = row.filter(keep), stem.filter(keep)
+                counts = pa.table({"row": row, "term": stem}).group_by(["row", "term"]).aggregate([([], "count_all")]).combine_chunks()
+                if counts.num_rows:
+                    own = counts.column("row").combine_chunks()
+                    none = [pa.nulls(counts.num_rows, pa.int64())] * 2
+                    yield pa.RecordBatch.from_arrays([ids.take(own), pa.array(dl[own.to_numpy()]), counts.column("term").combine_chunks(), counts.column("count_all").combine_chunks(), *none], _NAMES)
 
     return run
 
 
-def build(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(id, dl, post array<struct<term, tf>>) of every document, with its postings of the queries' terms; written once."""
-    terms = query_terms(queries).select("term").distinct()
-    few = {r["term"] for r in terms.limit(TERMS + 1).collect()}
-    bounded_batches(index.sparkSession)
-    index = index.select(F.col("id").cast("long").alias("id"), "content")
-    if len(few) <= TERMS:
-        return materialise(index.mapInArrow(_count(index.sparkSession.sparkContext.broadcast(few)), _POST), "postings")
-    words = index.select("id", F.explode_outer(tokens(F.col("content"))).alias("term")).groupBy("id", "term").agg(F.count("term").alias("tf"))
-    marked = words.join(terms.withColumn("wanted", F.lit(True)), "term", "left")
-    post = F.collect_list(F.when(F.col("wanted"), F.struct("term", "tf")))
-    return materialise(marked.groupBy("id").agg(F.sum("tf").cast("int").alias("dl"), post.alias("post")), "postings")
+_NAMES = [c.split()[0] for c in _COUNTS.split(", ")]
 
 
-def postings(built: DataFrame) -> DataFrame:
-    """(id, dl, term, tf) of a built index."""
-    return built.select("id", "dl", F.explode("post").alias("p")).select("id", "dl", "p.term", "p.tf")
+def word_counts(index: DataFrame, wanted=None) -> DataFrame:
+    """_COUNTS of index(id, content): for each row one without a term, with its length and digests of its text, and one for each
+    term, of ``wanted`` (a broadcast set) if given."""
+    rows = index.select(F.col("id").cast("long").alias("id"), F.lower("content").alias("content"), F.xxhash64("content").alias("h"), F.xxhash64(F.lit("g"), "content").alias("g"))
+    return rows.mapInArrow(_count(wanted), _COUNTS)
 
 
-def corpus_stats(built: DataFrame) -> DataFrame:
-    """One row (n, avgdl)."""
-    return built.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def build(index: DataFrame, queries: DataFrame) -> Built:
+    """Index of index(id, content) for these queries, made for this one use; each row is a document, whatever its id. With many
+    query terms all postings are written, and those of the terms are found by a join."""
+    spark = index.sparkSession
+    terms = query_terms(queries).select("term").distinct()
+    few = {r["term"] for r in terms.limit(TERMS + 1).collect()}
+    bounded_batches(spark)
+    small = len(few) <= TERMS
+    counts = materialise(word_counts(index.select("id", "content"), spark.sparkContext.broadcast(few) if small else None).select("id", "dl", "term", "tf"), "postings")
+    posts = counts.where("term is not null")
+    stats = counts.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return Built(posts if small else posts.join(terms, "term", "left_semi").select("id", "dl", "term", "tf"), stats)
 
 
-def weights(built: DataFrame, queries: DataFrame) -> DataFrame:
+def weights(built: Built, queries: DataFrame) -> DataFrame:
     """(qid, term, n, avgdl, idf); terms that no document has keep their row."""
-    df = postings(built).groupBy("term").agg(F.count("*").alias("df"))
-    all_terms = query_terms(queries).join(df, "term", "left").crossJoin(F.broadcast(corpus_stats(built)))  # one row of statistics
+    df = built.postings.groupBy("term").agg(F.count("*").alias("df"))
+    all_terms = query_terms(queries).join(df, "term", "left").crossJoin(F.broadcast(built.stats))  # one row of statistics
     df = F.coalesce("df", F.lit(0))
     return all_terms.select("qid", "term", "n", "avgdl", F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1.0).alias("idf"))
 
 
-def bm25_parts(built: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_parts(built: Built, queries: DataFrame) -> DataFrame:
     """(qid, id, term, part): what each query term adds to a document's score."""
     part = F.col("idf") * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings(built).join(weights(built, queries), "term").select("qid", "id", "term", part.alias("part"))
+    return built.postings.join(weights(built, queries), "term").select("qid", "id", "term", part.alias("part"))
+
+
+def _built(index, queries: DataFrame) -> Built:
+    """The index as it is given: ``Built``, or a table (id, content), for which one is built."""
+    return index if isinstance(index, Built) else build(index, queries)
 
 
-def bm25(index: DataFrame, queries: DataFrame, built: DataFrame | None = None) -> DataFrame:
+def bm25(index: DataFrame | Built, queries: DataFrame) -> DataFrame:
     """(qid, id, score) of all documents with a query term."""
-    built = build(index, queries) if built is None else built
+    built = _built(index, queries)
     return bm25_parts(built, queries).groupBy("qid", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
 
-def coverage(index: DataFrame, queries: DataFrame) -> DataFrame:
+def coverage(index: DataFrame | Built, queries: DataFrame) -> DataFrame:
     """(qid, id, coverage): the BM25 score over the best that any document could reach; unknown terms count in the ceiling."""
-    built = build(index, queries)
+    built = _built(index, queries)
     top = weights(built, queries).groupBy("qid").agg(F.sum(F.col("idf") * (K1 + 1.0)).alias("top"))
     raw = bm25_parts(built, queries).groupBy("qid", "id").agg(F.sum("part").alias("raw"))
     return raw.join(top, "qid").select("qid", "id", F.round(F.least(F.lit(1.0), F.col("raw") / F.col("top")), DIGITS).alias("coverage"))
@@ -170,11 +185,11 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataF
     return out
 
 
-def sparse(index: DataFrame, queries: DataFrame, built: DataFrame | None = None) -> DataFrame:
+def sparse(index: DataFrame | Built, queries: DataFrame) -> DataFrame:
     """(qid, id, score): dot product of term frequencies over shared terms."""
-    built = build(index, queries) if built is None else built
+    built = _built(index, queries)
     q = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("w"))
-    return postings(built).join(q, "term").groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("w")).cast("double").alias("score"))
+    return built.postings.join(q, "term").groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("w")).cast("double").alias("score"))
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -193,9 +208,9 @@ def rrf(*lists: DataFrame, weights: tuple[float, ...] | None = None) -> DataFram
     return parts.groupBy("qid", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
 
-def retrieve(index: DataFrame, pool: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, depth: int = 50) -> DataFrame:
+def retrieve(index: DataFrame | Built, pool: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, depth: int = 50) -> DataFrame:
     """Hybrid scores. Statistics are the index's, ranks are taken inside the pool, so excluded nodes eat no slots."""
-    built, pool = build(index, queries), materialise(pool.select("id").distinct(), "pool")
+    built, pool = _built(index, queries), materialise(pool.select("id").distinct(), "pool")
     inside = lambda scores: ranked(scores.join(pool, "id", "left_semi"), depth)
     near = dense(vectors.join(pool, "id", "left_semi"), query_vectors, depth)
-    return rrf(inside(bm25(index, queries, built)), ranked(near, depth), inside(sparse(index, queries, built)))
+    return rrf(inside(bm25(built, queries)), ranked(near, depth), inside(sparse(built, queries)))

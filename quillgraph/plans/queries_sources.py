@@ -209,7 +209,7 @@ _CITES = f"{X.QUERY_TERMS}, {X.BM25}, {X.PIDS}, tp AS (SELECT qid, id FROM (SELE
 
 def _answers(s: Store):
     """An answer to each benchmark item: its ten best documents of the pool as citations."""
-    top = retrieval.ranked(retrieval.bm25(X.index_of(s), X.queries_of(s)).join(X.pool_of(s), "id", "left_semi"), 10).select("qid", "id")
+    top = retrieval.ranked(retrieval.bm25(X.lexical(s, X.queries_of(s)), X.queries_of(s)).join(X.pool_of(s), "id", "left_semi"), 10).select("qid", "id")
     cited = top.join(s.src, "id").groupBy("qid").agg(F.collect_list(F.struct(F.col("content").alias("text"), "channel")).alias("citations"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("stale").alias("stale"))  # ten each
     rows = s.benchmark.select(F.col("item_id"), F.col("text").alias("evidence")).join(cited, F.col("item_id") == F.col("qid"), "left")
     return rows.withColumn("composed", F.col("qid").isNotNull()).withColumn("citations", F.coalesce("citations", F.array().cast("array<struct<text:string,channel:string>>")))

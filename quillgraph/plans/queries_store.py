@@ -291,7 +291,7 @@ def _(s):
 
     asked = s.benchmark.select(F.col("item_id").alias("qid")).join(s.events.select((F.col("user_id") % 40).alias("qid")), "qid").groupBy("qid").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "qid").limit(3)
     q = X.queries_of(s).join(asked, "qid", "left_semi")
-    return retrieval.ranked(retrieval.bm25(X.index_of(s), q).join(X.pool_of(s), "id", "left_semi"), 8).select("qid", "id", "score")
+    return retrieval.ranked(retrieval.bm25(X.lexical(s, q), q).join(X.pool_of(s), "id", "left_semi"), 8).select("qid", "id", "score")
 
 
 @query("tombstone_plan", "SELECT stem, id, CASE WHEN stem % 10 = 0 THEN 'refused: pinned' ELSE 'tombstone' END AS action FROM (SELECT stem, arg_max(id, (created_at, id)) AS id FROM {facts} GROUP BY stem) x")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import contradict, filters, graph, retrieval, similarity, udfs
+from ..operators import contradict, filters, graph, retrieval, similarity, textindex, udfs
 from ..operators.components import connected_components
 from ..schema import STOP
 from ..shared import materialise
@@ -71,6 +71,12 @@ def index_of(s: Store):
     return filters.indexed(s.src).select("id", "content")
 
 
+def lexical(s: Store, queries) -> retrieval.Built:
+    """What the session's text index over these tables holds for the queries; the index is made on first use and stays."""
+    index = textindex.kept(s.spark, f"sources of {s.sf_dir}", [f"{s.sf_dir}/{t}.parquet" for t in ("documents", "labels")], lambda: index_of(s))
+    return index.lookup(queries)
+
+
 def pool_of(s: Store):
     return s.src.where(filters.untainted()).select("id")
 
@@ -151,7 +157,7 @@ def _(s):
 
 @query("corpus_stats", f"WITH {INDEX} SELECT count(*) AS n, round(avg(len({toks('content')})), 6) AS avgdl FROM ix")
 def _(s):
-    return retrieval.corpus_stats(retrieval.build(index_of(s), queries_of(s))).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return lexical(s, queries_of(s)).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("term_freq", f"WITH {INDEX} SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest({toks('content')}) AS term FROM ix) x GROUP BY term")
@@ -163,20 +169,49 @@ def _(s):
 
 @query("bm25_topk", f"WITH {QUERY_TERMS}, {BM25} SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM bm) x WHERE r <= 10")
 def _(s):
-    return retrieval.ranked(retrieval.bm25(index_of(s), queries_of(s)), 10).select("qid", "id", "score")
+    return retrieval.ranked(retrieval.bm25(lexical(s, queries_of(s)), queries_of(s)), 10).select("qid", "id", "score")
 
 
 @query("bm25_scoped", f"""WITH {QUERY_TERMS}, {BM25} SELECT qid, id, score FROM (SELECT bm.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, bm.id) AS r FROM bm JOIN {{src}} s ON s.id = bm.id WHERE s.source_ref = 'src5') x WHERE r <= 10""")
 def _(s):
     """One source only; the statistics stay those of the whole index."""
     scope = s.src.where("source_ref = 'src5'").select("id")
-    return retrieval.ranked(retrieval.bm25(index_of(s), queries_of(s)).join(scope, "id", "left_semi"), 10).select("qid", "id", "score")
+    return retrieval.ranked(retrieval.bm25(lexical(s, queries_of(s)), queries_of(s)).join(scope, "id", "left_semi"), 10).select("qid", "id", "score")
+
+
+_SCORED = "SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM bm) x WHERE r <= 10"
+
+
+def _index_of_before(s: Store):
+    """The store as it was: every tenth source is missing, the next of ten had another text, and there were some that are gone now."""
+    now = index_of(s)
+    kind = F.col("id") % 10
+    before = now.where(kind != 1).select("id", F.when(kind == 2, F.concat(F.lit("an older text about retrieval "), F.upper(F.substring("content", 1, 200)))).otherwise(F.col("content")).alias("content"))
+    return before.unionByName(now.where(kind == 3).select((F.col("id") + 50_000_000).alias("id"), "content"))
+
+
+@query("index_refresh", f"WITH {QUERY_TERMS}, {BM25} {_SCORED}")
+def _(s):
+    """An index of an earlier state of the store, brought up to date by what was added, changed and removed since: it answers as
+    one that is built anew."""
+    index = textindex.TextIndex.create(s.spark, _index_of_before(s))
+    index.refresh(index_of(s))
+    return retrieval.ranked(retrieval.bm25(index.lookup(queries_of(s)), queries_of(s)), 10).select("qid", "id", "score")
+
+
+@query("index_drop", f"WITH {QUERY_TERMS}, {BM25.replace('archived = 0)', 'archived = 0 AND id % 7 <> 0)')} {_SCORED}")
+def _(s):
+    """De-indexed sources are found no more and count in no statistic; a compacted index says the same."""
+    index = textindex.TextIndex.create(s.spark, index_of(s))
+    index.drop(s.src.where("id % 7 = 0").select("id"))
+    index.compact()
+    return retrieval.ranked(retrieval.bm25(index.lookup(queries_of(s)), queries_of(s)), 10).select("qid", "id", "score")
 
 
 @query("coverage", f"""WITH {QUERY_TERMS}, {BM25}, ceil_ AS (SELECT qid, sum(ln((st.n - coalesce(d.df, 0) + 0.5::DOUBLE) / (coalesce(d.df, 0) + 0.5::DOUBLE) + 1) * 2.2::DOUBLE) AS top FROM qt LEFT JOIN dfs d ON d.term = qt.term CROSS JOIN st GROUP BY qid)
   SELECT p.qid, p.id, round(least(1, sum(p.part) / min(c.top)), 6) AS coverage FROM parts p JOIN ceil_ c ON c.qid = p.qid GROUP BY p.qid, p.id""")
 def _(s):
-    return retrieval.coverage(index_of(s), queries_of(s))
+    return retrieval.coverage(lexical(s, queries_of(s)), queries_of(s))
 
 
 COSINE = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -196,7 +231,7 @@ SPARSE = f"""qw AS (SELECT qid, term, count(*) AS w FROM (SELECT item_id AS qid,
 
 @query("sparse_search", f"WITH {QUERY_TERMS}, {BM25}, {SPARSE} SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM sp) x WHERE r <= 10")
 def _(s):
-    return retrieval.ranked(retrieval.sparse(index_of(s), queries_of(s)), 10).select("qid", "id", "score")
+    return retrieval.ranked(retrieval.sparse(lexical(s, queries_of(s)), queries_of(s)), 10).select("qid", "id", "score")
 
 
 HYBRID = f"""{QUERY_TERMS}, {BM25}, {SPARSE}, {PIDS},
@@ -211,7 +246,7 @@ HYBRID = f"""{QUERY_TERMS}, {BM25}, {SPARSE}, {PIDS},
 def hybrid(s: Store):
     vectors = s.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     qv = queries_of(s).select("qid").join(vectors, F.col("qid") == F.col("id")).select("qid", "vec")
-    return retrieval.retrieve(index_of(s), pool_of(s), vectors, queries_of(s), qv)
+    return retrieval.retrieve(lexical(s, queries_of(s)), pool_of(s), vectors, queries_of(s), qv)
 
 
 @query("rrf_fuse", f"WITH {HYBRID} SELECT qid, id, score FROM fused")
@@ -244,7 +279,7 @@ def _(s):
     vectors = s.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     qv = queries_of(s).select("qid").join(vectors, F.col("qid") == F.col("id")).select("qid", "vec")
     inside = lambda x: retrieval.ranked(x.join(pool_of(s), "id", "left_semi"), 50)
-    return retrieval.rrf(inside(retrieval.bm25(index_of(s), queries_of(s))), inside(retrieval.dense(vectors, qv)), weights=(2.0, 1.0))
+    return retrieval.rrf(inside(retrieval.bm25(lexical(s, queries_of(s)), queries_of(s))), inside(retrieval.dense(vectors, qv)), weights=(2.0, 1.0))
 
 
 @query("retrieve_graph", f"""WITH RECURSIVE {HYBRID}, {NEAR[len('WITH RECURSIVE '):].replace("WHERE s.channel = 'endorsed'", "")},
@@ -299,7 +334,7 @@ def _(s):
     first, with a citation each."""
     q = queries_of(s)
     keys = q.select("qid", F.array_distinct(T.tokens(F.col("text"))).alias("keys"))
-    inside = retrieval.bm25(index_of(s), q).join(pool_of(s), "id", "left_semi")
+    inside = retrieval.bm25(lexical(s, q), q).join(pool_of(s), "id", "left_semi")
     top = retrieval.ranked(inside, 8).join(s.src.select("id", "channel", "content"), "id").join(keys, "qid")
     cands = top.withColumn("cands", T.claims_of(F.col("content")))
     hits = F.filter("cands", lambda c: F.exists("keys", lambda k: F.contains(F.lower(c), k)))
@@ -362,7 +397,7 @@ def _(s):
 def _(s):
     """For each derived node the source that its whole text, taken as a query, ranks first."""
     q = s.der.where("tombstoned = 0").select(F.col("id").alias("qid"), F.col("content").alias("text"))
-    return retrieval.ranked(retrieval.bm25(index_of(s), q), 1).select("qid", "id", "score")
+    return retrieval.ranked(retrieval.bm25(lexical(s, q), q), 1).select("qid", "id", "score")
 
 
 TFIDF = f"""d AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({toks('content')}) AS term FROM {{der}} WHERE tombstoned = 0) x GROUP BY id, term),
