@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import discard, materialise
+from ..shared import discard, materialise, shared_path
 
 
 def closure(edges: DataFrame, seeds: DataFrame, src: str = "parent", dst: str = "child", include_seed: bool = True) -> DataFrame:
@@ -37,40 +37,125 @@ def reachable(edges: DataFrame, seeds: DataFrame, src: str = "parent", dst: str
     return seen
 
 
+class _Store:
+    """Rows that are added in parts, each a folder of its own, and read as one scan: no union grows with the parts."""
+
+    def __init__(self, spark, name: str, schema: str):
+        self.spark, self.schema, self.root, self.parts = spark, schema, shared_path(spark, name), []
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.parts):06d}"
+        rows.write.parquet(path)
+        self.parts.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.parts)
+
+
+def _runs(p: DataFrame, two) -> tuple[DataFrame, DataFrame]:
+    """p(id, next, o, m, sb): nodes with one open parent. Pointers jump until they leave the table, so rounds grow with the logarithm
+    of a run: (id, head, o, m, sb), and those that never leave, which stand on a cycle or run into one, with all of it in o."""
+    p = now = materialise(p, "runs")
+    for _ in range(p.count().bit_length() + 1):
+        after = now.select(F.col("id").alias("next"), F.col("next").alias("_n"), F.col("o").alias("_o"), F.col("m").alias("_m"), F.col("sb").alias("_sb"))
+        # behind an unresolved node all that follows is unresolved and counts with its own values
+        m = F.when(F.col("_n").isNull(), F.col("m")).otherwise(two(F.when(F.col("_sb"), F.col("o")).otherwise(F.col("m")), F.col("_m")))
+        jumped = now.join(after, "next", "left").select("id", F.coalesce("_n", "next").alias("next"), two("o", "_o").alias("o"), m.alias("m"), (F.col("sb") | F.coalesce("_sb", F.lit(False))).alias("sb"), F.col("_n").isNotNull().alias("moved"))
+        before, now = now, materialise(jumped, "runs")
+        discard(before)
+        if now.where("moved").isEmpty():
+            return now.select("id", F.col("next").alias("head"), "o", "m", "sb"), now.where("moved").select("id", "o")
+    return now.where("not moved").select("id", F.col("next").alias("head"), "o", "m", "sb"), now.where("moved").select("id", "o")
+
+
 def lattice(values: DataFrame, edges: DataFrame, combine, unresolved: int | None = 0) -> DataFrame:
     """(id, value) for all nodes of values(id, value, fixed): a node that is fixed, or has no parent in the table, keeps its
-    value; any other has combine(parents' values). Layers are peeled from the fixed nodes down; nodes that a cycle keeps from
-    ever being resolved get ``unresolved`` or, if that is None, the fixpoint of combine from their own values and all that
-    reaches them."""
+    value; any other has combine(parents' values). Nodes that a cycle keeps from ever being resolved get ``unresolved`` or, if that
+    is None, the fixpoint of combine from their own values and all that reaches them.
+
+    Each round folds the parents that are resolved into their children, then contracts every run of nodes with one open parent to
+    its head; children of a run look at the head from then on. Rounds grow with the logarithm of a chain, and with the depth of
+    what has several open parents at every level. A node that holds the extreme value is resolved at once."""
+    spark, two = values.sparkSession, combine_two(combine)
+    values = materialise(values.select("id", F.col("value").cast("int").alias("value"), "fixed"), "lattice")
     own = edges.select("child", "parent").distinct()
-    known = values.select("id")
-    own = own.join(known.select(F.col("id").alias("parent")), "parent", "left_semi").join(values.where(~F.col("fixed")).select(F.col("id").alias("child")), "child", "left_semi")
-    own = materialise(own.select("child", "parent"), "lattice")
-    need = own.groupBy("child").agg(F.count("*").alias("need"))
-    done = materialise(values.join(need, values["id"] == need["child"], "left_anti").select("id", "value"), "lattice")
-    todo = materialise(need, "lattice")
-    layer = done
-    # running state of open nodes: parents resolved so far and their combined value
-    state = todo.select("child", "need", F.lit(0).cast("long").alias("have"), F.lit(None).cast("int").alias("value"))
-    while not layer.isEmpty():
-        came = own.join(layer, own["parent"] == layer["id"]).groupBy("child").agg(F.count("*").alias("n"), combine("value").alias("v"))
-        both = combine_two(combine)
-        state = materialise(state.join(came, "child", "left").select("child", "need", (F.col("have") + F.coalesce("n", F.lit(0))).alias("have"), both("value", "v").alias("value")), "lattice")
-        layer = state.where("have = need").select(F.col("child").alias("id"), F.col("value").cast("int").alias("value"))
-        state = state.where("have < need")
-        done = done.unionByName(layer)
-    if unresolved is not None or state.isEmpty():
-        return done.unionByName(state.select(F.col("child").alias("id"), F.lit(unresolved).cast("int").alias("value")))
-    both = combine_two(combine)
-    now = state.select(F.col("child").alias("id"), F.col("value").alias("_v")).join(values.select("id", "value"), "id")
-    now = materialise(now.select("id", both("_v", "value").cast("int").alias("value")), "lattice")  # the least and greatest skip nulls
-    inner = materialise(own.join(now.select(F.col("id").alias("child")), "child", "left_semi").join(now.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent"), "lattice")
+    own = own.join(values.select(F.col("id").alias("parent")), "parent", "left_semi").join(values.where(~F.col("fixed")).select(F.col("id").alias("child")), "child", "left_semi")
+    none = F.lit(None).cast("int")
+    # w: what lies on the way to the parent; wo: the same with the nodes' own values; eb: an unresolved node lies on it
+    left = materialise(own.select("child", "parent", none.alias("w"), none.alias("wo"), F.lit(False).alias("eb")), "lattice")
+    resolved, deferred = _Store(spark, "lattice-done", "id long, value int, bad boolean"), []
+    open_ = values.join(left.select(F.col("child").alias("id")).distinct(), "id", "left_semi").select("id", none.alias("acc"), F.col("value").alias("own"), F.lit(False).alias("bad"))
+    layer = resolved.add(values.join(left.select(F.col("child").alias("id")).distinct(), "id", "left_anti").select("id", "value", F.lit(False).alias("bad")))
+    extreme = values.agg(combine("value")).first()[0]
+    if unresolved is not None and extreme is not None:
+        extreme = min(extreme, unresolved) if combine is F.min else max(extreme, unresolved)
+        extreme = extreme if extreme == unresolved else None
+    final = F.when(F.col("bad"), two("acc", "own") if unresolved is None else F.lit(unresolved)).otherwise(F.col("acc")).cast("int")
     while True:
-        came = inner.join(now, inner["parent"] == now["id"]).groupBy("child").agg(combine("value").alias("_v"))
-        new = materialise(now.join(came, now["id"] == came["child"], "left").select("id", both("value", "_v").alias("value"), (both("value", "_v") != F.col("value")).alias("moved")), "lattice")
-        now = new.select("id", "value")
-        if new.where("moved").isEmpty():
-            return done.unionByName(now)
+        met = left.join(layer.select(F.col("id").alias("parent"), F.col("value").alias("pv"), F.col("bad").alias("pb")), "parent", "left")
+        met = materialise(met.select("child", "parent", "w", "wo", "eb", "pv", "pb"), "lattice")
+        on = F.col("pb").isNotNull()
+        came = two(F.when(F.col("pb"), F.col("wo")).otherwise(F.col("w")), F.col("pv"))
+        folds = met.groupBy(F.col("child").alias("id")).agg(
+            combine(F.when(on, came)).alias("v"), F.coalesce(F.max(F.when(on, F.col("pb") | F.col("eb"))), F.lit(False)).alias("b"), F.count_distinct(F.when(~on, F.col("parent"))).alias("n"),
+            *(f.alias(c) for c, f in (("p", F.max(F.when(~on, F.col("parent")))), ("w", combine(F.when(~on, F.col("w")))), ("wo", combine(F.when(~on, F.col("wo")))), ("eb", F.coalesce(F.max(F.when(~on, F.col("eb"))), F.lit(False))))),
+        )
+        state = open_.join(folds, "id").select("id", two("acc", "v").alias("acc"), "own", (F.col("bad") | F.col("b")).alias("bad"), "n", "p", "w", "wo", "eb")
+        state = materialise(state, "lattice")
+        ended = (F.col("n") == 0) | (F.col("bad") if unresolved is not None else F.lit(False)) | (F.coalesce(F.col("acc") == F.lit(extreme), F.lit(False)) if extreme is not None else F.lit(False))
+        done = state.where(ended).select("id", final.alias("value"), "bad")
+        rest = state.where(~ended)
+        sb = F.col("bad") | F.col("eb")
+        o = two("acc", "own", "wo")
+        run = rest.where("n = 1").select("id", F.col("p").alias("next"), o.alias("o"), F.when(F.col("bad"), two(o, "w")).otherwise(two("acc", "w")).alias("m"), sb.alias("sb"))
+        # of a node behind an unresolved part of its way, the own value counts, too
+        run = run.join(rest.select("id", "own", "eb"), "id").select("id", "next", "o", F.when(F.col("eb"), two("m", "own")).otherwise(F.col("m")).alias("m"), "sb")
+        heads_, stuck = _runs(run, two)
+        heads_ = materialise(heads_, "lattice")
+        done = done.unionByName(stuck.select("id", (F.col("o") if unresolved is None else F.lit(unresolved)).cast("int").alias("value"), F.lit(True).alias("bad")))
+        layer = resolved.add(done)
+        deferred.append(heads_)
+        core = rest.where("n > 1").select("id", "acc", "own", "bad")
+        hop = heads_.select(F.col("id").alias("parent"), "head", F.col("o").alias("_o"), F.col("m").alias("_m"), F.col("sb").alias("_sb"))
+        # edges from resolved parents are folded for good, those from a run go to its head
+        kept = met.where("pb is null").join(core.select(F.col("id").alias("child")), "child", "left_semi").join(hop, "parent", "left")
+        w = F.when(F.col("head").isNull(), F.col("w")).otherwise(two(F.when(F.col("_sb"), F.col("wo")).otherwise(F.col("w")), F.col("_m")))
+        kept = kept.select("child", F.coalesce("head", "parent").alias("parent"), w.alias("w"), two("wo", "_o").alias("wo"), (F.col("eb") | F.coalesce("_sb", F.lit(False))).alias("eb"))
+        before, left = (left, met), materialise(kept.groupBy("child", "parent").agg(combine("w").alias("w"), combine("wo").alias("wo"), F.max("eb").alias("eb")), "lattice")
+        open_ = materialise(core, "lattice")
+        for old in before:
+            discard(old)
+        if open_.isEmpty():
+            break
+        if layer.isEmpty() and heads_.isEmpty():  # all that is left stands on a cycle or below one
+            resolved.add(_core(open_, left, combine, unresolved))
+            break
+    for heads_ in reversed(deferred):
+        if heads_.isEmpty():
+            continue
+        known = resolved.all().select(F.col("id").alias("head"), F.col("value").alias("hv"), F.col("bad").alias("hb"))
+        bad = F.col("sb") | F.col("hb")
+        value = two(F.when(F.col("hb"), F.col("o")).otherwise(F.col("m")), F.col("hv"))
+        value = value if unresolved is None else F.when(bad, F.lit(unresolved)).otherwise(value)
+        resolved.add(heads_.join(known, "head").select("id", value.cast("int").alias("value"), bad.alias("bad")))
+    return resolved.all().select("id", "value")
+
+
+def _core(open_: DataFrame, left: DataFrame, combine, unresolved: int | None) -> DataFrame:
+    """Nodes of which each waits for another: ``unresolved``, or the fixpoint from what they hold."""
+    if unresolved is not None:
+        return open_.select("id", F.lit(unresolved).cast("int").alias("value"), F.lit(True).alias("bad"))
+    two = combine_two(combine)
+    now = materialise(open_.select("id", two("acc", "own").alias("value")), "lattice")
+    while True:
+        came = left.join(now, left["parent"] == now["id"]).groupBy("child").agg(combine(two("wo", "value")).alias("_v"))
+        new = now.join(came, now["id"] == came["child"], "left").select("id", two("value", "_v").alias("value"), (two("value", "_v") != F.col("value")).alias("moved"))
+        before, now = now, materialise(new, "lattice")
+        discard(before)
+        if now.where("moved").isEmpty():
+            return now.select("id", "value", F.lit(True).alias("bad"))
+        now = now.select("id", "value")
 
 
 def combine_two(combine):
