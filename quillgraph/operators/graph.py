@@ -84,7 +84,7 @@ def lattice(values: DataFrame, edges: DataFrame, combine, unresolved: int | None
     none = F.lit(None).cast("int")
     # w: what lies on the way to the parent; wo: the same with the nodes' own values; eb: an unresolved node lies on it
     left = materialise(own.select("child", "parent", none.alias("w"), none.alias("wo"), F.lit(False).alias("eb")), "lattice")
-    resolved, deferred = _Store(spark, "lattice-done", "id long, value int, bad boolean"), []
+    resolved, deferred = _Store(spark, "lattice-done", f"id {dict(values.dtypes)['id']}, value int, bad boolean"), []
     open_ = values.join(left.select(F.col("child").alias("id")).distinct(), "id", "left_semi").select("id", none.alias("acc"), F.col("value").alias("own"), F.lit(False).alias("bad"))
     layer = resolved.add(values.join(left.select(F.col("child").alias("id")).distinct(), "id", "left_anti").select("id", "value", F.lit(False).alias("bad")))
     extreme = values.agg(combine("value")).first()[0]

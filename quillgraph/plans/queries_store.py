@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import filters, lifecycle, similarity
+from ..operators import asof, filters, lifecycle, similarity
 from ..operators.components import connected_components
 from . import queries_graph as G
 from . import queries_text as X
@@ -134,6 +134,32 @@ def _(s):
     return refs.select("id", F.expr("replace(t, concat('{{fact:', stem, '}}'), cast(cast(floor(value) as bigint) as string))").alias("resolved"))
 
 
+_SHOWN = "CASE WHEN value IS NOT NULL THEN value || CASE WHEN unit <> '' THEN ' ' || unit ELSE '' END END"
+
+
+@query("fact_refs_asof", f"""WITH v AS MATERIALIZED (SELECT *, {_SHOWN} AS shown FROM {{versions}}), one AS (SELECT stem, created_at, arg_max(nid, nid) AS nid, arg_max(coalesce(shown, chr(0)), nid) AS shown FROM v GROUP BY stem, created_at),
+  live AS (SELECT stem, min(nid) AS nid, arg_min(coalesce(shown, chr(0)), nid) AS shown FROM v WHERE tombstoned = 0 GROUP BY stem),
+  ends AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY stem ORDER BY created_at DESC, nid DESC) = 1), firsts AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY stem ORDER BY created_at, nid) = 1),
+  refs AS (SELECT id, as_of, unnest(['fact_' || (id % 150 + 1), 'fact_' || (id % 97 * 3), 'fact_none']) AS stem, generate_subscripts([1, 2, 3], 1) AS k FROM {{reftexts}}),
+  met AS (SELECT refs.id, refs.k, refs.stem, refs.as_of, CASE WHEN refs.as_of IS NOT NULL THEN coalesce(one.nid, firsts.nid) END AS nid, CASE WHEN one.nid IS NULL THEN firsts.shown ELSE nullif(one.shown, chr(0)) END AS shown
+    FROM refs ASOF LEFT JOIN one ON refs.stem = one.stem AND refs.as_of >= one.created_at LEFT JOIN firsts ON firsts.stem = refs.stem),
+  put AS (SELECT met.id, met.k, coalesce(CASE WHEN live.nid IS NOT NULL THEN nullif(live.shown, chr(0)) || CASE WHEN met.nid <> live.nid AND met.shown <> live.shown THEN ' (was ' || met.shown || ' when written, ' || strftime(met.as_of, '%Y-%m-%d') || ')' ELSE '' END
+      ELSE ends.shown || ' (last known — fact retired' || CASE WHEN ends.tombstoned_at IS NOT NULL THEN ' ' || strftime(ends.tombstoned_at, '%Y-%m-%d') ELSE '' END || CASE WHEN trim(ends.reason) NOT IN ('', 'source file removed (bridge reconcile)') THEN ': ' || trim(ends.reason) ELSE '' END || ')' END, '[[' || met.stem || ']]') AS value
+    FROM met LEFT JOIN live ON live.stem = met.stem LEFT JOIN ends ON ends.stem = met.stem)
+  SELECT a.id, 'From ' || a.value || ' to ' || b.value || ', ' || c.value || ', [[note]] and ' || a.value AS text FROM put a JOIN put b ON a.id = b.id AND b.k = 2 JOIN put c ON a.id = c.id AND c.k = 3 WHERE a.k = 1""")
+def _(s):
+    """Several references in a text, each as it stood when the text was written."""
+    return asof.resolve_references(s.reftexts, s.versions)
+
+
+@query("asof_sales", """WITH c AS (SELECT client_id, valid_at, arg_max(change_id, (coalesce(seq, -1), change_id)) AS change_id FROM {client_changes} WHERE client_id IS NOT NULL AND valid_at IS NOT NULL GROUP BY 1, 2)
+  SELECT s.sale_id, c.change_id, c.valid_at FROM {sales} s ASOF LEFT JOIN c ON s.client_id = c.client_id AND s.sold_at >= c.valid_at""")
+def _(s):
+    """Every sale with the last change of its client that is not after it."""
+    found = asof.asof_join(s.sales.select("sale_id", "client_id", "sold_at"), s.client_changes.select("change_id", "client_id", "valid_at", "seq"), "client_id", "sold_at", "valid_at", ("seq", "change_id"))
+    return found.select("sale_id", "fact.change_id", "fact.valid_at")
+
+
 @query("latest_per_key", "SELECT stem, arg_max(id, (created_at, id)) AS id FROM {facts} GROUP BY stem")
 def _(s):
     return s.facts.groupBy("stem").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps")
 
 VIEWS = {
     "lab": "SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM {labels} GROUP BY doc_id",
@@ -50,6 +50,13 @@ VIEWS = {
         SELECT user_id AS session_id, ts, event_id, event_type AS tool,
           CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 END AS taint FROM {events}""",
     "facts": "SELECT o_custkey AS stem, o_orderkey AS id, o_totalprice AS value, o_orderdate AS created_at FROM {orders}",
+    "versions": """
+        SELECT concat('fact_', CAST(stem AS STRING)) AS stem, id AS nid, CASE WHEN id % 11 <> 0 THEN CAST(CAST(floor(value) AS BIGINT) AS STRING) END AS value, CASE id % 3 WHEN 0 THEN 'usd' WHEN 1 THEN '' END AS unit,
+          created_at, CASE WHEN stem % 7 = 0 OR id % 4 = 0 THEN 1 ELSE 0 END AS tombstoned, CASE WHEN id % 5 <> 0 THEN created_at END AS tombstoned_at,
+          CASE id % 4 WHEN 0 THEN ' moved ' WHEN 1 THEN 'source file removed (bridge reconcile)' WHEN 2 THEN '' END AS reason FROM {facts}""",
+    "reftexts": """
+        SELECT id, concat('From [[fact_', CAST(id % 150 + 1 AS STRING), ']] to [[fact_', CAST(id % 97 * 3 AS STRING), ']], [[fact_none]], [[note]] and [[fact_', CAST(id % 150 + 1 AS STRING), ']]') AS text,
+          CASE WHEN id % 17 <> 0 THEN CAST(DATE '1992-06-01' + CAST(id * 7 % 2400 AS INTEGER) AS TIMESTAMP) END AS as_of FROM {src}""",
     "claims": "SELECT DISTINCT l_partkey AS part, l_returnflag AS flag, l_suppkey AS root, l_orderkey AS node FROM {lineitem}",
     "roots": "SELECT s_suppkey AS root FROM {supplier} WHERE s_suppkey % 3 <> 0",
     "files": """

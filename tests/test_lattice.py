@@ -76,6 +76,11 @@ def test_a_chain_of_1500_takes_few_rounds(spark, monkeypatch):
     assert "Union" not in out._jdf.queryExecution().toString()
 
 
+def test_ids_of_another_type(spark):
+    v, e = spark.createDataFrame([("a", 1, False), ("b", 2, False), ("c", 3, False)], "id string, value int, fixed boolean"), spark.createDataFrame([("b", "a"), ("c", "b")], "child string, parent string")
+    assert sorted(map(tuple, graph.lattice(v, e, F.min).collect())) == [("a", 1), ("b", 1), ("c", 1)]
+
+
 def test_no_nodes(spark):
     _check(spark, [], [])
     _check(spark, [(1, 2, False)], [])
