@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import RANK
+from .scan import running_sums
 
 START_FLOOR = 2
 #: Forgetting model (fixed values).
@@ -138,19 +139,9 @@ def merge(local: DataFrame, incoming: DataFrame) -> DataFrame:
     return l.join(i, F.col("l.id") == F.col("i.id"), "full_outer").select(F.coalesce("l.id", "i.id").alias("id"), action.alias("action"), label.alias("label"), flag("tombstoned").alias("tombstoned"), flag("redacted").alias("redacted"))
 
 
-def shed(rows: DataFrame, section: str, order, budget: int) -> DataFrame:
+def shed(rows: DataFrame, section: str, order: tuple[str, ...], budget: int) -> DataFrame:
     """rows(..., bytes) with kept: entries of a section in order while their running sum fits."""
-    w = Window.partitionBy(section).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("kept", F.sum("bytes").over(w) <= budget)
-
-
-def shed_global(rows: DataFrame, budget: int) -> DataFrame:
-    """rows(id, rs, bytes) with kept: strongest first, one budget. Running totals over the distinct strengths are joined back,
-    so no window spans all rows."""
-    totals = rows.groupBy("rs").agg(F.sum("bytes").alias("total"))
-    before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy(F.desc("rs")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("rs", "before")
-    inside = Window.partitionBy("rs").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(before, "rs").withColumn("kept", F.col("before") + F.sum("bytes").over(inside) <= budget)
+    return running_sums(rows, [section], list(order), ["bytes"]).withColumn("kept", F.col("bytes_sum") <= budget).drop("bytes_sum")
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str, replace: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import asof, filters, lifecycle, similarity
+from ..operators import asof, digest, filters, lifecycle, scan, similarity
 from ..operators.components import connected_components
 from . import queries_graph as G
 from . import queries_text as X
@@ -352,14 +352,30 @@ def _(s):
 @query("section_shed", "SELECT id, source_ref, total <= 600 AS kept FROM (SELECT id, source_ref, sum(least(length(content), 70) + 1) OVER (PARTITION BY source_ref ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS total FROM {src} WHERE tombstoned = 0) x")
 def _(s):
     """Entries of a section, newest first, while they fit its budget."""
-    return lifecycle.shed(s.src.where("tombstoned = 0").select("id", "source_ref", (F.least(F.length("content"), F.lit(70)) + 1).alias("bytes")), "source_ref", F.desc("id"), 600).select("id", "source_ref", "kept")
+    rows = s.src.where("tombstoned = 0").select("id", "source_ref", (-F.col("id")).alias("newest"), (F.least(F.length("content"), F.lit(70)) + 1).alias("bytes"))
+    return lifecycle.shed(rows, "source_ref", ("newest",), 600).select("id", "source_ref", "kept")
 
 
-@query("digest_budget", "SELECT id, total <= 20000 AS kept FROM (SELECT id, sum(least(length(content), 70) + 1) OVER (ORDER BY id % 997 DESC, id ROWS UNBOUNDED PRECEDING) AS total FROM {src} WHERE tombstoned = 0) x")
+ENTRIES = """SELECT id, CASE WHEN id % 29 <> 0 THEN source_ref END AS section, CASE WHEN id % 37 = 0 THEN 'literal' ELSE 'file' END AS kind, id % 31 = 0 AS cluster, id % 7 = 0 AS own_line,
+  channel = 'endorsed' AND id % 5 = 0 AS pinned, id % 11 = 1 AS live_state, CASE WHEN id % 23 <> 0 THEN CAST(id * 37 % 1009 AS DOUBLE) / 10 END AS rs, CASE WHEN id % 19 <> 0 THEN id * 53 % 701 END AS born,
+  concat('- [note](', CAST(id AS STRING), '.md) ', substr(replace(content, chr(10), ' '), 1, 70)) AS line FROM {src} WHERE tombstoned = 0"""
+_BUDGET, _LINES, _CAP = 16384, 180, 900
+#: Running sums over the reverse of the orders in which entries go; headings go with their section's last entry.
+DIGEST = f"""WITH e AS MATERIALIZED (SELECT *, strlen(line) + 1 AS b, kind = 'file' AND NOT cluster AS free, strlen('## ' || section) + 2 AS head FROM ({ENTRIES}) x),
+  s1 AS MATERIALIZED (SELECT *, free AND head + sum(b) OVER (PARTITION BY section ORDER BY free, own_line DESC, born NULLS FIRST, coalesce(rs, 0) DESC, id DESC ROWS UNBOUNDED PRECEDING) > {_CAP} AS shed FROM e WHERE section IS NOT NULL),
+  s2 AS MATERIALIZED (SELECT *, kind <> 'file' OR pinned AS exempt FROM s1 WHERE NOT shed),
+  held AS (SELECT section, bool_or(exempt) AS held FROM s2 GROUP BY section),
+  fixed AS (SELECT 9 + 1 + coalesce(sum(CASE WHEN exempt THEN b ELSE 0 END), 0) + (SELECT coalesce(sum(strlen('## ' || section) + 2), 0) FROM held WHERE held) AS b, 1 + count_if(exempt) + 2 * (SELECT count(*) FROM held WHERE held) AS n FROM s2),
+  f AS (SELECT s2.*, NOT held.held AND row_number() OVER (PARTITION BY s2.section ORDER BY live_state DESC, coalesce(rs, 0) DESC, s2.id DESC) = 1 AS top FROM s2 JOIN held ON s2.section = held.section WHERE NOT exempt),
+  c AS (SELECT id, sum(b + CASE WHEN top THEN head ELSE 0 END) OVER w AS bs, sum(CASE WHEN top THEN 3 ELSE 1 END) OVER w AS ns FROM f WINDOW w AS (ORDER BY live_state DESC, coalesce(rs, 0) DESC, id DESC ROWS UNBOUNDED PRECEDING)),
+  told AS (SELECT c.id, CASE WHEN bs + fixed.b - 1 > {_BUDGET} THEN 'budget' WHEN ns + fixed.n > {_LINES} THEN 'lines' END AS reason FROM c CROSS JOIN fixed UNION ALL SELECT id, NULL FROM s2 WHERE exempt
+    UNION ALL SELECT id, 'section_budget' FROM s1 WHERE shed UNION ALL SELECT id, 'unsectioned' FROM e WHERE section IS NULL)"""
+
+
+@query("digest_budget", f"{DIGEST} SELECT id, reason IS NULL AS kept, reason FROM told")
 def _(s):
-    """The strongest entries that fit one global budget: totals of strengths first, then running sums inside each."""
-    rows = s.src.where("tombstoned = 0").select("id", (F.col("id") % 997).alias("rs"), (F.least(F.length("content"), F.lit(70)) + 1).alias("bytes"))
-    return lifecycle.shed_global(rows, 20000).select("id", "kept")
+    """What the digest leaves out and why: sections under their own cap, then limits of bytes and lines at once."""
+    return digest.digest(s.sql(ENTRIES), _BUDGET, _LINES, caps=_CAP)
 
 
 @query("digest_render", "SELECT source_ref, string_agg(id || ' ' || channel, chr(10) ORDER BY id DESC) AS body FROM (SELECT *, row_number() OVER (PARTITION BY source_ref ORDER BY id DESC) AS r FROM {src} WHERE tombstoned = 0 AND redacted = 0 AND archived = 0 AND status <> 'quarantined') x WHERE r <= 12 GROUP BY source_ref")
@@ -372,10 +388,10 @@ def _(s):
 
 @query("stride_sample", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source_ref ORDER BY id) AS i FROM {src}) x WHERE floor(i * 0.3) > floor((i - 1) * 0.3)")
 def _(s):
-    """A deterministic share of each source at even strides."""
-    i = F.row_number().over(Window.partitionBy("source_ref").orderBy("id"))
+    """A deterministic share of each source at even strides, numbered by a scan, so no task holds a source."""
+    rows = scan.running_sums(s.src.select("id", "source_ref", F.lit(1).cast("long").alias("i")), ["source_ref"], ["id"], ["i"])
     rate = F.lit(0.3).cast("decimal(4,2)")
-    return s.src.select("id", i.alias("i")).where(F.floor(F.col("i") * rate) > F.floor((F.col("i") - 1) * rate)).select("id")
+    return rows.where(F.floor(F.col("i_sum") * rate) > F.floor((F.col("i_sum") - 1) * rate)).select("id")
 
 
 @query("mrl_vectors", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding[1:16]::DOUBLE[], lambda x: x * x))), 5) AS first, 16 AS dim FROM {embeddings}")
