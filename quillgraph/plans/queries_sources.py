@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import code, filters, lifecycle, retrieval, scoring
-from ..shared import shared_path
+from ..shared import materialise, shared_path
 from ..sources import files, jsonl
 from . import queries_text as X
 from .views import Store
@@ -328,3 +328,25 @@ def _(s):
     found = sessions.run(sessions.forget_stream(stream, "2024-01-01"), "update")
     last = found.withColumn("k", F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("cnt")))).where("k = 1")
     return last.select("stem", "cnt", F.round("rs", 3).alias("rs"), F.round("ss", 3).alias("ss"))
+
+
+_GAP, _LATE = 3600, 60
+
+
+@query("watch_sync", f"""WITH e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM {{fileev}}), f AS (SELECT *, lead(ms) OVER w - ms AS gap FROM e WINDOW w AS (PARTITION BY path ORDER BY ms, n)),
+  b AS (SELECT *, lag(hash) OVER (PARTITION BY path ORDER BY ms, n) AS known FROM f WHERE (gap IS NULL OR gap > {_GAP * 1000}) AND ms + {_GAP * 1000} < (SELECT max(ms) - {_LATE} * 60000 FROM e))
+  SELECT path, make_timestamp(ms * 1000) AS at, CASE WHEN hash IS NULL THEN 'prune' WHEN known IS NULL THEN 'create' ELSE 'update' END AS action, hash FROM b WHERE hash IS DISTINCT FROM known""")
+def _(s):
+    """What a watcher does about events of files: a stream with settle timers over what is there, fed a month at a time."""
+    from ..streaming import sessions, watch
+
+    events = materialise(s.fileev.select("path", F.col("ts").cast("timestamp").alias("ts"), "n", "hash"), "file-events")
+    folder, state, out = shared_path(s.spark, "file-events"), shared_path(s.spark, "watch-state"), None
+    months = sorted(r[0] for r in events.select(F.month("ts")).distinct().collect())
+    with watch.state_store(s.spark):
+        for month in months:
+            events.where(F.month("ts") == month).write.mode("append").parquet(folder)
+            stream = sessions.file_stream(s.spark, folder, "*.parquet", events.schema)
+            found = sessions.run(watch.watch(stream, _GAP, f"{_LATE} minutes"), "append", state)
+            out = found if out is None else out.unionByName(found)
+    return out.select("path", F.col("at").cast("timestamp_ntz").alias("at"), "action", "hash")

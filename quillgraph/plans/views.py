@@ -62,6 +62,9 @@ VIEWS = {
     "files": """
         SELECT doc_id AS id, source AS dir, concat('note-', CAST(doc_id % 97 AS STRING)) AS stem, coalesce(text, '') AS content, doc_id * 60 AS mtime,
           length(source) % 3 AS depth FROM {documents}""",
+    "fileev": """
+        SELECT concat('note-', CAST(client_id % 40 AS STRING), '.md') AS path, ts, click_id AS n, CASE WHEN kind = 'buy' OR click_id % 9 = 0 THEN NULL ELSE concat('h', CAST(click_id % 5 AS STRING)) END AS hash
+        FROM (SELECT client_id, click_id, kind, min(ts) AS ts FROM {clicks} WHERE ts IS NOT NULL AND client_id IS NOT NULL AND click_id % 10 = 3 GROUP BY client_id, click_id, kind) c""",
     "logq": "SELECT event_id AS id, ts, concat(event_type, ' ', CAST(user_id % 20 AS STRING)) AS query, value FROM {events}",
 }
 
