@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import contradict, filters, graph, retrieval, similarity, textindex, udfs
+from ..operators import contradict, filters, graph, notes, retrieval, similarity, textindex, udfs
 from ..operators.components import connected_components
 from ..schema import STOP
 from ..shared import materialise
@@ -132,17 +132,29 @@ def _(s):
     return s.src.select("id", F.posexplode(udfs.chunks(F.col("content"))).alias("n", "chunk")).select("id", "n", F.length("chunk").alias("length"), T.content_hash(F.col("chunk")).alias("h"))
 
 
-@query("wikilinks", "SELECT id, source_ref AS target FROM {src}")
+_MDLINES = """ln AS MATERIALIZED (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM {mdnotes}),
+  fm AS MATERIALIZED (SELECT id, min(k) AS z FROM ln WHERE k > 1 AND trim(line) = '---' GROUP BY id)"""
+
+
+@query("wikilinks", f"""WITH RECURSIVE {_MDLINES}, body AS MATERIALIZED (SELECT ln.id, k - z AS k, line, regexp_extract(line, '^\\s*(````*|~~~~*)', 1) AS mark FROM ln JOIN fm ON ln.id = fm.id WHERE k > z),
+  st AS (SELECT id, 1 AS k, mark AS fence, line, mark = '' AS shown FROM body WHERE k = 1
+    UNION ALL SELECT b.id, b.k, CASE WHEN st.fence <> '' AND starts_with(b.mark, st.fence) THEN '' WHEN st.fence <> '' THEN st.fence ELSE b.mark END, b.line, st.fence = '' AND b.mark = '' FROM st JOIN body b ON b.id = st.id AND b.k = st.k + 1),
+  plain AS (SELECT id, regexp_replace(regexp_replace(line, '``([^`]|`[^`])*``', ' ', 'g'), '`[^`]*`', ' ', 'g') AS line FROM st WHERE shown AND NOT starts_with(line, '    '))
+  SELECT id, regexp_replace(regexp_extract(inner_, '^[^|#]*'), '\\.md$', '') AS target, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(line, '\\[\\[([^\\[\\]]+)\\]\\]', 1)) AS inner_ FROM plain) x GROUP BY 1, 2""")
 def _(s):
-    linked = F.concat(F.lit("[["), F.col("source_ref"), F.lit("|alias]] and `[[code]]` "), F.col("content"))
-    return s.src.select("id", F.explode(T.wikilinks(linked)).alias("target"))
+    """Targets of links outside fences, indented code and code spans."""
+    return notes.links(s.mdnotes).where("kind = 'wiki'").groupBy("id", "target").agg(F.count("*").alias("n"))
 
 
-@query("frontmatter", "SELECT id, source_ref AS source, label AS rank FROM {src}")
+@query("frontmatter", f"""WITH {_MDLINES}, own AS (SELECT ln.* FROM ln JOIN fm ON ln.id = fm.id WHERE k > 1 AND k < z), kv AS (SELECT *, NOT regexp_matches(line, '^\\s*- ') AS is_key FROM own),
+  named AS (SELECT *, max(CASE WHEN is_key THEN k END) OVER (PARTITION BY id ORDER BY k) AS grp FROM kv),
+  bare AS (SELECT id, k, grp, is_key, line, regexp_replace(trim(CASE WHEN is_key THEN regexp_replace(line, '^[^:]*:', '') ELSE regexp_replace(line, '^\\s*- ', '') END), '^"(.*)"$', '\\1') AS v FROM named),
+  g AS (SELECT id, grp, regexp_extract(max(CASE WHEN is_key THEN line END), '^[^:]*') AS key, count(*) AS n, max(CASE WHEN is_key THEN v END) AS v, string_agg(CASE WHEN NOT is_key THEN v END, '|' ORDER BY k) AS listed FROM bare GROUP BY id, grp)
+  SELECT id, key, CASE WHEN n = 1 AND NOT starts_with(v, '[') THEN v END AS value, CASE WHEN n > 1 THEN listed WHEN starts_with(v, '[') THEN
+    array_to_string(list_filter(list_transform(string_split(trim(v, '[]'), ','), lambda y: trim(trim(y), '''')), lambda y: y <> ''), '|') END AS items FROM g""")
 def _(s):
-    page = F.format_string("---\nsource: \"%s\"\n# a comment: no\nrank: %s\n---\n%s", "source_ref", F.col("label").cast("string"), "content")
-    fm = T.frontmatter(page)
-    return s.src.select("id", fm["source"].alias("source"), fm["rank"].cast("int").alias("rank"))
+    """Scalars, inline lists and block lists of the front matter."""
+    return notes.fields(s.mdnotes).select("id", "key", "value", F.array_join("items", "|").alias("items"))
 
 
 @query("code_chunks", "SELECT id, (pos - 1) // 60 AS chunk, count(*) AS n_lines, sum(length(line))::BIGINT AS chars FROM (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM {src}) x GROUP BY 1, 2")

@@ -65,6 +65,11 @@ VIEWS = {
     "fileev": """
         SELECT concat('note-', CAST(client_id % 40 AS STRING), '.md') AS path, ts, click_id AS n, CASE WHEN kind = 'buy' OR click_id % 9 = 0 THEN NULL ELSE concat('h', CAST(click_id % 5 AS STRING)) END AS hash
         FROM (SELECT client_id, click_id, kind, min(ts) AS ts FROM {clicks} WHERE ts IS NOT NULL AND client_id IS NOT NULL AND click_id % 10 = 3 GROUP BY client_id, click_id, kind) c""",
+    "mdnotes": """
+        SELECT id, concat(concat_ws(chr(10), '---', concat('title: "', source_ref, ' of ', channel, '"'), concat('tags: [', channel, ', ''k ', CAST(id % 5 AS STRING), ''' ,]'), 'aliases:', concat('  - one ', CAST(id % 7 AS STRING)), '- "two"', '---',
+          concat('See [[n', CAST(id % 50 AS STRING), '.md|alias]], `[[code]]` and ``x ` [[no]] `` too, [[m', CAST(id % 3 AS STRING), '#head]].'),
+          CASE id % 4 WHEN 0 THEN '```' WHEN 1 THEN '  ~~~ text' WHEN 2 THEN '````' ELSE 'no fence' END, '[[inside]] of a fence', CASE WHEN id % 4 = 1 THEN '~~~~' ELSE '```' END, '    [[indented]]',
+          concat('one ` that is open [[after', CAST(id % 9 AS STRING), ']]')), chr(10), content) AS content FROM {src}""",
     "logq": "SELECT event_id AS id, ts, concat(event_type, ' ', CAST(user_id % 20 AS STRING)) AS query, value FROM {events}",
 }
 
