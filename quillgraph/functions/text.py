@@ -92,6 +92,12 @@ def wikilinks(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, r"^([^|#^]*)", 1), r"\.md$", ""))), lambda x: x != ""))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text with the keys of every object in order, at every depth, and without blanks, so that neither says anything; equal
+    numbers are written alike (1.0 as 1). What is no JSON, or has a key twice, stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
 def frontmatter(text: Column) -> Column:
     """Flat key: value front matter as a map; empty where there is none."""
     block = F.regexp_extract(text, r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)", 1)

@@ -76,3 +76,24 @@ def aggregate_stale(scores: DataFrame) -> DataFrame:
         _share(F.col("flagged"), updated).alias("flagged_rate"), strict(F.col("fresh_clean")).alias("fresh_clean_rate"), strict(F.col("served_stale")).alias("served_stale_rate"),
         F.sum(known.cast("long")).alias("strict_serve_n"), F.round(F.avg(F.col("attribution").cast("int")), 6).alias("attribution_accuracy"),
     )
+
+
+def threshold_sweep(log: DataFrame, bins: int = 10) -> DataFrame:
+    """(floor, hits, would_inject_rate, bin, bin_n) for the floors 0, 1/bins, ... 1 over log(score): how many best scores a floor would
+    let through, of all rows, and the histogram of the scores from that floor to the next (below 0 counts in the first, 1 and more
+    in the last; the floor 1 has no bin of its own). One pass counts rows by the floors they pass and by bin; the rest are
+    suffix sums over as many rows as there are floors. Null and NaN scores are rows that pass no floor and are in no bin; no rows give rates of 0."""
+    floors = [k / bins for k in range(bins + 1)]
+    score = F.when(~F.isnan("score"), F.col("score").cast("double"))
+    passed = sum((F.when(score >= f, 1).otherwise(0) for f in floors), F.lit(0))
+    slot = F.least(F.lit(bins - 1), F.greatest(F.lit(0), (score * bins).cast("int")))
+    counts = log.groupBy(passed.alias("passed"), F.when(score.isNotNull(), slot).alias("slot")).agg(F.count("*").alias("n"))
+    none = log.sparkSession.createDataFrame([(0, None, 0)], "passed int, slot int, n long")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(f).alias("floor")) for k, f in enumerate(floors))))
+    # at most a few rows for each floor
+    out = counts.unionByName(none).select("*", each.alias("f")).select("*", "f.*").groupBy("k", "floor").agg(
+        F.sum(F.when(F.col("passed") > F.col("k"), F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("all"), F.sum(F.when(F.col("slot") == F.col("k"), F.col("n")).otherwise(0)).alias("bin_n")
+    )
+    last = F.col("k") == bins
+    name = F.concat(F.format_string("%.1f", "floor"), F.lit("-"), F.format_string("%.1f", F.col("floor") + 1 / bins))
+    return out.select("floor", "hits", F.round(F.when(F.col("all") > 0, F.col("hits") / F.col("all")).otherwise(0.0), 3).alias("would_inject_rate"), F.when(~last, name).alias("bin"), F.when(~last, F.col("bin_n")).alias("bin_n"))

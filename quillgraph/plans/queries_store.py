@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import asof, digest, filters, lifecycle, scan, similarity
+from ..operators import asof, digest, filters, lifecycle, scan, scoring, similarity
 from ..operators.components import connected_components
 from . import queries_graph as G
 from . import queries_text as X
@@ -214,6 +214,28 @@ def _(s):
     return lifecycle.floors(s.sessions).groupBy("tool", decision.alias("decision")).agg(F.count("*").alias("n"))
 
 
+_SCHEMA = """SELECT event_type AS tool, ts, event_id, CASE event_id % 3 WHEN 0 THEN concat('{{"name": "', event_type, '", "in": {{"b": [1, {{"y": 2, "x": 1}}], "a": ', CAST(user_id % 2 AS STRING), '}}}}')
+  WHEN 1 THEN concat('{{"in":{{"a":', CAST(user_id % 2 AS STRING), ',"b":[1,{{"x":1,"y":2}}]}},"name":"', event_type, '"}}') ELSE concat('{{"in": {{"b": [1, {{"x": 1, "y": 2}}], "a": ', CAST(user_id % 2 AS STRING), CASE WHEN event_id % 7 = 0 THEN '.5' ELSE '' END, '}}, "name": "', event_type, '"}}') END AS schema_ FROM {events}"""
+
+
+@query("schema_pins", """WITH h AS (SELECT event_type AS tool, ts, event_id, sha256('{"in":{"a":' || (user_id % 2) || CASE WHEN event_id % 3 = 2 AND event_id % 7 = 0 THEN '.5' ELSE '' END || ',"b":[1,{"x":1,"y":2}]},"name":"' || event_type || '"}') AS h FROM {events}),
+  f AS (SELECT tool, h, first_value(h) OVER (PARTITION BY tool ORDER BY ts, event_id) AS pin FROM h) SELECT tool, min(pin) AS pin, count(*) AS n, sum(CASE WHEN h <> pin THEN 1 ELSE 0 END) AS changed FROM f GROUP BY tool""")
+def _(s):
+    """Pins of canonical schemas: neither the order of keys nor spacing changes a pin, another value or type does."""
+    seen = s.sql(_SCHEMA).select("tool", F.sha2(T.canonical_json(F.col("schema_")), 256).alias("h"), "ts", "event_id")
+    pins = seen.groupBy("tool").agg(F.min_by("h", F.struct("ts", "event_id")).alias("pin"))
+    return seen.join(pins, "tool").groupBy("tool", "pin").agg(F.count("*").alias("n"), F.sum(F.when(F.col("h") != F.col("pin"), 1).otherwise(0)).alias("changed"))
+
+
+@query("hook_sweep", """WITH l AS (SELECT value / 100 AS score FROM {clicks}), f AS (SELECT k, k / 10.0::DOUBLE AS floor FROM range(0, 11) t(k)), n AS (SELECT count(*) AS n FROM l)
+  SELECT floor, (SELECT count(*) FROM l WHERE score >= floor AND NOT isnan(score)) AS hits, round((SELECT count(*) FROM l WHERE score >= floor AND NOT isnan(score)) / n.n::DOUBLE, 3) AS would_inject_rate,
+    CASE WHEN k < 10 THEN format('{{:.1f}}-{{:.1f}}', k / 10.0::DOUBLE, (k + 1) / 10.0::DOUBLE) END AS bin,
+    CASE WHEN k < 10 THEN (SELECT count(*) FROM l WHERE NOT isnan(score) AND least(9, greatest(0, trunc(score * 10))) = k) END AS bin_n FROM f CROSS JOIN n""".replace("{{", "{").replace("}}", "}"))
+def _(s):
+    """The rate that each of eleven floors would give, and the histogram of the scores, in one pass."""
+    return scoring.threshold_sweep(s.clicks.select((F.col("value") / 100).alias("score")))
+
+
 @query("tool_pins", "SELECT tool, count(*) AS n, sum(CASE WHEN h <> first_h THEN 1 ELSE 0 END) AS changed FROM (SELECT event_type AS tool, sha256(props) AS h, first_value(sha256(props)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS first_h FROM {events}) x GROUP BY tool")
 def _(s):
     """The schema first seen is pinned; later ones that differ are reported."""
