@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shared import discard, materialise, shared_path
 
@@ -175,6 +176,27 @@ def neighborhood(nodes: DataFrame, rel: DataFrame, seeds: DataFrame, hops: int =
     return best.where("seed <> id")
 
 
+def explain_tree(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, position, depth, id, elided): the ancestry of each seed of a stated set as a depth-first walk prints it, parents in order
+    of their ids; a node that was shown before is shown again, elided, without what is above it. Works on cycles; a seed is its own
+    first row.
+
+    A walk in order reaches each node by the least of its simple paths, compared from the front, so the walk is a relaxation of
+    least paths: rounds grow with the deepest of them."""
+    step = materialise(edges.select("child", "parent").where("parent is not null").distinct(), "explain")
+    best = materialise(seeds.select(F.col("id").alias("seed"), "id").where("id is not null").distinct().select("seed", "id", F.array("id").alias("path"), F.lit(True).alias("new")), "explain")
+    while not best.where("new").isEmpty():
+        grown = best.where("new").join(step, F.col("id") == F.col("child")).select("seed", F.col("parent").alias("id"), F.concat("path", F.array("parent")).alias("path"))
+        both = best.select("seed", "id", "path", F.lit(0).alias("k")).unionByName(grown.select("seed", "id", "path", F.lit(1).alias("k"))).groupBy("seed", "id").agg(F.min("path").alias("path"), F.min_by("path", "k").alias("was"), F.min("k").alias("k"))
+        before, best = best, materialise(both.select("seed", "id", "path", ((F.col("k") == 1) | (F.col("path") != F.col("was"))).alias("new")), "explain")
+        discard(before)
+    shown = best.join(step, F.col("id") == F.col("child")).select("seed", F.col("parent").alias("id"), F.concat("path", F.array("parent")).alias("at"))
+    rows = best.where("seed = id").select("seed", "id", F.col("path").alias("at")).unionByName(shown)
+    rows = rows.join(best.select("seed", "id", "path"), ["seed", "id"])
+    w = Window.partitionBy("seed").orderBy("at")
+    return rows.select("seed", F.row_number().over(w).alias("position"), (F.size("at") - 1).alias("depth"), "id", (F.col("at") != F.col("path")).alias("elided"))
+
+
 def heads(links: DataFrame) -> DataFrame:
     """(id, head) for pointer chains links(id, next), one link for each id: the last node that a walk from the id sees for the
     first time. Pointer jumping, so rounds grow with the logarithm of a chain. On a cycle, and on a chain that runs into one, that

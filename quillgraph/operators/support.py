@@ -56,8 +56,12 @@ def prompt_blocks(hits: DataFrame, floor: float, budget: int = BLOCK_BYTES) -> D
     hook = T.normal(F.coalesce("hook", F.lit("")))
     short = F.when(F.length(hook) > HOOK_CHARS, F.concat(F.rtrim(F.substring(hook, 1, HOOK_CHARS - 1)), F.lit("…"))).otherwise(hook)
     line = F.concat(F.lit("- ["), F.coalesce("name", F.concat(F.lit("mem:"), F.col("id").cast("string"))), F.lit("]"), F.when(short != "", F.concat(F.lit(" "), short)).otherwise(""))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    lines = hits.where(F.col("score") >= floor).select("qid", "score", "id", line.alias("line")).withColumn("total", F.sum(F.octet_length("line") + 1).over(w))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    # a line takes five bytes at least, so no more than these can fit, and only they are summed
+    most = max(1, budget // 5)
+    first = hits.where(F.col("score") >= floor).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    lines = first.select("qid", "score", "id", line.alias("line")).withColumn("total", F.sum(F.octet_length("line") + 1).over(w))
     kept = lines.where(F.col("total") + len(BLOCK_HEAD) <= budget).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("total", "line"))).alias("l"))
     return kept.select("qid", F.size("l").cast("long").alias("n"), F.concat_ws("\n", F.lit(BLOCK_HEAD), F.col("l.line")).alias("block"))
 

@@ -408,6 +408,15 @@ def _(s):
     return graph.reachable(s.edges, line.join(hit, "head", "left_semi").select("id"))
 
 
+@query("explain_tree", """WITH RECURSIVE p AS (SELECT id AS seed, id, [id] AS path FROM {der} WHERE id % 10 = 3 UNION ALL SELECT p.seed, e.parent, list_append(p.path, e.parent) FROM p JOIN {edges} e ON e.child = p.id WHERE NOT list_contains(p.path, e.parent)),
+  first_ AS (SELECT seed, id, min(path) AS path FROM p GROUP BY seed, id),
+  shown AS (SELECT seed, id, path AS at_ FROM first_ WHERE seed = id UNION ALL SELECT f.seed, e.parent, list_append(f.path, e.parent) FROM first_ f JOIN {edges} e ON e.child = f.id)
+  SELECT s.seed, row_number() OVER (PARTITION BY s.seed ORDER BY at_)::INT AS position, len(at_)::INT - 1 AS depth, s.id, at_ <> f.path AS elided FROM shown s JOIN first_ f ON f.seed = s.seed AND f.id = s.id""")
+def _(s):
+    """The ancestry of a stated set of nodes as it is printed, diamonds elided."""
+    return graph.explain_tree(s.edges, s.der.where("id % 10 = 3").select("id"))
+
+
 @query("explain_paths", """WITH RECURSIVE p AS (SELECT child AS seed, parent AS id, 1 AS depth FROM {edges} UNION SELECT p.seed, e.parent, p.depth + 1 FROM p JOIN {edges} e ON e.child = p.id WHERE p.depth < 40)
   SELECT seed, id, min(depth) AS depth FROM p GROUP BY seed, id""")
 def _(s):
