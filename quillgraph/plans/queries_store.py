@@ -416,10 +416,11 @@ def _(s):
     return rows.where(F.floor(F.col("i_sum") * rate) > F.floor((F.col("i_sum") - 1) * rate)).select("id")
 
 
-@query("mrl_vectors", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding[1:16]::DOUBLE[], lambda x: x * x))), 5) AS first, 16 AS dim FROM {embeddings}")
+@query("mrl_vectors", """SELECT vec_id, k - 1 AS k, round(v / norm, 5) AS x FROM (SELECT vec_id, unnest(embedding[1:16]::DOUBLE[]) AS v, generate_subscripts(embedding[1:16], 1) AS k,
+  sqrt(list_sum(list_transform(embedding[1:16]::DOUBLE[], lambda x: x * x))) AS norm FROM {embeddings}) y""")
 def _(s):
-    v = V.mrl(F.col("embedding"), 16)
-    return s.embeddings.select("vec_id", F.round(v[0], 5).alias("first"), F.size(v).alias("dim"))
+    """Every component of the shortened vectors, which are unit vectors again."""
+    return s.embeddings.select("vec_id", F.posexplode(V.mrl(F.col("embedding"), 16)).alias("k", "v")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("v", 5).alias("x"))
 
 
 @query("instruction_pairs", "SELECT id, CASE WHEN starts_with(content, 'Q: ') THEN substr(content, 4, 200) ELSE substr(content, 1, 200) END AS instruction FROM {der}")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import contradict, filters, graph, notes, retrieval, similarity, textindex, udfs
+from ..operators import contradict, filters, graph, notes, rerank, retrieval, similarity, textindex, udfs
 from ..operators.components import connected_components
 from ..schema import STOP
 from ..shared import materialise
@@ -323,6 +323,37 @@ def _(s):
     return m.agg(F.count("*").alias("n"), rate(F.col("first_hit") == 1).alias("hit1"), rate(F.col("first_hit") <= 5).alias("hit5"), F.round(F.avg(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))), 6).alias("mrr"), F.sum("hits").alias("hits"), F.round(F.avg(F.col("hits") / F.col("gold")), 6).alias("recall8"))
 
 
+def signals(s: Store):
+    """The ranked lists that are fused, each inside the pool."""
+    vectors = s.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q, pool = queries_of(s), materialise(pool_of(s), "pool")
+    built = lexical(s, q)
+    qv = q.select("qid").join(vectors, F.col("qid") == F.col("id")).select("qid", "vec")
+    inside = lambda x: retrieval.ranked(x.join(pool, "id", "left_semi"), 50)
+    return {"bm25": inside(retrieval.bm25(built, q)), "dense": inside(retrieval.dense(vectors, qv)), "sparse": inside(retrieval.sparse(built, q))}
+
+
+_FEATS = ", ".join(f"round(coalesce(max(CASE WHEN sig = '{name}' THEN z END), 0), 4) + 0.0 AS {name}_z, round(coalesce(max(CASE WHEN sig = '{name}' THEN 1.0::DOUBLE / r END), 0), 6) AS {name}_rr" for name in ("bm25", "dense", "sparse"))
+
+
+@query("signal_features", f"""WITH {HYBRID}, al AS (SELECT 'bm25' AS sig, * FROM l1 WHERE r <= 50 UNION ALL SELECT 'dense', * FROM l2 WHERE r <= 50 UNION ALL SELECT 'sparse', * FROM l3 WHERE r <= 50),
+  zs AS (SELECT *, (score - avg(score) OVER w) / nullif(stddev_pop(score) OVER w, 0) AS z FROM al WINDOW w AS (PARTITION BY sig, qid)) SELECT qid, id, {_FEATS} FROM zs GROUP BY qid, id""")
+def _(s):
+    """z-scores and reciprocal ranks of every signal for every candidate."""
+    feats = rerank.features(signals(s))
+    return feats.select("qid", "id", *((F.round(c, 4 if c.endswith("_z") else 6) + 0.0).alias(c) for c in feats.columns[2:]))
+
+
+@query("learned_rerank")
+def _(s):
+    """Candidates of the held-out half of the queries, ranked by what the other half teaches; gold is any document of the query's
+    source. Fitted by iteration, so there is no SQL; tested against a plain fit."""
+    feats = rerank.features(signals(s))
+    source = s.src.select("id", F.regexp_extract("source_ref", r"(\d+)$", 1).cast("long").alias("n"))
+    gold = feats.select("qid", "id").join(source, "id").where(F.col("qid") % 20 == F.col("n"))
+    return rerank.rerank(feats, gold)
+
+
 @query("rank_features", f"WITH {HYBRID} SELECT f.qid, f.id, round((score - avg(score) OVER w) / nullif(stddev_pop(score) OVER w, 0), 4) AS z, round(1.0::DOUBLE / rank() OVER (PARTITION BY qid ORDER BY score DESC), 6) AS rr FROM fused f WINDOW w AS (PARTITION BY qid)")
 def _(s):
     w = Window.partitionBy("qid")
