@@ -42,8 +42,9 @@ def shed_sections(entries: DataFrame, caps: dict[str, int] | int) -> DataFrame:
     return summed.select(*entries.columns, F.coalesce(~(F.col("_free") & over), F.lit(True)).alias("fits"))
 
 
-def digest(entries: DataFrame, budget: int, max_lines: int, title: str = "# Memory", caps: dict[str, int] | int | None = None) -> DataFrame:
-    """(id, kept, reason) of every entry. The weakest go first, live states last; pinned entries and literals stay."""
+def digest(entries: DataFrame, budget: int, max_lines: int, title: str = "# Memory", caps: dict[str, int] | int | None = None, strict: bool = True) -> DataFrame:
+    """(id, kept, reason) of every entry. The weakest go first, live states last; pinned entries and literals stay. Where these alone
+    exceed a limit, that is an error, or, if not ``strict``, all others go."""
     entries = materialise(entries.select(*ENTRY), "digest")
     named = entries.where("section is not null")
     named = materialise(shed_sections(named, caps) if caps else named.withColumn("fits", F.lit(True)), "digest")
@@ -58,7 +59,7 @@ def digest(entries: DataFrame, budget: int, max_lines: int, title: str = "# Memo
     fixed = tops.agg(F.coalesce(F.sum(F.coalesce("_b", F.lit(0)) + F.when(F.col("_held"), head).otherwise(0)), F.lit(0)).alias("b"), F.coalesce(F.sum(F.col("_n") + F.when(F.col("_held"), 2).otherwise(0)), F.lit(0)).alias("n")).first()
     # all lines and their ends, the last blank one without its end; lines are counted by ends
     b, n = fixed["b"] + len(title.encode()) + 1, fixed["n"] + 1
-    if b > budget or n > max_lines:
+    if strict and (b > budget or n > max_lines):
         raise DigestTooLarge(f"pinned and literal entries take {b} bytes and {n} lines of {budget} and {max_lines}")
     free = rows.where("not _exempt").join(tops.where("not _held").select("section", "_last", head.alias("_head")), "section", "left")
     owns = F.coalesce(F.col("_last") == F.col("id"), F.lit(False))

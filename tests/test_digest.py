@@ -78,3 +78,13 @@ def test_digest_sheds_as_the_loop_does(spark, seed, budget, max_lines, cap):
 def test_a_digest_of_nothing(spark):
     df = spark.createDataFrame([], "id int, section string, kind string, cluster boolean, own_line boolean, pinned boolean, live_state boolean, rs double, born int, line string")
     assert digest.digest(df, 100, 10, caps=50).count() == 0
+
+
+def test_what_never_goes_may_fill_the_digest(spark):
+    rows = [(n, "A", "literal" if n < 5 else "file", False, False, n == 9, False, 1.0, n, "x" * 30) for n in range(12)]
+    df = spark.createDataFrame(rows, "id int, section string, kind string, cluster boolean, own_line boolean, pinned boolean, live_state boolean, rs double, born int, line string")
+    for budget, lines, why in ((100, 1000, "budget"), (100_000, 6, "lines")):
+        with pytest.raises(digest.DigestTooLarge):
+            digest.digest(df, budget, lines)
+        got = {r.id: (r.kept, r.reason) for r in digest.digest(df, budget, lines, strict=False).collect()}
+        assert got == {n: (True, None) if n < 5 or n == 9 else (False, why) for n in range(12)}
