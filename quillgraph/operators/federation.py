@@ -21,6 +21,17 @@ def _level(raw: Column, least: int = 0) -> Column:
 
 
 def import_changeset(nodes: DataFrame, edges: DataFrame, sent: DataFrame, sent_edges: DataFrame, origin: str | None, trusted: bool, redactions: DataFrame) -> dict[str, DataFrame]:
+    """nodes, edges and stats of an import, see ``_merge``; then revocations and redactions go down, and the lattices are renewed."""
+    merged, wired, stats = _merge(nodes, edges, sent, sent_edges, origin, trusted, redactions)
+    return {"nodes": _settle(merged, materialise(wired, "import")), "edges": wired, "stats": stats}
+
+
+def import_stats(nodes: DataFrame, edges: DataFrame, sent: DataFrame, sent_edges: DataFrame, origin: str | None, trusted: bool, redactions: DataFrame) -> DataFrame:
+    """The stats of ``import_changeset`` alone: they count what the merge does, which needs neither closures nor lattices."""
+    return _merge(nodes, edges, sent, sent_edges, origin, trusted, redactions)[2]
+
+
+def _merge(nodes: DataFrame, edges: DataFrame, sent: DataFrame, sent_edges: DataFrame, origin: str | None, trusted: bool, redactions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes (the store after the import, with ``fresh``), edges(child, parent) and stats of nodes (uuid and the other ``COLUMNS``)
     with edges by uuid, and what the origin sent. redactions(uuid) are the records held, with those sent if the origin is trusted.
 
@@ -63,6 +74,13 @@ def import_changeset(nodes: DataFrame, edges: DataFrame, sent: DataFrame, sent_e
     allowed = sent_edges.select("child", "parent").distinct().join(at("child"), "child").join(at("parent"), "parent").where((F.col("child_new") & F.col("parent_new")) | (F.lit(trusted) & F.col("child_mine")))
     added = materialise(allowed.select("child", "parent").join(edges, ["child", "parent"], "left_anti"), "import")
     wired = edges.select("child", "parent").unionByName(added)
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    stats = merged.agg(count("fresh").alias("nodes_new"), count("updated").alias("nodes_updated"), F.sum("blocked").cast("long").alias("resurrections_blocked")).crossJoin(added.agg(F.count("*").alias("edges_new")))
+    return merged, wired, stats
+
+
+def _settle(merged: DataFrame, wired: DataFrame) -> DataFrame:
+    """The merged nodes after what was ended or redacted went down the wired edges, with both lattices renewed."""
     below = lambda flag: graph.reachable(wired, merged.where(flag).select(F.col("uuid").alias("id"))).select(F.col("id").alias("uuid"), F.lit(1).alias(f"_{flag}"))
     after = merged.join(below("ends"), "uuid", "left").join(below("scrubs"), "uuid", "left")
     after = after.withColumn("tombstoned", F.when(F.col("_ends") == 1, 1).otherwise(F.col("tombstoned"))).withColumn("content", F.when(F.col("_scrubs") == 1, "").otherwise(F.col("content"))).withColumn("redacted", F.when(F.col("_scrubs") == 1, 1).otherwise(F.col("redacted")))
@@ -73,6 +91,4 @@ def import_changeset(nodes: DataFrame, edges: DataFrame, sent: DataFrame, sent_e
         values = after.select(F.col("uuid").alias("id"), F.col(column).cast("int").alias("value"), (F.col("channel") != "agent-derived").alias("fixed"))
         value = graph.lattice(values, live, combine, unresolved).select(F.col("id").alias("uuid"), F.col("value").alias("_v"))
         out = out.join(value, "uuid").withColumn(column, F.when(F.col("tombstoned") == 0, F.col("_v")).otherwise(F.col(column))).drop("_v")
-    count = lambda c: F.sum(F.col(c).cast("long"))
-    stats = merged.agg(count("fresh").alias("nodes_new"), count("updated").alias("nodes_updated"), F.sum("blocked").cast("long").alias("resurrections_blocked")).crossJoin(added.agg(F.count("*").alias("edges_new")))
-    return {"nodes": out, "edges": wired, "stats": stats}
+    return out

@@ -262,8 +262,8 @@ def _import_sql(trusted: bool) -> str:
   ef AS (SELECT u.seed, min(a.label) AS label, max(a.conf_label) AS conf FROM up u JOIN a ON a.uuid = u.id WHERE u.id NOT IN (SELECT child FROM lv) GROUP BY u.seed)"""
 
 
-def _imported(s: Store, trusted: bool):
-    return federation.import_changeset(s.sql(_LOCAL), s.sql(_LOCAL_EDGES), s.sql(_SENT), s.sql(_SENT_EDGES), "peer", trusted, s.sql(_RECORDS[trusted]))
+def _imported(s: Store, trusted: bool, operator=federation.import_changeset):
+    return operator(s.sql(_LOCAL), s.sql(_LOCAL_EDGES), s.sql(_SENT), s.sql(_SENT_EDGES), "peer", trusted, s.sql(_RECORDS[trusted]))
 
 
 _AFTER = "SELECT a.uuid, a.channel, CASE WHEN a.tombstoned = 0 THEN ef.label ELSE a.label END AS label, CASE WHEN a.tombstoned = 0 THEN ef.conf ELSE a.conf_label END AS conf_label, a.status, a.tombstoned, a.redacted, a.origin, a.fresh, sha256(a.content) AS digest FROM a JOIN ef ON ef.seed = a.uuid"
@@ -283,4 +283,4 @@ def _(s):
 
 @query("import_stats", f"{_import_sql(True)} SELECT count(*) FILTER (WHERE fresh) AS nodes_new, count(*) FILTER (WHERE ends OR scrubs AND NOT fresh OR holds) AS nodes_updated, sum(blocked)::BIGINT AS resurrections_blocked, (SELECT count(*) FROM ad) AS edges_new FROM m")
 def _(s):
-    return _imported(s, True)["stats"]
+    return _imported(s, True, federation.import_stats)
