@@ -43,8 +43,10 @@ def _(s):
   t AS (SELECT *, 18 + sum(strlen(line) + 1) OVER (PARTITION BY qid ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS total FROM l)
   SELECT qid, count(*) AS n, 'Relevant memories:' || chr(10) || string_agg(line, chr(10) ORDER BY total) AS block FROM t WHERE total <= 600 GROUP BY qid""")
 def _(s):
-    """The block of remembered lines that goes before a prompt, for each benchmark query."""
-    scores = retrieval.bm25(X.lexical(s, X.queries_of(s)), X.queries_of(s)).select("qid", "id", "score")
+    """The block of remembered lines that goes before a prompt, for each benchmark query. Only hits that may fit, a line takes five bytes
+    at least, meet their texts."""
+    scores = retrieval.bm25(X.lexical(s, X.queries_of(s)), X.queries_of(s)).where("score >= 1.5")
+    scores = retrieval.ranked(scores, support.BLOCK_BYTES // 5).select("qid", "id", "score")
     hits = scores.join(s.src.select("id", F.when(F.col("id") % 3 > 0, F.col("source_ref")).alias("name"), F.col("content").alias("hook")), "id")
     return support.prompt_blocks(hits, 1.5)
 
