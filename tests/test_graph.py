@@ -98,3 +98,28 @@ def test_components_random(spark):
 
 def test_components_of_nothing(spark):
     assert connected_components(_edges(spark, [], "a long, b long")).count() == 0
+
+
+def _rounds(monkeypatch):
+    """Counts what the graph operators write."""
+    written = []
+    plain = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (written.append(name), plain(df, name))[1])
+    return written
+
+
+def test_a_long_chain_is_closed_in_few_rounds(spark, monkeypatch):
+    n = 150
+    written = _rounds(monkeypatch)
+    pairs = [(k + 1, k) for k in range(n)] + [(k, 1000 + k % 7) for k in range(n)] + [(500, 501), (501, 500), (502, n)]
+    edges = _edges(spark, pairs)
+    got = {(r.seed, r.id): r.depth for r in graph.distances(edges, None, "child", "parent").collect()}
+    assert got.keys() == {(s, x) for s in {c for c, _ in pairs} for x in _up(pairs, s)}
+    assert all(got[a, b] == a - b for a in range(1, n + 1) for b in range(a)) and got[500, 500] == 2
+    assert {r.depth for r in graph.distances(edges, None, "child", "parent", most=40).where("seed = 150 and id < 150").collect()} == set(range(1, 41))
+    assert len(written) <= 40
+    written.clear()
+    edges = _edges(spark, [*pairs, (None, 140), (None, 141)])
+    down = sorted((r.id for r in graph.reachable(edges, spark.createDataFrame([(3,), (900,)], "id long")).collect()), key=lambda x: x or -1)
+    assert down == sorted([None, 502, 900, *range(3, n + 1)], key=lambda x: x or -1)
+    assert len(written) <= 60
