@@ -95,3 +95,14 @@ def test_empty_tables(spark):
     s, c = _frames(spark, [(1, 7, START, START)], [(1, 7, 0, "U", START, 1.0, "x")])
     assert op13.enrich_batches(s.limit(0), c.limit(0), batches=2, slots=2).count() == 0
     assert [tuple(r) for r in op13.enrich_batches(s, c.limit(0), batches=2, slots=2).collect()] == [("sale", 1, 2, 0, None, None, None)]
+
+
+def test_a_start_loads_one_store_a_partition(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op13, "shared_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    s, c = _frames(spark, [(1, 7, START, START)], [(1, 7, 0, "U", START, 1.0, "x")])
+    assert [tuple(r) for r in op13.enrich_batches(s, c, batches=2, slots=2).collect()] == [("sale", 1, 2, 1, 1, 100, "U")]
+    assert [p.name for p in (tmp_path / "op13/checkpoint/state").iterdir() if p.name.isdigit()] == ["0"]
+
+
+def test_slots_go_by_rows_where_partitions_are_many():
+    assert op13.slots_for(500_000, 211) == 250 and op13.slots_for(500_000, 12) == 48 and op13.slots_for(2_500_000, 12) == 125 and op13.slots_for(0, 12) == 1
