@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-from quillgraph.operators import bags, retrieval, similarity
+from quillgraph.operators import bags, contradict, retrieval, similarity
 
 ODD = ["", None, "  ", "The cat, the CAT and a caterpillar", "é1x ÀB-c_d 007 7 000", "İstanbul straße ﬁne", "x" * 300 + " xxxxxx", "a b a\nb\tlong-winded", "9" * 20, "of the and"]
 
@@ -47,3 +47,21 @@ def test_best_partners_where_ids_repeat(spark):
     assert len(got) == 3 and all(abs(want[r.id] - r.top) < 2e-6 for r in got)
     best = similarity.best_jaccard(bags.bags(nodes)).collect()
     assert sorted((r.id, round(r.best, 6)) for r in best) == [(1, 0.666667), (2, 0.666667), (3, 0.5), (4, 0.0), (5, 0.0)]
+
+
+def test_evidence_of_copies(spark):
+    """Every pair of copies has its rows, with sentences compared once."""
+    one, two = "the engine of the blue car starts on cold mornings.", "the engine of the red car starts on cold mornings."
+    other = "nothing of this is like the lines before it at all."
+    texts = {1: [one, other], 2: [two], 3: [one, other], 4: [two], 5: [one, two]}
+    sentences = spark.createDataFrame(list(texts.items()), "id long, ss array<string>")
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    stems = {x: frozenset(bags_of) for x, bags_of in ((r.x, r.t) for r in spark.createDataFrame([(one,), (two,), (other,)], "x string").select("x", T.stems(F.col("x")).alias("t")).collect())}
+    near = lambda x, y: len(stems[x] & stems[y]) / len(stems[x] | stems[y])
+    want = Counter((a, b, x, y, round(near(x, y), 6)) for a in texts for b in texts if a < b for x in texts[a] for y in texts[b] if x != y and near(x, y) >= 0.5)
+    got = contradict.evidence(pairs, sentences, 0.5).collect()
+    assert Counter((r.older, r.newer, r.x, r.y, round(r.score, 6)) for r in got) == want and len(want) >= 8
+    given = contradict.evidence(pairs, sentences, 0.5, lambda x, y: T.jaccard(T.stems(x), T.stems(y))).collect()
+    assert Counter((r.older, r.newer, r.x, r.y, round(r.score, 6)) for r in given) == want
+    plan = contradict.evidence(pairs, sentences, 0.5)._jdf.queryExecution().analyzed().toString()
+    assert "Generate explode" not in plan  # all sentences of all pairs were unfolded before
